@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import add, indices, let, space_words
+from .common import add, boxed, indices, let, space_words, unboxed
 
 MAX_DOCS = 50
 MIN_SHARE = 0.5
@@ -96,7 +96,7 @@ def line_counts(text: Column) -> Column:
     def hashed(line):
         return F.struct(F.xxhash64(line).alias("line"), (F.char_length(line) - F.char_length(F.translate(line, " ", "")) + 1).alias("w"))
 
-    lines = F.array_remove(F.transform(F.split(normalised(text), "\n"), F.trim), "")
+    lines = F.array_remove(F.transform(F.split(normalised(text), "\n"), lambda x: F.trim(x)), "")
     return let(F.sort_array(F.transform(lines, hashed)), of)
 
 
@@ -143,20 +143,18 @@ def query(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """The documents that pass, with their boilerplate lines removed and n_chars set anew; all their columns, in order."""
-    lost = removed_lines(docs, max_docs).groupBy("host", "digest").agg(F.collect_set("line").alias("__gone"))
+    lost = removed_lines(docs, max_docs).groupBy("host", "digest").agg(F.collect_set("line").alias("gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__host", F.coalesce(F.col("source"), F.lit(""))).withColumn("__digest", F.xxhash64(text))
-    # a text that fails by itself needs no join
     words = let(space_words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).alias("r")))
-    keyed = keyed.withColumn("__w", words).filter((F.col("__w.n") >= 50) & (100 * F.col("__w.r") <= 50 * F.col("__w.n")))
-    lost = lost.select(F.col("host").alias("__host"), F.col("digest").alias("__digest"), "__gone")
-    out = keyed.join(lost, ["__host", "__digest"], "left")
-    rest = F.col("__w.n") - line_words(text, F.col("__gone"))
-    out = out.filter(rest.cast("double") >= F.lit(float(min_share)) * F.col("__w.n"))
-    out = out.withColumn("text", without_lines(F.col("text"), F.col("__gone")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    keyed = boxed(docs, host=F.coalesce(F.col("source"), F.lit("")), digest=F.xxhash64(text), w=words)
+    # a text that fails by itself needs no join
+    keyed = keyed.filter((F.col("w.n") >= 50) & (100 * F.col("w.r") <= 50 * F.col("w.n")))
+    out = keyed.join(lost, ["host", "digest"], "left")
+    body = F.col("row.text")
+    rest = F.col("w.n") - line_words(body, F.col("gone"))
+    out = out.filter(rest.cast("double") >= F.lit(float(min_share)) * F.col("w.n"))
+    left = without_lines(body, F.col("gone"))
+    return unboxed(out, docs, text=left, n_chars=F.char_length(left))
 
 
 ORACLE = r"""
