@@ -32,7 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -58,3 +58,13 @@ def add(values: Column, kind: str = "bigint") -> Column:
     return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a + x)
 
 
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The rows as one column `row`, besides more: extra columns of any name clash with nothing."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def unboxed(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs again, in order, with those in changed replaced."""
+    return df.select(*[changed.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
