@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import alnum_words, ascii_lower, indices, let
+from .common import alnum_words, ascii_lower, boxed, indices, let, unboxed
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -135,9 +135,9 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    bad = hits(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_anti")
+    bad = hits(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest")).distinct()
+    keyed = boxed(docs, id=F.col("doc_id"), digest=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return unboxed(keyed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("digest") == F.col("bad_digest")), "left_anti"), docs)
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let, written
+from .common import boxed, let, unboxed, written
 
 MARK = "\x01"
 #: The base expressions, with possessive loops and without a start inside a run that was already tried.
@@ -261,11 +261,9 @@ def masked(text: Column, found: Column) -> Column:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with their spans masked and n_chars set anew; all columns, in order."""
-    by_doc = spans(docs).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind"))).alias("__s"))
-    by_doc = by_doc.withColumnsRenamed({"doc_id": "__id", "digest": "__digest"})
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    out = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left")
-    out = out.withColumn("text", F.when(F.col("__s").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__s"))))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    by_doc = spans(docs).groupBy(F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest")).agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind"))).alias("found"))
+    keyed = boxed(docs, id=F.col("doc_id"), digest=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    out = keyed.join(by_doc, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left")
+    body = F.col("row.text")
+    text = F.when(F.col("found").isNull(), body).otherwise(masked(body, F.col("found")))
+    return unboxed(out, docs, text=text, n_chars=F.char_length(text))
