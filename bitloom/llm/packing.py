@@ -16,7 +16,8 @@ doc_id is kept; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import os
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,10 @@ from .common import written
 
 SIZE = 2048
 END = 1
+END_BYTES = END.to_bytes(4, "little")
 BUCKET_ROWS = 50_000
-CACHE = 200_000
+CACHE = 400_000
+TAILS = string.punctuation.replace("'", "")
 PIECE = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -40,26 +43,89 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts. The tokenizer's own normaliser and splitter never look across a blank or a line feed, so the
-    ids of each stretch between them are kept in a cache of bounded size."""
+    """Token ids of whole texts, as little-endian unsigned 32-bit integers.
+
+    The tokenizer's normaliser and splitter never look across a blank or a line feed, so each stretch between them is encoded
+    once and kept, in caches of bounded size. A stretch of letters with ASCII punctuation behind it has the ids of the letters
+    and then those of the punctuation; letters alone are one word of the tokenizer and end with a token that ends a word, so many
+    of them are encoded as one string and told apart by those tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {"": []}
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = list({w for w in words if w not in self.cache})
-            if new:
-                if len(self.cache) + len(new) > CACHE:
-                    self.cache = {"": []}
-                    new = list({w for w in words if w})
-                for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.cache[w] = e.ids
-            yield np.fromiter(itertools.chain.from_iterable(map(self.cache.__getitem__, words)), dtype="<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def plain(self, strings: list[str]) -> None:
+        for s, e in zip(strings, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            self.words[s] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def letters(self, strings: list[str], group: int = 256) -> None:
+        groups = [strings[at : at + group] for at in range(0, len(strings), group)]
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                self.plain(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for s, stop in zip(part, (4 * stops).tolist(), strict=True):
+                self.words[s] = data[at:stop]
+                at = stop
+
+    def learn(self, new: list[str]) -> None:
+        known, made, joinable, others = self.words, [], set(), set()
+        for w in new:
+            base = w.rstrip(TAILS)
+            low = base.lower()
+            if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
+                if low not in known:
+                    joinable.add(low)
+                if low != w:
+                    tail = w[len(base) :]
+                    if tail not in known:
+                        others.add(tail)
+                    made.append((w, low, tail))
+            else:
+                others.add(w)
+        if joinable:
+            self.letters(list(joinable))
+        if others:
+            self.plain(list(others))
+        for w, low, tail in made:
+            known[w] = known[low] + known[tail]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.words) > CACHE:  # words that come again move back from the older generation
+            self.words, self.older = {"": b""}, self.words
+        words, older = self.words, self.older
+        new = []
+        for w in set().union(*split):
+            if w not in words:
+                if w in older:
+                    words[w] = older[w]
+                else:
+                    new.append(w)
+        self.learn(new)
+        look = self.words.__getitem__
+        for words in split:
+            yield b"".join(map(look, words))
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: Spark gives a worker many tasks in turn, and words met in one come again in the next."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -67,17 +133,18 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids:
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             rows: list = []
             for at in range(0, batch.num_rows, 256):  # bounds what is held as Python objects
                 ids_of = batch.column("doc_id").slice(at, 256).to_pylist()
                 texts = [t or "" for t in batch.column("text").slice(at, 256).to_pylist()]
-                for doc, ids in zip(ids_of, encode(texts), strict=True):
-                    ids = np.append(ids, np.uint32(END)).astype("<u4")
-                    for start in range(0, len(ids), size):
-                        part = ids[start : start + size]
-                        rows.append((doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.tolist()] if with_ids else [])))
+                for doc, data in zip(ids_of, encode(texts), strict=True):
+                    data += END_BYTES
+                    n = len(data) // 4
+                    for start in range(0, n, size):
+                        part = data[4 * start : 4 * (start + size)]
+                        rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, *([np.frombuffer(part, "<u4").tolist()] if with_ids else [])))
             cols = list(zip(*rows, strict=True)) or [[] for _ in range(6 if with_ids else 5)]
             kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
