@@ -118,8 +118,10 @@ def judged(index: Index, urls: list[str | None]) -> tuple[list, list, list, list
 
 
 def shipped(spark: SparkSession, content: bytes) -> str:
-    """Gives the file to all executors; its name follows its content, so another index is another file."""
+    """Gives the file to all executors, once a session; its name follows its content, so another index is another file."""
     name = f"url-rules-{hashlib.sha256(content).hexdigest()[:24]}.bin"
+    if any(f.endswith(f"/{name}") for f in spark.sparkContext.listFiles):
+        return name
     path = os.path.join(tempfile.mkdtemp(), name)
     with open(path, "wb") as f:
         f.write(content)
