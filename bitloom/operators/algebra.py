@@ -45,7 +45,7 @@ def invert(a: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
 def dot(u: DataFrame, v: DataFrame, key: str = "i") -> DataFrame:
     """One row: the inner product of two vectors (key, x), and whether any product is not 0."""
     total = F.coalesce(F.sum(F.col("a.x") * F.col("b.x")), F.lit(0))
-    return u.alias("a").join(v.alias("b"), key).agg(total.alias("x"), (total > 0).alias("any"))
+    return u.alias("a").join(v.alias("b"), key).agg(total.alias("x"), (total > 0).alias("nonzero"))
 
 
 def matmul(u: DataFrame, v: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ def subtract(spark, d):
     return algebra.subtract(x.cells, patterns(x).predict().withColumn("x", F.lit(1)))
 
 
-@query(f"WITH {UV} SELECT CAST(count(*) AS BIGINT) AS x, count(*) > 0 AS any FROM (SELECT DISTINCT i FROM u WHERE f = 0) JOIN (SELECT DISTINCT i FROM u WHERE f = 1) USING (i)")
+@query(f"WITH {UV} SELECT CAST(count(*) AS BIGINT) AS x, count(*) > 0 AS nonzero FROM (SELECT DISTINCT i FROM u WHERE f = 0) JOIN (SELECT DISTINCT i FROM u WHERE f = 1) USING (i)")
 def dot(spark, d):
     u = patterns(ue(spark, d)).u.withColumn("x", F.lit(1))
     return algebra.dot(u.filter("f = 0"), u.filter("f = 1"))
