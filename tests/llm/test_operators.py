@@ -300,6 +300,19 @@ def test_ppm(spark, rows, hot):
         assert abs(r["score"] - b) < 1e-6 * (1 + abs(b)) and abs(r["base_score"] - d) < 1e-6 * (1 + abs(d))
 
 
+@pytest.mark.parametrize("hot_grams", [0, 200])
+def test_ppm_joined_grams(spark, rows, hot_grams):
+    """Grams that are joined give the scores that grams looked up in the tasks give, and the query learns from its own rows alone."""
+    docs = table(spark, [(i, t if t is None else t[:400], s) for i, t, s in rows[0]])
+    train = docs.filter(ppm.remainder(7) != 2)
+    key = lambda r: (r["n_tokens"], r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6))
+    want = sorted(ppm.score(docs, train).collect(), key=key)
+    got = sorted(ppm.query(docs, hot_grams=hot_grams).collect(), key=key)
+    assert len(got) == len(want) and any(r["held_out"] for r in got)
+    for a, b in zip(got, want):
+        assert a["doc_id"] == b["doc_id"] and a["n_known"] == b["n_known"] and abs(a["score"] - b["score"]) < 1e-9 * (1 + abs(b["score"]))
+
+
 def test_adaptive():
     assert ppm.adaptive(b"abababababab") > 13 * math.log10(1 / 256) and abs(ppm.adaptive(b"") - math.log10(1 / 256)) < 1e-12
 
