@@ -3,8 +3,8 @@
 Documents become token ids, whole; a document longer than a sequence is cut into full sequences and a rest. Only the histogram
 of piece lengths (at most `size` numbers) reaches the driver. There, lengths are placed longest first, each into the packs that
 are filled least among those with room; packs of the same content are one pattern with a count, so the work depends on the
-number of lengths, not of documents. At most 2 x size patterns arise, as a length splits at most one pattern and opens at most
-one, and a pattern holds fewer than sqrt(2 x size) distinct lengths: that bounds the table that is broadcast.
+number of lengths, not of documents. At most 2 x size patterns arise, as a length over size / 2 opens one and a shorter one splits
+at most one pattern and opens at most two, and a pattern holds fewer than sqrt(2 x size) distinct lengths: that bounds the table that is broadcast.
 
 Pieces find their place by their rank among the pieces of their length. The rank is the number of pieces of that length in
 earlier buckets plus the row number within the bucket; buckets are ranges of a hash, and their number grows with the table, so
@@ -168,8 +168,8 @@ def packed(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple
         while left:
             fill = min((f for f in by_fill if f + length <= size), default=None)
             if fill is None:
-                # new packs, opened for what is left: as many of this length in each as fit, if the count allows no better
-                each = min(left, max(1, size // length)) if size % length == 0 else 1
+                # no open pack has room: a new one takes pieces of this length while they fit, and only then the next is opened
+                each = min(left, size // length)
                 count, rest = divmod(left, each)
                 placed.append((each * length, ((length, each),), count))
                 if rest:

@@ -101,6 +101,17 @@ def test_packed_patterns(seed):
     assert packing.packed({}) == []
 
 
+def test_packed_padding():
+    """Pieces of one length share sequences, alone and as a third of all pieces."""
+    packs = lambda h: sum(n for n, _ in packing.packed(h))
+    assert packs({100: 3000}) == 150 and packs({700: 100}) == 50 and packs({1025: 7}) == 7 and packs({100: 41}) == 3
+    r = random.Random(1)
+    h = Counter(min(2048, max(1, int(r.lognormvariate(6.5, 0.7)))) for _ in range(4000))
+    for length in (20, 90, 300, 900):
+        mixed = {**h, length: h[length] + 2000}
+        assert sum(a * n for a, n in mixed.items()) >= 0.95 * 2048 * packs(mixed)
+
+
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     turns = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", "é😀 <b>\\b\\l"), (2, 0, "assistant", None), (2, 1, "assistant", "\\bx"), (None, 0, None, "#"), (3, None, "a:b\n#", ""), (3, 5, "assistant", "x"), (3, 5, "assistant", "x")]
