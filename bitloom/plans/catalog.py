@@ -646,24 +646,24 @@ SETS = f"{UE}, m AS (SELECT count(DISTINCT i) AS m FROM ue), f1 AS (SELECT j FRO
 
 @query(f"WITH {SETS} SELECT c, j FROM cd")
 def hyper_itemsets(spark, d):
-    return greedy.itemsets(ue(spark, d), 0.5, 2)
+    return greedy.itemsets(ue(spark, d), 0.5)
 
 
 @query(f"WITH {SETS} SELECT c, i, r FROM hy")
 def hyper_find(spark, d):
     x = ue(spark, d)
-    return greedy.hyper_candidates(x, greedy.itemsets(x, 0.5, 2), greedy.cells(x, greedy.Fit())).select("c", "i", "r")
+    return greedy.hyper_candidates(x, greedy.itemsets(x, 0.5), greedy.cells(x, greedy.Fit())).select("c", "i", "r")
 
 
 @query(f"WITH {SETS} SELECT c, count(*) AS rows, round((count(*) + max(size)) / CAST(sum(r) AS DOUBLE), 6) AS cost FROM hy GROUP BY c")
 def hyper_cost(spark, d):
     x = ue(spark, d)
-    return six(greedy.hyper_costs(greedy.hyper_candidates(x, greedy.itemsets(x, 0.5, 2), greedy.cells(x, greedy.Fit()))), "cost")
+    return six(greedy.hyper_costs(greedy.hyper_candidates(x, greedy.itemsets(x, 0.5), greedy.cells(x, greedy.Fit()))), "cost")
 
 
 @query()
 def hyper_fit_k3(spark, d):
-    return tiles(greedy.hyper(ue(spark, d), 0.5, 2, 3))
+    return tiles(greedy.hyper(ue(spark, d), 0.5, k=3))
 
 
 @query(f"WITH {UV}, pr AS (SELECT x.f AS a, y.f AS b FROM fs x, fs y WHERE x.f < y.f), si AS (SELECT DISTINCT a, b, i FROM pr JOIN u ON u.f IN (a, b)), sj AS (SELECT DISTINCT a, b, j FROM pr JOIN v ON v.f IN (a, b)), sz AS (SELECT f, sum(n) AS n FROM (SELECT f, count(*) AS n FROM u GROUP BY f UNION ALL SELECT f, count(*) FROM v GROUP BY f) GROUP BY f), mm AS (SELECT a, b, count(*) AS cells, sum(CAST((i, j) IN (SELECT (i, j) FROM pd) AS BIGINT)) AS cov, sum(CAST((i, j) IN (SELECT (i, j) FROM ue) AS BIGINT)) AS ones FROM si JOIN sj USING (a, b) GROUP BY a, b) SELECT a, b, round(CAST(p.n + q.n - (SELECT count(*) FROM si WHERE si.a = mm.a AND si.b = mm.b) - (SELECT count(*) FROM sj WHERE sj.a = mm.a AND sj.b = mm.b) AS DOUBLE) / (cells - cov), 6) AS savings, CAST(cells - ones AS BIGINT) AS fp FROM mm JOIN sz p ON p.f = a JOIN sz q ON q.f = b")

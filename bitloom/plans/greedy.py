@@ -307,13 +307,15 @@ def grecond_plus(x: BoolMatrix, k: int, tol: int = 0, w_fp=1, w_fn=1, most: int
 # ---- itemsets ----------------------------------------------------------------------------------------------------------
 
 
-def itemsets(x: BoolMatrix, min_support: float, most: int = 3) -> DataFrame:
-    """c (a name), j: all single columns and the frequent sets of 2 to `most` columns; support is a share of all rows."""
+def itemsets(x: BoolMatrix, min_support: float, most: int | None = None) -> DataFrame:
+    """c (a name), j: all single columns and all frequent sets of more, or those of at most `most`; support is a share of all rows."""
     from pyspark.ml.fpm import FPGrowth
 
     baskets = x.rows.join(x.ones.groupBy("i").agg(F.collect_set("j").alias("items")), "i", "left")
     baskets = baskets.select(F.coalesce("items", F.array().cast(f"array<{x.cols.schema['j'].dataType.simpleString()}>")).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets).freqItemsets.filter(F.size("items").between(2, most))
+    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets).freqItemsets.filter(F.size("items") > 1)
+    if most is not None:
+        found = found.filter(F.size("items") <= most)
     name = lambda c: F.array_join(F.sort_array(c).cast("array<string>"), "+")
     many = found.select(name(F.col("items")).alias("c"), F.explode("items").alias("j"))
     return x.cols.select(F.col("j").cast("string").alias("c"), "j").unionByName(many)
@@ -339,7 +341,7 @@ def hyper_costs(rows: DataFrame, mode: str = "all") -> DataFrame:
     return sums.groupBy("c").agg(F.min_by("rows", F.struct("cost", "rows")).alias("rows"), F.min("cost").alias("cost"))
 
 
-def hyper(x: BoolMatrix, min_support: float, most: int = 3, k: int | None = None) -> Fit:
+def hyper(x: BoolMatrix, min_support: float, most: int | None = None, k: int | None = None) -> Fit:
     """Exact cover by itemsets: each round the candidate of least cost, until all ones are covered. Masks hold 63 patterns, so
     what is covered is kept as a flag of the ones here."""
     fit, candidates = Fit(), cut(itemsets(x, min_support, most))

@@ -56,6 +56,12 @@ def test_exact_methods_cover_blocks(spark):
     assert greedy.mebf(x, 3, 0.5).counts(x)["tp"] == 12
 
 
+def test_itemsets_of_any_size(spark):
+    x = matrix(spark, 3, 5, [(i, j) for i in range(3) for j in range(5)])
+    assert greedy.itemsets(x, 0.5).select("c").distinct().count() == 31 and greedy.itemsets(x, 0.5, 2).select("c").distinct().count() == 15
+    assert greedy.hyper(x, 0.5).k == 1
+
+
 def test_opt_and_iter(spark):
     x = block(spark)
     fit = greedy.asso(x, 2, 0.6, 1, 1)
