@@ -61,6 +61,20 @@ def test_quality_lines(spark):
     assert kept[1]["text"] == prose(60, 1) and kept[1]["n_chars"] == len(kept[1]["text"]) and kept[0]["text"] == texts[0][1] and kept[1]["a.b"] == 6
 
 
+def test_quality_sql_removes_lines(spark):
+    """The query against its SQL on a table where lines do go: 60 texts of one host share a line, 10 of them hold little else."""
+    common = prose(40, "line")
+    texts = [(k, f"{prose(60 if k < 50 else 12, k)}\n{common}", "s") for k in range(60)] + [(100 + k, f"{common}\n{prose(60, k)}", "t") for k in range(50)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", texts)
+    df = quality_rules.query(table(spark, texts))
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({quality_rules.ORACLE})").fetchall()
+    got = df.collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert sum(r["removed_words"] for r in got) == 59 * 40 and {r["doc_id"] for r in got if not r["kept"]} == set(range(50, 60))
+
+
 def test_packing(spark, rows):
     got = packing.pack(table(spark, rows[0]), with_ids=True).collect()
     from tokenizers import Tokenizer
