@@ -58,14 +58,14 @@ def bool_matmul(u: DataFrame, v: DataFrame) -> DataFrame:
 
 
 def masks(side: DataFrame, key: str) -> DataFrame:
-    """(key, mask): the factors of each id as bits, for up to 63 factors."""
-    return side.groupBy(key).agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), cast(f as int))")).alias("mask"))
+    """(key, mask): the factors of each id as a sorted array, for any number of factors."""
+    return side.groupBy(key).agg(F.array_sort(F.collect_set(F.col("f").cast("int"))).alias("mask"))
 
 
 def predicted(cells: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
     """cells with `hit`: whether the Boolean product of u and v has a one there. Only the given cells are looked at."""
     left, right = masks(u, "i").withColumnRenamed("mask", "__u"), masks(v, "j").withColumnRenamed("mask", "__v")
-    hit = F.coalesce(F.col("__u").bitwiseAND(F.col("__v")) != 0, F.lit(False))
+    hit = F.coalesce(mask_hit(F.col("__u"), F.col("__v")), F.lit(False))
     return cells.join(left, "i", "left").join(right, "j", "left").withColumn("hit", hit).drop("__u", "__v")
 
 
@@ -126,4 +126,4 @@ def positions(vector: DataFrame, key: str, value: str = "x") -> DataFrame:
 
 
 def mask_hit(a: Column, b: Column) -> Column:
-    return a.bitwiseAND(b) != 0
+    return F.arrays_overlap(a, b)

@@ -1,6 +1,6 @@
 """Greedy factorizations: each round finds one pattern, rows x columns, as one query whose best row reaches the driver.
 
-U holds (i, f), V holds (j, f): pattern f has row i and column j. What is covered follows from bit masks of the factors, so
+U holds (i, f), V holds (j, f): pattern f has row i and column j. What is covered follows from each id's set of factors (its mask), so
 neither the product nor the residual is kept between rounds. Ties go to the smallest id.
 """
 
@@ -50,9 +50,10 @@ def cells(x: BoolMatrix, fit: Fit) -> DataFrame:
 
 
 def _masked(table: DataFrame, key: str, side: DataFrame | None) -> DataFrame:
+    none = F.array().cast("array<int>")
     if side is None:
-        return table.withColumn(f"m{key}", F.lit(0).cast("bigint"))
-    return table.join(algebra.masks(side, key).withColumnRenamed("mask", f"m{key}"), key, "left").withColumn(f"m{key}", F.coalesce(f"m{key}", F.lit(0)))
+        return table.withColumn(f"m{key}", none)
+    return table.join(algebra.masks(side, key).withColumnRenamed("mask", f"m{key}"), key, "left").withColumn(f"m{key}", F.coalesce(f"m{key}", none))
 
 
 # ---- association rules -------------------------------------------------------------------------------------------------
@@ -84,7 +85,7 @@ def gains(x: BoolMatrix, candidates: DataFrame, fit: Fit, w_fp, w_fn) -> DataFra
         covered = F.lit(0)
     else:
         distinct = algebra.masks(fit.u, "i").select(F.col("mask").alias("mi")).distinct()  # at most 2^k
-        c = _masked(candidates, "j", fit.v).filter("mj <> 0").crossJoin(F.broadcast(distinct)).filter(algebra.mask_hit(F.col("mi"), F.col("mj")))
+        c = _masked(candidates, "j", fit.v).filter("size(mj) > 0").crossJoin(F.broadcast(distinct)).filter(algebra.mask_hit(F.col("mi"), F.col("mj")))
         r = r.join(c.groupBy("mi", "p").agg(F.count(F.lit(1)).alias("c")), ["mi", "p"], "left")
         covered = F.coalesce(F.col("c"), F.lit(0))
     gain = (w_fp + w_fn) * F.col("r") + w_fp * covered - w_fp * F.col("size")
@@ -143,14 +144,14 @@ def asso_opt(x: BoolMatrix, fit: Fit, w_fp=1, w_fn=1) -> DataFrame:
     if fit.k > 16:
         raise ValueError("2^k sets are tried for each row; k is at most 16")
     spark = x.cells.sparkSession
-    rev = lambda m: F.aggregate(F.sequence(F.lit(0), F.lit(fit.k - 1)), F.lit(0).cast("bigint"), lambda a, b: a * 2 + F.getbit(m, b))
+    chosen = lambda m: F.filter(F.sequence(F.lit(0), F.lit(fit.k - 1)), lambda f: F.getbit(m, F.lit(fit.k - 1) - f) == 1)
     cols = _masked(x.cols, "j", fit.v)
     sizes = cols.groupBy("mj").agg(F.count(F.lit(1)).alias("size"))
-    sets = spark.range(1 << fit.k).select(F.col("id").alias("choice")).withColumn("bits", rev(F.col("choice")))
-    hit = sets.crossJoin(F.broadcast(sizes)).filter(algebra.mask_hit(F.col("bits"), F.col("mj")))
+    sets = spark.range(1 << fit.k).select(F.col("id").alias("choice")).withColumn("mi", chosen(F.col("choice")))
+    hit = sets.crossJoin(F.broadcast(sizes)).filter(algebra.mask_hit(F.col("mi"), F.col("mj")))
     base = hit.groupBy("choice").agg(F.sum("size").alias("size"))
     base = sets.select("choice").join(base, "choice", "left").select("choice", F.coalesce("size", F.lit(0)).alias("size"))
-    mine = x.ones.join(cols.filter("mj <> 0"), "j").groupBy("i", "mj").agg(F.count(F.lit(1)).alias("n"))
+    mine = x.ones.join(cols.filter("size(mj) > 0"), "j").groupBy("i", "mj").agg(F.count(F.lit(1)).alias("n"))
     tp = mine.join(F.broadcast(hit.select("choice", "mj")), "mj").groupBy("i", "choice").agg(F.sum("n").alias("tp"))
     scored = x.rows.crossJoin(F.broadcast(base)).join(tp, ["i", "choice"], "left")
     t = F.coalesce(F.col("tp"), F.lit(0))
@@ -342,8 +343,8 @@ def hyper_costs(rows: DataFrame, mode: str = "all") -> DataFrame:
 
 
 def hyper(x: BoolMatrix, min_support: float, most: int | None = None, k: int | None = None) -> Fit:
-    """Exact cover by itemsets: each round the candidate of least cost, until all ones are covered. Masks hold 63 patterns, so
-    what is covered is kept as a flag of the ones here."""
+    """Exact cover by itemsets: each round the candidate of least cost, until all ones are covered. What is covered is kept
+    as a flag of the ones here."""
     fit, candidates = Fit(), cut(itemsets(x, min_support, most))
     left = cut(x.ones.withColumn("hit", F.lit(False)))
     while k is None or fit.k < k:

@@ -56,6 +56,18 @@ def test_exact_methods_cover_blocks(spark):
     assert greedy.mebf(x, 3, 0.5).counts(x)["tp"] == 12
 
 
+def test_more_than_63_patterns(spark):
+    """Pattern 64 is not pattern 0."""
+    x = matrix(spark, 70, 70, [(i, i) for i in range(70)])
+    u, v = (spark.createDataFrame([(i, i) for i in range(70)], f"{c} int, f int") for c in "ij")
+    fit = greedy.Fit(u, v, 70)
+    assert fit.counts(x) == {"p": 70, "q": 70, "tp": 70, "n": 4900}
+    hit = algebra.predicted(matrix(spark, 70, 70, [(i, j) for i in (0, 1, 6, 64, 69) for j in range(70)]).ones, u, v)
+    assert {(r["i"], r["j"]) for r in hit.filter("hit").collect()} == {(i, i) for i in (0, 1, 6, 64, 69)}
+    part = greedy.Fit(u.filter("i < 69"), v.filter("j < 69"), 69)
+    assert [(r["i"], r["j"]) for r in greedy.cells(x, part).filter("NOT hit").collect()] == [(69, 69)]
+
+
 def test_itemsets_of_any_size(spark):
     x = matrix(spark, 3, 5, [(i, j) for i in range(3) for j in range(5)])
     assert greedy.itemsets(x, 0.5).select("c").distinct().count() == 31 and greedy.itemsets(x, 0.5, 2).select("c").distinct().count() == 15
