@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalar import ratio
 from ..operators import algebra, metrics
 from ..operators.lineage import cut
-from ..operators.matrix import BoolMatrix
+from ..operators.matrix import BoolMatrix, factorized
 
 
 @dataclass
@@ -424,36 +424,31 @@ def item_order(left: DataFrame, method: str = "frequency", rows: DataFrame | Non
     return open_.join(size, "i").groupBy("j").agg((F.sum("n") - F.count(F.lit(1))).alias("score"))
 
 
-def panda_core(left: DataFrame, order: list, w_model=1, w_fn=1) -> tuple[DataFrame, list, list]:
-    """Rows T, items I, and the items left, in order. One query finds the next item, in order, that lowers the cost: items between
-    are judged by the same rows and would fail."""
-    items, rest = [order[0]], order[1:]
-    rows = cut(left.filter(~F.col("hit") & (F.col("j") == F.lit(order[0]))).select("i"))
-    size, skipped = rows.count(), []
-    while rest:
-        shared = left.filter(~F.col("hit") & F.col("j").isin(rest)).join(rows, "i", "left_semi").groupBy("j").count()
-        n = {r["j"]: r["count"] for r in shared.collect()}  # one row a column
-        for at, e in enumerate(rest):
-            t, k = n.get(e, 0), len(items)
-            if t and w_model * (1 + t - size) - w_fn * ((k + 1) * t - k * size) <= 0:
-                break
-        else:
-            skipped += rest
-            break
-        skipped, rest = skipped + rest[:at], rest[at + 1 :]
+def panda_core(left: DataFrame, order: DataFrame, w_model=1, w_fn=1) -> tuple[DataFrame, DataFrame, int]:
+    """Rows T, items I (with their places) and how many. order: j, ord. One query finds the next item, in order, that lowers the
+    cost: items between are judged by the same rows and would fail."""
+    at, e = order.orderBy("ord").limit(1).select("ord", "j").collect()[0]
+    k, items = 1, order.filter(F.col("ord") == at)
+    rows = cut(left.filter(~F.col("hit") & (F.col("j") == F.lit(e))).select("i"))
+    while True:
+        size, t = rows.count(), F.col("t")
+        shared = left.filter(~F.col("hit")).join(order.filter(F.col("ord") > at), "j").join(rows, "i", "left_semi").groupBy("ord", "j").agg(F.count(F.lit(1)).alias("t"))
+        lower = w_model * (1 + t - size) - w_fn * ((k + 1) * t - k * size) <= 0
+        best = shared.filter(lower).orderBy("ord").limit(1).select("ord", "j").collect()
+        if not best:
+            return rows, items, k
+        at, e = best[0]
         rows = cut(left.filter(~F.col("hit") & (F.col("j") == F.lit(e))).select("i").join(rows, "i", "left_semi"))
-        items.append(e)
-        size = rows.count()
-    return rows, items, skipped
+        k, items = k + 1, cut(items.unionByName(order.filter(F.col("ord") == at)))
 
 
-def panda_item_costs(x: BoolMatrix, fit: Fit, rows: DataFrame, size: int, items: list | None = None, w_model=1, w_fp=1, w_fn=1) -> DataFrame:
-    """j, cost: of adding a column to a pattern of these rows."""
+def panda_item_costs(x: BoolMatrix, fit: Fit, rows: DataFrame, size: int, items: DataFrame | None = None, w_model=1, w_fp=1, w_fn=1) -> DataFrame:
+    """j, cost: of adding a column, or one of items (j), to a pattern of these rows."""
     left = cells(x, fit).join(rows, "i", "left_semi")
     if items is not None:
-        left = left.filter(F.col("j").isin(items))
+        left = left.join(items, "j", "left_semi")
     open_ = left.groupBy("j").agg(F.sum((~F.col("hit")).cast("int")).alias("r"))
-    cols = x.cols if items is None else x.cols.filter(F.col("j").isin(items))
+    cols = x.cols if items is None else x.cols.join(items, "j", "left_semi")
     t = cols.join(open_, "j", "left").withColumn("r", F.coalesce("r", F.lit(0)))
     covered = F.lit(0)
     if fit.u is not None:
@@ -473,27 +468,29 @@ def panda_row_costs(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, s
 
 def panda(x: BoolMatrix, k: int, w_model=1, w_fp=1, w_fn=1, method: str = "frequency", exact: bool = False, tol: int = 0) -> Fit:
     """Cores of shared items, extended by items and rows while the description gets shorter."""
-    spark, fit, w = x.cells.sparkSession, Fit(), 0 if exact else w_model
+    fit, w = Fit(), 0 if exact else w_model
     cost = w_fn * x.ones.count()
     while fit.k < k:
         left = cut(cells(x, fit))
-        order = [r["j"] for r in item_order(left, method).orderBy(F.desc("score"), "j").collect()]  # one row a column
-        if not order:
+        order = factorized(item_order(left, method).select(F.struct((-F.col("score")).alias("score"), "j").alias("item")), "item")
+        order = cut(order.select("item.j", "ord"))
+        if not order.limit(1).count():
             break
-        rows, items, rest = panda_core(left, order, w, w_fn)
-        frame = lambda js: spark.createDataFrame([(j,) for j in js], x.cols.select("j").schema)
-        while not exact and rest:
-            costs = {r["j"]: r["cost"] for r in panda_item_costs(x, fit, rows, rows.count(), rest, w, w_fp, w_fn).collect()}
-            at = next((n for n, e in enumerate(rest) if costs[e] <= 0), None)
-            if at is None:
+        rows, items, n_items = panda_core(left, order, w, w_fn)
+        rest = cut(order.join(items, "j", "left_anti"))
+        while not exact:
+            costs = panda_item_costs(x, fit, rows, rows.count(), rest.select("j"), w, w_fp, w_fn)
+            best = costs.filter("cost <= 0").join(rest, "j").orderBy("ord").limit(1).select("ord").collect()
+            if not best:
                 break
-            items.append(rest[at])
-            rest = rest[at + 1 :]
-            more = panda_row_costs(x, fit, rows, frame(items), len(items), w, w_fp, w_fn).filter("cost <= 0").select("i")
+            at = best[0]["ord"]
+            n_items, items = n_items + 1, cut(items.unionByName(rest.filter(F.col("ord") == at)))
+            rest = rest.filter(F.col("ord") > at)
+            more = panda_row_costs(x, fit, rows, items.select("j"), n_items, w, w_fp, w_fn).filter("cost <= 0").select("i")
             rows = cut(rows.unionByName(more))
         before = fit.counts(x)
         trial = Fit(fit.u, fit.v, fit.k, list(fit.log))
-        trial.add(rows, frame(items))
+        trial.add(rows, items)
         after = trial.counts(x)
         error = w_fp * (after["q"] - after["tp"]) + w_fn * (after["p"] - after["tp"])
         if error > w_fp * (before["q"] - before["tp"]) + w_fn * (before["p"] - before["tp"]) or error > cost:
@@ -511,8 +508,8 @@ def median_line(left: DataFrame, axis: int) -> DataFrame:
     """One row, `line` and `n`: of the columns (axis 0) or rows (axis 1) with uncovered ones, fullest first, the middle one."""
     key = "j" if axis == 0 else "i"
     sums = left.filter(~F.col("hit")).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    ordered = sums.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(key).alias("line")))).alias("a"))  # one row a line
-    return ordered.select(F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("m")).select(F.col("m.line").alias("line"), (-F.col("m.n")).alias("n")).filter("line IS NOT NULL")
+    ordered = cut(factorized(sums.select(F.struct((-F.col("n")).alias("n"), F.col(key).alias("line")).alias("m")), "m"))
+    return ordered.filter(F.col("ord") == ordered.count() // 2).select(F.col("m.line").alias("line"), (-F.col("m.n")).alias("n"))
 
 
 def median_factor(left: DataFrame, axis: int, t: float) -> tuple[DataFrame, DataFrame]:

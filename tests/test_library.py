@@ -68,6 +68,25 @@ def test_more_than_63_patterns(spark):
     assert [(r["i"], r["j"]) for r in greedy.cells(x, part).filter("NOT hit").collect()] == [(69, 69)]
 
 
+def test_lines_stay_in_spark(spark, monkeypatch):
+    """Neither the middle line nor the order of items is found on the driver or in one array."""
+    x = matrix(spark, 6, 9, [(i, j) for i in range(6) for j in range(9) if (i < 3) == (j < 4) or (i + 2 * j) % 7 == 0])
+    left = greedy.cells(x, greedy.Fit())
+    for axis, key in ((0, "j"), (1, "i")):
+        sums = sorted((-r["count"], r[key]) for r in x.ones.groupBy(key).count().collect())
+        n, line = sums[len(sums) // 2]
+        middle = greedy.median_line(left, axis)
+        assert [tuple(r) for r in middle.collect()] == [(line, -n)]
+        assert "collect_list" not in middle._jdf.queryExecution().toString()
+    kind, most = type(x.ones), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: most.append(len(out := collect(df))) or out)
+    fit = greedy.panda(x, 2)
+    monkeypatch.undo()
+    assert fit.k == 2 and max(most) == 1
+    assert sorted(map(tuple, fit.u.collect())) == [(i, int(i > 2)) for i in range(6)] and sorted(map(tuple, fit.v.collect())) == [(j, int(j > 3)) for j in range(9)]
+
+
 def test_itemsets_of_any_size(spark):
     x = matrix(spark, 3, 5, [(i, j) for i in range(3) for j in range(5)])
     assert greedy.itemsets(x, 0.5).select("c").distinct().count() == 31 and greedy.itemsets(x, 0.5, 2).select("c").distinct().count() == 15
