@@ -600,7 +600,7 @@ def grecond_fit_k3(spark, d):
 
 @query()
 def grecond_plus_fit_k2(spark, d):
-    return tiles(greedy.grecond_plus(ue(spark, d), 2, 0, 2, 8, most=3))
+    return tiles(greedy.grecond_plus(ue(spark, d), 2, 0, 2, 8))
 
 
 def seeds(x: BoolMatrix) -> tuple[DataFrame, DataFrame]:
@@ -792,7 +792,7 @@ def nmf_cd_step(spark, d):
 
 @query()
 def nmf_fit(spark, d):
-    u, v, _ = co.nmf(ue(spark, d), K, method="nndsvd", max_iter=3)
+    u, v, _ = co.nmf(ue(spark, d), K, method="nndsvd", max_iter=1000, converged=1e-4)
     return stepped(v)
 
 

@@ -237,10 +237,11 @@ def line_gains(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp,
     return left_side.unionByName(right_side)
 
 
-def expanded(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp, w_fn, most: int = 1000) -> tuple[DataFrame, DataFrame, list]:
-    """The pattern with the best line added while that gains; ties: rows first, then the smallest id. Also the lines added."""
+def expanded(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp, w_fn, most: int | None = None) -> tuple[DataFrame, DataFrame, list]:
+    """The pattern with the best line added while that gains, or `most` lines; ties: rows first, then the smallest id. Also the
+    lines added."""
     added: list = []
-    while len(added) < most:
+    while most is None or len(added) < most:
         g = line_gains(x, fit, rows, cols, w_fp, w_fn).filter("gain > 0")
         best = g.orderBy(F.desc("gain"), F.desc("axis"), "__i", "__j").limit(1).collect()
         if not best:
@@ -276,7 +277,7 @@ def needless_lines(x: BoolMatrix, u: DataFrame, v: DataFrame, f: int) -> DataFra
     return rows.unionByName(seen.groupBy("j").agg(good.alias("good")).filter("good").select(F.lit("col").alias("axis"), F.col("j").cast("string").alias("id")))
 
 
-def grecond_plus(x: BoolMatrix, k: int, tol: int = 0, w_fp=1, w_fn=1, most: int = 1000) -> Fit:
+def grecond_plus(x: BoolMatrix, k: int, tol: int = 0, w_fp=1, w_fn=1, most: int | None = None) -> Fit:
     """Concepts that grow by lines while the cover gains; patterns within a new one go, and so do added lines that all other
     patterns cover."""
     fit, lines = Fit(), {}

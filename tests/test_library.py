@@ -87,6 +87,16 @@ def test_lines_stay_in_spark(spark, monkeypatch):
     assert sorted(map(tuple, fit.u.collect())) == [(i, int(i > 2)) for i in range(6)] and sorted(map(tuple, fit.v.collect())) == [(j, int(j > 3)) for j in range(9)]
 
 
+def test_fits_run_to_their_end(spark):
+    import inspect
+
+    for fit in (greedy.expanded, greedy.grecond_plus):
+        assert inspect.signature(fit).parameters["most"].default is None
+    errors = continuous.nmf(block(spark), 2, max_iter=1000, converged=0.05)[2]
+    n = len(errors) - 1
+    assert n < 1000 and n % 10 == 0 and errors[-11] ** 0.5 - errors[-1] ** 0.5 < 0.05 * errors[0] ** 0.5
+
+
 def test_itemsets_of_any_size(spark):
     x = matrix(spark, 3, 5, [(i, j) for i in range(3) for j in range(5)])
     assert greedy.itemsets(x, 0.5).select("c").distinct().count() == 31 and greedy.itemsets(x, 0.5, 2).select("c").distinct().count() == 15
