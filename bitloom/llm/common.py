@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,19 +17,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a folder of its own only where that is unset."""
+    """The folder all executors share: `spark.checkpoint.dir`; a folder of its own only where that is unset and all runs in one
+    process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+def _file(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: the table is written to the shared folder and read again, with the same schema."""
+    """Cuts the lineage: the table is written to the shared folder and read again, with the same schema. It goes with the
+    session, or before by `discard`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what `written` wrote; nothing may still have to read it."""
+    fs, at = _file(df.sparkSession, df._written_to)
+    fs.delete(at, True)
+
+
+def worker_state(name: str) -> dict:
+    """A dict that lives as long as the Python worker. This package travels to the executors by value, so that its own globals
+    are new in every task; a module that is registered under a name of its own stays."""
+    module = sys.modules.setdefault("bitloom_worker_state", types.ModuleType("bitloom_worker_state"))
+    return module.__dict__.setdefault(name, {})
 
 
 def let(value: Column, body) -> Column:
@@ -58,8 +88,6 @@ def add(values: Column, kind: str = "bigint") -> Column:
     return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: a + x)
 
 
-
-
 def boxed(docs: DataFrame, **more: Column) -> DataFrame:
     """The rows as one column `row`, besides more: extra columns of any name clash with nothing."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])

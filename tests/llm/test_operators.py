@@ -136,11 +136,28 @@ def test_chat(spark):
         loss = "".join(t for _, _, r, t in own if r == "assistant")
         assert got[c]["turns_sha256"] == brute.sha("".join(f"{r}\n{t}\n" for _, _, r, t in own)) and got[c]["n_turns"] == len(own)
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), brute.sha(loss))
-    examples = [r for r in chat_expansion.expand(df).collect()]
-    assert sum(len(r["text"]) for r in examples if r["conv_id"] == 1) == got[1]["formatted_chars"]
-    one = next(r for r in examples if r["conv_id"] == 1 and r["example"] == 0)
-    assert one["text"].endswith("</turn>\n") and one["text"][one["loss_start"] :][: one["loss_chars"]] == said.replace("\\", "\\b").replace("<", "\\l").replace("#", "\\h")
     assert chat_expansion.query(df.limit(0)).count() == 0
+    # every reply is an example of its own, its text stands under the mask, and all turns before it are its context
+    code = lambda t: t.replace("\\", "\\b").replace("<", "\\l").replace("#", "\\h")
+    for block in (1, 90, chat_expansion.BLOCK):
+        examples = defaultdict(list)
+        for r in chat_expansion.expand(df, block).orderBy("example").collect():
+            examples[r["conv_id"]].append(r)
+        for c in {t[0] for t in turns}:
+            own = sorted(((t[1] is not None, t[1] or 0, t[2] or "", t[3] or "") for t in turns if t[0] == c))
+            pieces = [f"### {code(r).replace(':', chr(92) + 'c')}: {code(t)}</turn>\n" for _, _, r, t in own]
+            ends = [k for k, (_, _, r, _) in enumerate(own) if r == "assistant" or k == len(own) - 1]
+            assert [r["text"] for r in examples[c]] == ["".join(pieces[: k + 1]) for k in ends] and [r["example"] for r in examples[c]] == list(range(len(ends)))
+            assert [r["text"][r["loss_start"] :][: r["loss_chars"]] for r in examples[c]] == [code(own[k][3]) if own[k][2] == "assistant" else "" for k in ends]
+            assert got[c]["formatted_chars"] == sum(len(r["text"]) for r in examples[c]) and [r["last"] for r in examples[c]] == [k == ends[-1] for k in ends]
+        assert {r["conv_id"]: r for r in chat_expansion.query(df, block).collect()} == got
+
+
+def test_chat_long(spark):
+    """Many turns and very long texts, in blocks of one task each and in one."""
+    turns = spark.range(600).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('said ', id, '<é', repeat('x', IF(id = 301, 200000, 3))) AS text")
+    a, b = (chat_expansion.query(turns, n).collect() for n in (2_000_000, 10**12))
+    assert a == b and a[0]["n_turns"] == 600 and a[0]["loss_chars"] == sum(len(f"said {k}<é") + (200_000 if k == 301 else 3) for k in range(1, 600, 2))
 
 
 def test_simhash(spark, rows):
