@@ -1,22 +1,31 @@
 """Quality rules with cross-document line frequency, as DataFrame operations alone.
 
-A line counts once for each distinct text of a host (`source`) that holds it. Lines above `max_docs` distinct texts are
-boilerplate: they are removed from every text but the one that had them first (that of the smallest doc_id), and a document
-whose remaining words are fewer than `min_share` of all its words is rejected as depleted.
+A line counts once for each distinct document of a host (`source`) that holds it; a document is a doc_id with its text. Lines in
+more documents than the host's limit are boilerplate: they are removed from every document but the one that had them first (that
+of the smallest doc_id), and a document whose remaining words are fewer than `min_share` of all its words is rejected as depleted.
+The limit follows the host's size: `share` of its rows, but at least `least` and at most `max_docs` documents, so that a host of
+ten pages loses what three of them repeat and a host of millions what 51 do.
+
+The lines are counted by partial sums, so a line that a third of all documents hold is no hot key there. Lines above the limit
+are few; they are counted, and broadcast up to BROADCAST_ROWS. Beyond, they meet the documents' lines by a shuffle in which each
+of them is dealt to SALTS keys.
 
 Defined results: null text is a text without words; null source is the host ''; a null doc_id counts as the largest; repeated
-rows and exact copies share one verdict, each row keeps its own output row; an empty table gives an empty table; other columns
-of the input are ignored.
+rows are one document and share one verdict, each row keeps its own output row; exact copies under several doc_ids are documents
+of their own; of documents that had a line first under one doc_id, the one of the smallest hash keeps it; very long texts are
+taken whole, in one row; an empty table gives an empty table; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import add, boxed, indices, let, space_words, unboxed
+from .common import add, boxed, indices, let, space_words, unboxed, written
 
-MAX_DOCS = 50
+MAX_DOCS, LEAST_DOCS, SHARE = 50, 2, 0.1
 MIN_SHARE = 0.5
+BROADCAST_ROWS = 200_000
+SALTS = 64
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -100,18 +109,41 @@ def line_counts(text: Column) -> Column:
     return let(F.sort_array(F.transform(lines, hashed)), of)
 
 
-def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """host, digest, line (hash), words: the boilerplate lines that each distinct text loses, with the words they take."""
+def host_of(docs: DataFrame) -> Column:
+    return F.coalesce(docs["source"], F.lit(""))
+
+
+def limit(rows: Column, max_docs: int, least: int, share: float) -> Column:
+    """In how many documents of a host of so many rows a line may be."""
+    return F.greatest(F.lit(float(least)), F.least(F.lit(float(max_docs)), F.lit(float(share)) * rows))
+
+
+def removed_lines(docs: DataFrame, max_docs: int = MAX_DOCS, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
+    """host, doc_id, digest, line (hash), words: the boilerplate lines that each document loses, with the words they take."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), F.xxhash64(text).alias("digest"), F.explode(line_counts(text)).alias("l"))
-    # one row for each distinct text and line: a common line is spread over the texts that hold it
-    held = lines.groupBy("host", F.col("l.line").alias("line"), "digest").agg(
-        F.min("doc_id").alias("first"), F.max(F.col("l.times") * F.col("l.w")).alias("words")
-    )
-    # sum("words") lets both branches read the same columns, so that Spark runs the exchange below once
-    common = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first_doc"), F.sum("words").alias("mass"))
-    common = common.filter((F.col("texts") > max_docs) & (F.col("mass") > 0)).select("host", "line", "first_doc")
-    return held.join(common, ["host", "line"]).filter(~F.col("first").eqNullSafe(F.col("first_doc"))).select("host", "digest", "line", "words")
+    lines = docs.select("doc_id", host_of(docs).alias("host"), F.xxhash64(text).alias("digest"), F.explode(line_counts(text)).alias("l"))
+    # one row for each document and line: a common line is spread over the documents that hold it
+    held = lines.groupBy("host", F.col("l.line").alias("line"), "doc_id", "digest").agg(F.max(F.col("l.times") * F.col("l.w")).alias("words"))
+    held = written(held, "lines")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))
+    common = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(order).alias("first")).filter(F.col("docs") > least)
+    rows = docs.groupBy(host_of(docs).alias("host")).agg(F.count(F.lit(1)).alias("rows"))
+    common = common.join(rows, "host").filter(F.col("docs") > limit(F.col("rows"), max_docs, least, share)).select("host", "line", "first")
+    common = written(common, "boilerplate")
+    if common.count() <= BROADCAST_ROWS:
+        found = held.join(F.broadcast(common), ["host", "line"])
+    else:
+        found = held.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)).cast("int"))
+        found = found.join(common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "line", "salt"])
+    return found.filter(~order.eqNullSafe(F.col("first"))).select("host", "doc_id", "digest", "line", "words")
+
+
+def lost_by(docs: DataFrame, keyed: DataFrame, lost: DataFrame) -> DataFrame:
+    """keyed (with host, id, digest) beside what its documents lose (its columns named l_...). Few such documents are broadcast,
+    so that no text is shuffled; the keys of many are distinct, so no key is hot but that of a repeated row."""
+    lost = lost.withColumnsRenamed({"host": "l_host", "doc_id": "l_id", "digest": "l_digest"})
+    same = (F.col("host") == F.col("l_host")) & F.col("id").eqNullSafe(F.col("l_id")) & (F.col("digest") == F.col("l_digest"))
+    return keyed.join(lost, same, "left")
 
 
 def without_lines(text: Column, gone: Column) -> Column:
@@ -126,30 +158,32 @@ def line_words(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), F.lit(0)).otherwise(F.size(space_words(F.array_join(lines, "\n"))))
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """One row a document: the counts, base_failed, removed_words and kept."""
-    text_words = removed_lines(docs, max_docs).groupBy("host", "digest").agg(F.sum("words").alias("removed_words"))
-    out = measures(docs).join(text_words, ["host", "digest"], "left")
+    lost = removed_lines(docs, max_docs, least, share).groupBy("host", "doc_id", "digest").agg(F.sum("words").alias("removed_words"))
+    out = lost_by(docs, measures(docs).withColumnRenamed("doc_id", "id"), lost)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     removed = F.coalesce(F.col("removed_words"), F.lit(0)).cast("bigint")
     out = out.withColumn("base_failed", failed).withColumn("removed_words", removed)
     depleted = (F.col("n_words") - F.col("removed_words")).cast("double") < F.lit(float(min_share)) * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).withColumnRenamed("id", "doc_id").drop("l_host", "l_id", "l_digest")
 
 
 def query(docs: DataFrame) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
-def filtered(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def filtered(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """The documents that pass, with their boilerplate lines removed and n_chars set anew; all their columns, in order."""
-    lost = removed_lines(docs, max_docs).groupBy("host", "digest").agg(F.collect_set("line").alias("gone"))
+    lost = removed_lines(docs, max_docs, least, share).groupBy("host", "doc_id", "digest").agg(F.collect_set("line").alias("gone"))
+    lost = written(lost, "losses")
     text = F.coalesce(F.col("text"), F.lit(""))
     words = let(space_words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).alias("r")))
-    keyed = boxed(docs, host=F.coalesce(F.col("source"), F.lit("")), digest=F.xxhash64(text), w=words)
+    keyed = boxed(docs, host=host_of(docs), id=F.col("doc_id"), digest=F.xxhash64(text), w=words)
     # a text that fails by itself needs no join
     keyed = keyed.filter((F.col("w.n") >= 50) & (100 * F.col("w.r") <= 50 * F.col("w.n")))
-    out = keyed.join(lost, ["host", "digest"], "left")
+    taken = lost.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("n")).first()["n"]
+    out = lost_by(docs, keyed, F.broadcast(lost) if taken <= BROADCAST_ROWS else lost)
     body = F.col("row.text")
     rest = F.col("w.n") - line_words(body, F.col("gone"))
     out = out.filter(rest.cast("double") >= F.lit(float(min_share)) * F.col("w.n"))
@@ -173,24 +207,27 @@ hit AS (
     WHERE times > 1)
   GROUP BY body),
 held AS (
-  SELECT host, line, body, any_value(first_id) AS first_id, count(*) * any_value(len(string_split(line, ' '))) AS words FROM (
-    SELECT first_id, host, body,
+  SELECT host, line, doc_id, body, count(*) * any_value(len(string_split(line, ' '))) AS words FROM (
+    SELECT doc_id, host, body,
            trim(regexp_replace(translate(lower(x), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
-    FROM (SELECT first_id, host, body, unnest(string_split(body, chr(10))) AS x
-          FROM (SELECT host, body, min(doc_id) AS first_id FROM base GROUP BY host, body)))
-  WHERE line <> '' GROUP BY host, line, body),
-common AS (SELECT host, line, min(first_id) AS first_doc FROM held GROUP BY host, line HAVING count(*) > 50),
+    FROM (SELECT doc_id, host, body, unnest(string_split(body, chr(10))) AS x
+          FROM (SELECT DISTINCT host, doc_id, body FROM base)))
+  WHERE line <> '' GROUP BY host, line, doc_id, body),
+hosts AS (SELECT host, count(*) AS n FROM base GROUP BY host),
+common AS (
+  SELECT host, line, min(doc_id) AS first_doc FROM held JOIN hosts USING (host) GROUP BY host, line
+  HAVING count(*) > greatest(2, least(50, CAST(0.1 AS DOUBLE) * any_value(n)))),
 lost AS (
-  SELECT host, body, CAST(sum(words) AS BIGINT) AS removed
-  FROM held JOIN common USING (host, line) WHERE first_id <> first_doc GROUP BY host, body),
+  SELECT host, doc_id, body, CAST(sum(words) AS BIGINT) AS removed
+  FROM held JOIN common USING (host, line) WHERE doc_id <> first_doc GROUP BY host, doc_id, body),
 counts AS (
-  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  SELECT b.doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(b.body, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(b.body) - length(regexp_replace(b.body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words,
          CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
-  FROM base b LEFT JOIN hit ON b.body = hit.body LEFT JOIN lost ON b.host = lost.host AND b.body = lost.body)
+  FROM base b LEFT JOIN hit ON b.body = hit.body LEFT JOIN lost ON b.host = lost.host AND b.doc_id = lost.doc_id AND b.body = lost.body)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, removed_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)

@@ -48,23 +48,58 @@ def test_quality_counts(spark, rows):
     assert got == Counter((i, *brute.base_quality(t)) for i, t, _ in rows[0])
 
 
-def test_quality_lines(spark):
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_quality_lines(spark, bound, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", bound)
     common = prose(40, "line")
     texts = [(k, f"{prose(60, k)}\n{common}", "s") for k in range(12)] + [(k, f"{common}\n{prose(12, k)}", "s") for k in range(20, 24)]
     texts += [(50 + k, texts[3][1], "s") for k in range(30)] + [(99, f"{common}\n{prose(12, 99)}", "alone")]
-    got = {r["doc_id"]: r for r in quality_rules.judge(table(spark, texts), max_docs=8).collect()}
+    rule = {"max_docs": 8, "least": 8}
+    got = {r["doc_id"]: r for r in quality_rules.judge(table(spark, texts), **rule).collect()}
     assert len(got) == len(texts)
     assert not any(got[k]["kept"] for k in range(20, 24)) and got[99]["kept"]  # depleted; the other host has it once
     assert all(got[k]["kept"] for k in range(12)) and got[0]["removed_words"] == 0 and got[1]["removed_words"] == 40
-    kept = {r["doc_id"]: r for r in quality_rules.filtered(table(spark, texts), max_docs=8).collect()}
+    assert not any(got[50 + k]["kept"] for k in range(30))  # copies of 3, which keeps its own line but not the common one
+    kept = {r["doc_id"]: r for r in quality_rules.filtered(table(spark, texts), **rule).collect()}
     assert set(kept) == {k for k, r in got.items() if r["kept"]}
     assert kept[1]["text"] == prose(60, 1) and kept[1]["n_chars"] == len(kept[1]["text"]) and kept[0]["text"] == texts[0][1] and kept[1]["a.b"] == 6
 
 
+def quality_brute(rows, max_docs=50, least=2, share=0.1, min_share=0.5):
+    """doc_id -> (removed words, kept), for distinct doc_ids and plain lines."""
+    held, sizes, out = defaultdict(list), Counter(s for _, _, s in rows), {}
+    for i, t, s in rows:
+        for line in {x.strip().lower() for x in t.split("\n")} - {""}:
+            held[s, line].append(i)
+    for i, t, s in rows:
+        gone = 0
+        for line in [x.strip().lower() for x in t.split("\n")]:
+            docs = held.get((s, line), ())
+            if len(docs) > max(least, min(max_docs, share * sizes[s])) and i != min(docs):
+                gone += len(line.split())
+        n = len(t.split())
+        out[i] = (gone, not brute.base_quality(t)[-1] and n - gone >= min_share * n)
+    return out
+
+
+def test_quality_limits_follow_the_host(spark):
+    """Hosts of 10, 100 and 700 pages: a line goes from 3, 11 and 51 documents on; exact copies are documents of their own."""
+    word = lambda *key: " ".join("".join(chr(97 + b % 26) for b in hashlib.sha256(f"{key}{k}".encode()).digest()[:7]) for k in range(60))
+    rows, at = [], 0
+    for host, size in (("a", 10), ("b", 100), ("c", 700)):
+        for k in range(size):
+            lines = [word(host, k)] + [f"seen in {chr(97 + n % 26) * (n // 26 + 1)} of them" for n in (2, 3, 10, 11, 50, 51) if k < n] + (["all copies of one page"] if k % 7 == 1 else [])
+            rows.append((at, "\n".join(lines if k % 7 != 1 else [word(host, "copy"), lines[-1]]), host))
+            at += 1
+    got = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in quality_rules.query(table(spark, rows)).collect()}
+    assert got == quality_brute(rows) and sum(not k for _, k in got.values()) == 14 + 99
+
+
 def test_quality_sql_removes_lines(spark):
     """The query against its SQL on a table where lines do go: 60 texts of one host share a line, 10 of them hold little else."""
     common = prose(40, "line")
     texts = [(k, f"{prose(60 if k < 50 else 12, k)}\n{common}", "s") for k in range(60)] + [(100 + k, f"{common}\n{prose(60, k)}", "t") for k in range(50)]
+    texts += [(200 + k, f"{prose(60, k)}\nsmall host, three of them\nin all", "u") for k in range(3)] + [(300 + k, texts[60][1], "t") for k in range(4)] + [texts[3]]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", texts)
@@ -72,7 +107,7 @@ def test_quality_sql_removes_lines(spark):
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({quality_rules.ORACLE})").fetchall()
     got = df.collect()
     assert Counter(map(tuple, got)) == Counter(want)
-    assert sum(r["removed_words"] for r in got) == 59 * 40 and {r["doc_id"] for r in got if not r["kept"]} == set(range(50, 60))
+    assert sum(r["removed_words"] for r in got if r["doc_id"] < 100) == 60 * 40 and {r["doc_id"] for r in got if r["doc_id"] < 100 and not r["kept"]} == set(range(50, 60))
 
 
 def test_packing(spark, rows):
