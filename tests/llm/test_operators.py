@@ -239,10 +239,41 @@ def test_licences(spark, rows):
 
 
 def test_expressions():
-    of = license_scan.restriction
-    assert of("mit or gpl-3.0-only")[0] == 1 and of("mit and gpl-3.0-only")[0] == 3 and of("gpl-3.0-only with classpath-exception-2.0")[0] == 2
-    assert of("mit or apache-2.0 and agpl-3.0")[0] == 1 and of("(mit or apache-2.0) and agpl-3.0")[0] == 4
-    assert of("mit or") == (1, ["mit"]) and of("unknown-1.0") == (None, []) and of("") == (None, []) and of(") mit (")[0] == 1
+    def of(text):
+        found, read = license_scan.evaluated(text)
+        return max(found.values(), default=None), sorted(found), read
+
+    assert of("mit or gpl-3.0-only") == (1, ["mit"], True) and of("mit and gpl-3.0-only") == (3, ["gpl-3.0-only", "mit"], True)
+    assert of("gpl-3.0-only with classpath-exception-2.0") == (2, ["gpl-3.0-only"], True) and of("mit or apache-2.0") == (1, ["mit"], True)
+    assert of("mit or apache-2.0 and agpl-3.0")[:2] == (1, ["mit"]) and of("(mit or apache-2.0) and agpl-3.0")[:2] == (4, ["agpl-3.0", "mit"])
+    assert of("mit or") == (1, ["mit"], False) and of("unknown-1.0") == (None, [], True) and of("") == (None, [], False) and of(") mit (")[0] == 1
+    assert of("unknown-1.0 or gpl-2.0-only")[:2] == (3, ["gpl-2.0-only"]) and len(license_scan.IDS) < 200
+
+
+def test_licence_labels():
+    """The method's own labels, its score, overlapping phrases, and what ends an expression."""
+    import time
+
+    def of(text):
+        r = license_scan.scanned(text.encode(), *license_scan.automata())
+        return r["base_labels"], r["labels"], round(r["score"], 6), r["restriction"]
+
+    tag = "// SPDX-License-Identifier: "
+    assert of(tag + "MIT OR GPL-3.0-only") == ("", "spdx:mit,terms:notice", 0.6, 1)
+    assert of(tag + "MIT AND GPL-3.0-only") == ("", "spdx:gpl-3.0-only,spdx:mit,terms:copyleft", round(1 - 0.4 * 0.2, 6), 3)
+    assert of(tag + "MIT OR") == ("", "spdx:mit,terms:notice", 0.5, 1) and of(tag + "nothing known") == ("", "", 0.0, None)
+    assert of("GNU Lesser General Public License, version 3") == ("gpl", "gpl,lgpl", 0.84, None)
+    assert of("The MIT License. All rights reserved.")[:3] == ("mit", "mit,proprietary", 0.84)
+    assert of(f"/* {tag}MIT */ gpl-2.0\n<!-- {tag}ISC --> agpl-3.0 {tag}Zlib {tag}0BSD")[1] == "spdx:0bsd,spdx:isc,spdx:mit,spdx:zlib,terms:notice"
+    r = license_scan.scanned(b"mit license apache license mit license general public license", *license_scan.automata())
+    assert (r["n_base"], r["first_word"], r["last_word"], r["n_words"]) == (4, 0, 6, 9)
+    assert license_scan.scanned(None, *license_scan.automata())["score"] == 0.0
+    took = []
+    for n in (5_000, 40_000):  # tags in one line: in proportion to their number
+        began = time.time()
+        assert license_scan.scanned((f"{tag}MIT " * n).encode(), *license_scan.automata())["labels"] == "spdx:mit,terms:notice"
+        took.append(time.time() - began)
+    assert took[1] < 30 * took[0] + 1
 
 
 @pytest.mark.parametrize("bound", [0, 300_000])
@@ -474,6 +505,25 @@ def test_url_collisions(tmp_path, monkeypatch):
     assert index.find(["ab/", "cd/", "ef/", "xyz/", "none/"]).tolist() == [i if i is not None else -1 for i in (next(k for k in range(3) if index.string(k) == "ab/"), next(k for k in range(3) if index.string(k) == "cd/"), None, next(k for k in range(3) if index.string(k) == "xyz/"), None)]
 
 
+def test_urls_by_a_million_rules(spark, tmp_path):
+    """Rules from a table; the index is opened by its header; each url against a plain look-up."""
+    path = tmp_path / "index"
+    path.write_bytes(url_rules.index_bytes((("block", "allow")[k % 2], f"h{k}.example.com/{'p' * (k % 3)}") for k in range(1_000_000)))
+    index = url_rules.Index(str(path))
+    assert index.n == 1_000_000 and index.path_lengths == [1, 2, 3]
+    asked = [f"h{k}.example.com/{'p' * (k % 3)}" for k in range(0, 1_000_000, 997)]
+    at = index.find([*asked, *("not" + a for a in asked)])
+    assert [index.string(i) for i in at[: len(asked)]] == asked and (at[len(asked) :] == -1).all()
+    rules = spark.range(3000).selectExpr("IF(id % 2 = 0, 'block', 'allow') AS verdict", "concat('h', id, '.com/', repeat('p', cast(id % 3 AS int))) AS rule")
+    pages = spark.range(6000).selectExpr("id AS page_id", "concat('https://www.h', id, '.com/ppp') AS url").union(spark.createDataFrame([(-1, "http://x.y/" + "z" * 200_000)], "page_id bigint, url string"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(pages, rules.union(rules), spark.createDataFrame([("y",)], "term string")).collect()}
+    assert got == {k: ((f"h{k}.com/{'p' * (k % 3)}", ("block", "allow")[k % 2]) if k < 3000 else (None, "allow")) for k in range(6000)} | {-1: (None, "block")}
+    for bad in ([("block", "no-path")], [("block", "a/"), ("allow", "b")]):
+        with pytest.raises(ValueError):
+            url_rules.index_bytes(bad)
+    assert url_rules.judge(pages, [], []).filter("rule IS NOT NULL OR verdict <> 'allow'").count() == 0
+
+
 def test_sql(spark):
     """Queries that SQL can express, on the smallest tables."""
     from bitloom.llm.queries import ORACLE_SQL, QUERIES
