@@ -7,11 +7,12 @@ number of lengths, not of documents. At most 2 x size patterns arise, as a lengt
 at most one pattern and opens at most two, and a pattern holds fewer than sqrt(2 x size) distinct lengths: that bounds the table that is broadcast.
 
 Pieces find their place by their rank among the pieces of their length. The rank is the number of pieces of that length in
-earlier buckets plus the row number within the bucket; buckets are ranges of a hash, and their number grows with the table, so
-that a length that a third of all pieces share is numbered by many tasks.
+earlier buckets plus the row number within the bucket. A length has as many buckets as its count asks for, so that a length that a
+third of all pieces share is numbered by all tasks; pieces fall into them by a row number of their own, so that copies part too.
+A rank is looked up among the slots of its length by binary search.
 
 Defined results: null text is the empty text, whose only token is the end token; repeated rows are pieces of their own; a null
-doc_id is kept; an empty table gives an empty table; other columns are ignored.
+doc_id is kept; very long texts are encoded whole, in one task each; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,17 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import worker_state, written
 
 SIZE = 2048
 END = 1
 END_BYTES = END.to_bytes(4, "little")
-BUCKET_ROWS = 50_000
+SPREAD = 4
 CACHE = 400_000
 TAILS = string.punctuation.replace("'", "")
-PIECE = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+PIECE = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, row bigint"
 
 
 def tokenizer_path() -> str:
@@ -120,20 +122,18 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder a Python worker: Spark gives a worker many tasks in turn, and words met in one come again in the next."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    kept = worker_state("encoders")
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
 
 
 def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids: the pieces of all documents."""
+    """doc_id, start, length, ids_crc32, doc_tokens, row (a number of its own) and, if asked for, ids: the pieces of all documents."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, row = encoder(path), TaskContext.get().partitionId() << 33
         for batch in batches:
             rows: list = []
             for at in range(0, batch.num_rows, 256):  # bounds what is held as Python objects
@@ -144,10 +144,11 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids:
                     n = len(data) // 4
                     for start in range(0, n, size):
                         part = data[4 * start : 4 * (start + size)]
-                        rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, *([np.frombuffer(part, "<u4").tolist()] if with_ids else [])))
-            cols = list(zip(*rows, strict=True)) or [[] for _ in range(6 if with_ids else 5)]
-            kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+                        rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, row, *([np.frombuffer(part, "<u4").tolist()] if with_ids else [])))
+                        row += 1
+            cols = list(zip(*rows, strict=True)) or [[] for _ in range(7 if with_ids else 6)]
+            kinds = [batch.schema.field("doc_id").type, *[pa.int64()] * 5, pa.list_(pa.int32())]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
 
     schema = PIECE.format(kind=docs.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
@@ -215,29 +216,43 @@ def slots(patterns: list, size: int = SIZE) -> list[tuple[int, int, int, int, in
     return out
 
 
-def ranked(table: DataFrame, n_rows: int) -> DataFrame:
+def ranked(table: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """With `rank`: 0, 1, ... among the pieces of one length."""
-    buckets = max(1, n_rows // BUCKET_ROWS)
-    keyed = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
-    ahead = keyed.groupBy("length", "bucket").count()
+    spark = table.sparkSession
+    each = max(1, -(-sum(histogram.values()) // (SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    number = F.broadcast(spark.createDataFrame([(n, -(-count // each)) for n, count in histogram.items()] or [(0, 1)], "length bigint, buckets bigint"))  # at most size rows
+    keyed = table.join(number, "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets"))).drop("buckets")
+    # at most size + SPREAD x partitions rows
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = ahead.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
-    return keyed.withColumn("__n", F.row_number().over(within) - 1).join(ahead, ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.col("__n")).drop("bucket", "__n", "ahead")
+    ahead = keyed.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("length", "bucket").orderBy("row")
+    return keyed.withColumn("__n", F.row_number().over(within) - 1).join(F.broadcast(ahead), ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.col("__n")).drop("bucket", "__n", "ahead")
+
+
+def placed(rows: DataFrame, where: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """rows (with length and rank) with sequence_id and offset, for the slots `where`."""
+    length, first, _, times, sequence, base = np.array(sorted(where) or [(0, 0, 0, 1, 0, 0)], dtype=np.int64).T
+    sent = rows.sparkSession.sparkContext.broadcast(((length << 48) + first, first, times, sequence, base))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, first, times, sequence, base = sent.value
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+            at = np.searchsorted(keys, (length << 48) + rank, "right") - 1
+            nth = rank - first[at]
+            # times pieces of this length stand side by side in one pack
+            extra = [pa.array(sequence[at] + nth // times[at]), pa.array(base[at] + nth % times[at] * length)]
+            kept = [c for c in batch.schema.names if c != "rank"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *extra], names=[*kept, "sequence_id", "offset"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "rank"]
+    return rows.mapInArrow(run, ", ".join([*kinds, "sequence_id bigint", "offset bigint"]))
 
 
 def assigned(table: DataFrame, size: int = SIZE) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    spark = table.sparkSession
     histogram = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # at most size rows
-    places = slots(packed(histogram, size), size)
-    where = spark.createDataFrame(places or [(0, 0, 0, 1, 0, 0)], "length bigint, first bigint, n bigint, times bigint, sequence bigint, base bigint")
-    rows = ranked(table, sum(histogram.values()))
-    rows = rows.join(F.broadcast(where), "length").filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
-    at = F.col("rank") - F.col("first")
-    # times pieces of this length stand side by side in one pack
-    rows = rows.withColumn("sequence_id", F.col("sequence") + F.floor(at / F.col("times")).cast("bigint"))
-    return rows.withColumn("offset", F.col("base") + (at % F.col("times")) * F.col("length")).drop("first", "n", "times", "sequence", "base", "rank")
+    return placed(ranked(table, histogram), slots(packed(histogram, size), size)).drop("row")
 
 
 def pack(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = False) -> DataFrame:

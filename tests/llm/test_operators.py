@@ -161,6 +161,34 @@ def test_packed_padding():
         assert sum(a * n for a, n in mixed.items()) >= 0.95 * 2048 * packs(mixed)
 
 
+@pytest.mark.parametrize("shape", ["one", "two", "many"])
+def test_packed_sequences(spark, shape):
+    """Places of pieces of one, two and many lengths, repeated rows among them: gapless, each sequence once, little padding."""
+    r = random.Random(4)
+    lengths = {"one": [700] * 900, "two": [1000] * 400 + [300] * 600, "many": [min(2048, max(1, int(r.lognormvariate(5, 1)))) for _ in range(3000)] + [64] * 1500}[shape]
+    table = spark.createDataFrame([(k % 7, 0, n, 5, n, k) for k, n in enumerate(lengths)], "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, row bigint")
+    held = defaultdict(list)
+    for p in packing.assigned(table.repartition(5)).collect():
+        held[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert Counter(n for v in held.values() for _, n in v) == Counter(lengths)
+    for v in held.values():
+        ends = np.cumsum([n for _, n in sorted(v)])
+        assert [o for o, _ in sorted(v)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    least = {"one": 450, "two": 300, "many": -(-sum(lengths) // 2048)}[shape]
+    assert set(held) == set(range(len(held))) and len(held) <= 1.04 * least
+
+
+def test_encoder_on_all_texts():
+    """The ids of every text of a whole table against the tokenizer's own."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    for text, got in zip(texts, packing.Encoder(packing.tokenizer_path())(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     turns = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", "é😀 <b>\\b\\l"), (2, 0, "assistant", None), (2, 1, "assistant", "\\bx"), (None, 0, None, "#"), (3, None, "a:b\n#", ""), (3, 5, "assistant", "x"), (3, 5, "assistant", "x")]
