@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Labels are given for documents, so tokens are labelled first: a word is offending if it follows many different words in toxic
-documents and few in others (contexts are counted, not occurrences, so copies of one text weigh once). Tokens of offending words
-in toxic documents are labelled toxic, all others clean.
+Labels are given for documents, so tokens are labelled by expectation-maximisation. A word is evidence as far as it follows many
+different words in toxic documents and few in others (contexts are counted, not occurrences, so copies of one text weigh once).
+At first a token of a toxic document is toxic with the strength of its word's evidence; later with its marginal under the field
+fitted so far, given that at least one token of the document is toxic. All tokens of clean documents are clean.
 
 The field has two states. A token's features are its word, prefix and suffix and the words beside it, hashed into a fixed number
 of weights, so that the score of a token is the sum of three numbers that depend on one word each. Training and scoring share one
@@ -12,11 +13,13 @@ with a matrix that forgets what was before, so texts of any length share the pas
 A document's score is a logistic function, fitted to the document labels, of the largest marginal and of the expected number of
 toxic tokens. Tokens with a marginal of 0.5 or more give the offending offsets (code points, end exclusive; neighbours joined).
 
-The field is fitted on at most SAMPLE labelled rows, the first by a hash of doc_id; everything else covers all rows.
+The field is fitted on the labelled documents that come first by a hash of doc_id: at most SAMPLE rows, of texts of at most
+TEXT_BYTES each and SAMPLE_BYTES together, which bounds what reaches the driver. Everything else covers all rows.
 
-Defined results: null and empty texts get the score of a text without toxic tokens; a null doc_id counts as the id '' and rows
-with null labels are not learned from; a doc_id labelled more than once is toxic if any row says so; repeated rows keep their own
-output row; without labels of both kinds all scores are the share of toxic labels (0.5 without labels); other columns are ignored.
+Defined results: null and empty texts get the score of a text without tokens; very long texts are scored whole; a null doc_id
+counts as the id '' and rows with null labels are not learned from; a doc_id labelled more than once is toxic if any row says so;
+of a doc_id with several texts the smallest is learned from, and each is scored; repeated rows keep their own output row; without
+labels of both kinds all scores are the share of toxic labels (0.5 without labels); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-SAMPLE = 2500
+SAMPLE, TEXT_BYTES, SAMPLE_BYTES = 2500, 1_000_000, 64_000_000
 BITS = 18
 BLOCK = 128
 MIN_CONTEXTS = 5
 MIN_LOG_ODDS = 3.0
+SLOPE = 8.0
 CACHE = 300_000
 CHUNK = 2_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -195,37 +199,51 @@ class Field:
         return 1 / (1 + np.exp(-(bias + of_top * top + of_total * np.log1p(total))))
 
 
-def offending(texts: list[bytes], labels: list[int]) -> set[bytes]:
-    """Words that follow many different words in toxic texts and few in others."""
+def evidence(texts: list[bytes], labels: list[int]) -> dict[bytes, float]:
+    """How sure it is that a word of toxic texts is toxic, 0 to 1: by how many different words it follows in toxic texts against
+    others. MIN_LOG_ODDS (or what the clearest words have, if less) is a half."""
     pairs: tuple = (defaultdict(set), defaultdict(set))
     for text, label in zip(texts, labels, strict=True):
         words = [normal(w) for w in text.split()]
         for before, word in zip([b"", *words], words):
             pairs[label][word].add(before)
     totals = [sum(map(len, p.values())) or 1 for p in pairs]
-    out = set()
+    odds = {}
     for word, contexts in pairs[1].items():
-        other = len(pairs[0].get(word, ()))
-        if len(contexts) >= MIN_CONTEXTS and np.log((len(contexts) + 0.5) / totals[1]) - np.log((other + 0.5) / totals[0]) >= MIN_LOG_ODDS:
-            out.add(word)
-    return out
+        own, other = len(contexts), len(pairs[0].get(word, ()))
+        # few contexts tell little: the odds shrink towards 0
+        odds[word] = (np.log((own + 0.5) / totals[1]) - np.log((other + 0.5) / totals[0])) * min(1.0, own / MIN_CONTEXTS)
+    half = min(MIN_LOG_ODDS, 0.8 * max(odds.values(), default=0.0))
+    return {w: float(1 / (1 + np.exp(-SLOPE * (o - half)))) for w, o in odds.items() if o > 0}
 
 
-def fitted(texts: list[bytes], labels: list[int], rounds: int = 4, group: int = 250, rate: float = 0.5, decay: float = 1e-6) -> Field:
-    """The field, from labelled texts: minibatch ascent of the likelihood with a step of its own for each weight."""
+def targets(p: np.ndarray, toxic: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Marginals p given the labels of the documents: none in a clean one, at least one in a toxic one."""
+    out = np.zeros(len(p))
+    if len(p):
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        some = 1 - np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), starts))
+        out = np.minimum(1.0, p / np.repeat(np.maximum(some, 1e-9), sizes[sizes > 0]))
+    return out * np.repeat(toxic, sizes)
+
+
+def fitted(texts: list[bytes], labels: list[int], rounds: int = 4, em: int = 2, group: int = 250, rate: float = 0.5, decay: float = 1e-6) -> Field:
+    """The field, from labelled texts: minibatch ascent of the likelihood with a step of its own for each weight, `rounds` times by
+    the evidence of words and then `em` times by the field's own marginals."""
     field = Field()
     share = (sum(labels) + 0.5) / (len(labels) + 1)
     field.document = (float(np.log(share / (1 - share))), 0.0, 0.0)
-    bad = offending(texts, labels) if 0 < sum(labels) < len(labels) else set()
-    if not bad:
+    if not 0 < sum(labels) < len(labels):
         return field
     ids_of, sizes_of = field.tokens(texts)
     words = [normal(w) for w in field.known]
     table = [features(w) for w in words]
-    own, after, before = (np.array([t[k] for t in table]) for k in range(3))
-    is_bad, ends = np.array([w in bad for w in words]), np.cumsum(sizes_of)
+    own, after, before = (np.array([t[k] for t in table], dtype=np.int64).reshape(len(table), -1 if k == 0 else 1) for k in range(3))
+    after, before = after.ravel(), before.ravel()
+    sure = evidence(texts, labels)
+    sure_of, ends = np.array([sure.get(w, 0.0) for w in words]), np.cumsum(sizes_of)
     w, squares, move_squares, first_squares = field.weights, np.full(1 << BITS, 1e-2), np.full((2, 2), 1e-2), np.full(2, 1e-2)
-    for _ in range(rounds):
+    for n in range(rounds + em):
         for at in range(0, len(texts), group):
             sizes = sizes_of[at : at + group]
             ids = ids_of[ends[at] - sizes_of[at] : ends[min(at + group, len(texts)) - 1]]
@@ -239,14 +257,15 @@ def fitted(texts: list[bytes], labels: list[int], rounds: int = 4, group: int =
             odds[1:] += w[after[met]][at_met[:-1]] * inner[1:]
             odds[:-1] += w[before[met]][at_met[1:]] * inner[1:]
             p, pairs = marginals(odds, starts, field.moves, field.first)
-            y = is_bad[ids] & np.repeat(np.array(labels[at : at + group], dtype=bool), sizes)
+            toxic = np.array(labels[at : at + group], dtype=float)
+            y = targets(sure_of[ids] if n < rounds else p, toxic, sizes)
             miss = y - p
             sums = [np.bincount(x, weights=m, minlength=len(met)) for x, m in ((at_met, miss), (at_met[:-1], miss[1:] * inner[1:]), (at_met[1:], miss[:-1] * inner[1:]))]
             slope = -decay * len(ids) * w
             for features_of, by_word in (*((own[met, k], sums[0]) for k in range(3)), (after[met], sums[1]), (before[met], sums[2])):
                 np.add.at(slope, features_of, by_word)
-            seen, state = np.zeros((2, 2)), y.astype(int)
-            np.add.at(seen, (state[:-1][inner[1:]], state[1:][inner[1:]]), 1)
+            state = np.stack([1 - y, y])
+            seen = (state[:, :-1] * inner[1:]) @ state[:, 1:].T  # expected moves, neighbours taken as independent
             begin = np.array([p[starts].sum() - y[starts].sum(), y[starts].sum() - p[starts].sum()])
             for value, g, sq in ((w, slope, squares), (field.moves, seen - pairs, move_squares), (field.first, begin, first_squares)):
                 sq += g * g
@@ -278,12 +297,22 @@ def spans(text: bytes, p: np.ndarray, least: float = 0.5) -> str:
     return ",".join(f"{a}:{b}" for a, b in out)
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of at most `rows` labelled documents."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, text_bytes: int = TEXT_BYTES, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int]]:
+    """Texts and labels of the first labelled documents, by a hash of doc_id: at most `rows`, texts of at most `text_bytes`, and no
+    more once they are `sample_bytes` together."""
     ids = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [(r["text"] or "").encode().translate(LOWER) for r in found], [int(r["toxic"] > 0) for r in found]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").filter(F.octet_length("text") <= text_bytes)
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts, marks, size = [], [], 0
+    for r in found.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():  # partition by partition, to the bound
+        data = r["text"].encode().translate(LOWER)
+        if (size := size + len(data)) > sample_bytes:
+            break
+        texts.append(data)
+        marks.append(int(r["toxic"] > 0))
+    return texts, marks
 
 
 def scored(docs: DataFrame, field: Field) -> DataFrame:

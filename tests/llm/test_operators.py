@@ -454,6 +454,55 @@ def test_toxicity(spark):
     assert len(empty) == 5 and all(abs(x["score"] - 0.5) < 1e-9 for x in empty)
 
 
+def test_document_scores():
+    """Scores of whole texts against all labellings of their tokens."""
+    import itertools
+
+    rng, field = np.random.default_rng(1), toxicity.Field()
+    field.weights, field.moves, field.first, field.document = rng.normal(size=1 << toxicity.BITS), rng.normal(size=(2, 2)), rng.normal(size=2), (-1.0, 2.0, 0.7)
+    texts = [b"", b"one", b"a bad, word here", b"bad bad (word) a one bad", b"a b c d e f g h i j", b" \n "]
+    top, total, p, sizes = field.inputs(texts)
+    got, at = field.scores(top, total), 0
+    for k, text in enumerate(texts):
+        words = [toxicity.features(toxicity.normal(w)) for w in text.split()]
+        odds = [sum(field.weights[f] for f in own) for own, _, _ in words]
+        for n in range(1, len(words)):
+            odds[n] += field.weights[words[n - 1][1]]
+            odds[n - 1] += field.weights[words[n][2]]
+        mass, whole = np.zeros(len(words)), 0.0
+        for y in itertools.product((0, 1), repeat=len(words)):
+            w = math.exp((field.first[y[0]] if y else 0) + sum(field.moves[i, j] for i, j in zip(y, y[1:])) + sum(o for o, b in zip(odds, y) if b))
+            mass, whole = mass + w * np.array(y), whole + w
+        mass = mass / whole
+        assert sizes[k] == len(words) and np.allclose(p[at : at + len(words)], mass)
+        at += len(words)
+        z = -1.0 + 2.0 * (mass.max() if len(mass) else 0.0) + 0.7 * math.log1p(mass.sum())
+        assert abs(got[k] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_targets():
+    """Given the label: nothing in clean texts; in toxic ones the marginals over the chance of any toxic token."""
+    p, sizes = np.array([0.5, 0.5, 0.9, 0.2]), np.array([2, 0, 1, 1])
+    assert np.allclose(toxicity.targets(p, np.array([1.0, 1.0, 0.0, 1.0]), sizes), [0.5 / 0.75, 0.5 / 0.75, 0.0, 1.0])
+
+
+def test_toxicity_without_clear_words(spark):
+    """Labels of both kinds but no word that is clear: scores still differ; bounds of the sample; several texts of one doc_id."""
+    r = random.Random(8)
+    rows = [(k, " ".join(r.choice(PROSE) for _ in range(30)) + (" stone wizards" if k % 3 == 0 and k % 2 else ""), "s") for k in range(90)]
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(90)]
+    docs, marks = table(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = toxicity.query(docs, marks).collect()
+    assert len({round(x["score"], 9) for x in got}) > 10
+    texts, kinds = toxicity.sample(docs, marks)
+    assert len(texts) == 90 and sum(kinds) == 30
+    assert sum(map(len, toxicity.sample(docs, marks, sample_bytes=900)[0])) <= 900 and len(toxicity.sample(docs, marks, rows=7)[0]) == 7
+    assert toxicity.sample(docs, marks, text_bytes=10)[0] == []
+    twice = table(spark, [(1, "zeta text", "s"), (1, "alpha text", "s"), (2, "x", "s"), (3, None, "s")])
+    found = dict(zip(*toxicity.sample(twice, spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 0, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int"))))
+    assert found == {b"alpha text": 1, b"x": 0, b"": 0}
+
+
 def ppm_brute(train, text, order):
     ctx = defaultdict(Counter)
     for t in train:
