@@ -240,17 +240,82 @@ def test_links_are_complete(spark, tile):
             b ^= (1 << r.randrange(64)) | (1 << r.randrange(64))
             fps.add(b)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), tile)
-    got = {r["fp"]: r["root"] for r in simhash.components(edges).collect()}
+    edges = simhash.links(simhash.banded(spark.createDataFrame([(f,) for f in signed], "fp bigint")), tile=tile)
+    got = {r["fp"]: r["root"] for r in simhash.components(edges, hub=3 if tile == 4 else simhash.HUB).collect()}
     want = brute.components([(s, s & ((1 << 64) - 1)) for s in signed])
     assert [got.get(s, s) for s in signed] == want
 
 
+@pytest.mark.parametrize("chunk, small", [(2, 1), (5, 1), (16, 8), (256, 64)])
+def test_tiles(chunk, small, monkeypatch):
+    """Many tiles a block, with pairs of tiles that are skipped: the links' components are those of all pairs of a block."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    r = random.Random(chunk)
+    block, fps = [], []
+    for k in range(12):
+        base = [r.getrandbits(64) & r.getrandbits(64) if n % 3 else r.getrandbits(64) | r.getrandbits(64) for n in range(r.randrange(1, 30))]
+        near = {b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(3)}
+        members = sorted({*base, *near})
+        block += [k] * len(members)
+        fps += members
+    a, b = simhash.linked_in_blocks(np.array(block), np.array(fps, np.uint64), chunk=chunk)
+    for k in range(12):
+        members = [f for f, x in zip(fps, block) if x == k]
+        want = brute.components(list(zip(members, members)))
+        edges = [(int(x), int(y)) for x, y in zip(a, b) if int(x) in members and int(y) in members]
+        root = {m: m for m in members}
+
+        def up(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in edges:
+            assert (x ^ y).bit_count() <= 64 and x != y
+            root[max(up(x), up(y))] = min(up(x), up(y))
+        assert [up(m) for m in members] == want
+
+
 def test_deduplicated(spark, rows):
+    """Against all pairs: within the radius, or near and with a part of their sketches in common."""
     kept = simhash.deduplicated(table(spark, rows[0]))
     assert kept.columns == table(spark, rows[0]).columns
-    prints = [(i, brute.fingerprint(t)) for i, t, _ in rows[0]]
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted({c for (i, _), c in zip(prints, brute.components(prints)) if c is not None and c == i})
+    made = [(i, brute.fingerprint(t), set(enumerate(simhash.sketch(simhash.shingle_hashes((t or "").encode()), simhash.SKETCHES)))) for i, t, _ in rows[0]]
+    want, seen = [], set()
+    for at in range(len(made)):
+        group, todo = {at}, [at]
+        while todo:
+            x = todo.pop()
+            for y in range(len(made)):
+                d = (made[x][1] ^ made[y][1]).bit_count()
+                if y not in group and (d <= simhash.RADIUS or d <= simhash.NEAR and made[x][2] & made[y][2]):
+                    group.add(y)
+                    todo.append(y)
+        if at not in seen:
+            want.append(min((made[k][0] is None, made[k][0] or 0) for k in group))
+        seen |= group
+    got = [(r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()]
+    assert sorted(got) == sorted(want) and (False, 7) not in got
+
+
+def test_near_copies(spark):
+    """Copies of similarity 0.8 and more on shingles of five words go, others stay; repeated rows stay once, two texts of one id apart."""
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    r, rows, close = random.Random(6), [], 0
+    for k in range(150):
+        words = prose(r.randrange(60, 400), f"near{k}").split()
+        rows.append((2 * k, " ".join(words), "s"))
+        for at in r.sample(range(len(words)), max(1, len(words) // 60)):
+            words[at] = f"other{at}"
+        a, b = shingles(rows[-1][1]), shingles(" ".join(words))
+        if len(a & b) >= 0.8 * len(a | b):
+            rows.append((2 * k + 1, " ".join(words), "s"))
+            close += 1
+    rows += [rows[0], (0, prose(80, "another text of id 0"), "s"), (None, rows[5][1], "s"), (None, prose(70, "no id"), "s")]
+    left = Counter((x["doc_id"], x["text"]) for x in simhash.deduplicated(table(spark, rows)).collect())
+    assert close > 100 and max(left.values()) == 1
+    assert sum(i is not None and i % 2 for i, _ in left) <= 0.1 * close
+    assert {(i, t) for i, t in left if i is None or i % 2 == 0} == {(i, t) for i, t, _ in rows if i is None and t != rows[5][1] or i is not None and i % 2 == 0}
 
 
 def test_licences(spark, rows):
