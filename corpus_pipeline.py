@@ -2,14 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the columns
 of documents. run() writes what a stage returns to the shared folder and gives the next one what it reads back, so that an
-executor that is lost costs one stage at most."""
+executor that is lost costs one stage at most; what a stage read is deleted once its own output stands."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from bitloom.llm import decontamination, packing, pii, quality_rules, simhash
-from bitloom.llm.common import read_table, written
+from bitloom.llm.common import discard, read_table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
