@@ -277,10 +277,15 @@ def test_tiles(chunk, small, monkeypatch):
 
 
 def test_deduplicated(spark, rows):
-    """Against all pairs: within the radius, or near and with a part of their sketches in common."""
+    """Against all pairs: within the radius, or near with a part of their sketches in common and signatures that agree."""
     kept = simhash.deduplicated(table(spark, rows[0]))
     assert kept.columns == table(spark, rows[0]).columns
-    made = [(i, brute.fingerprint(t), set(enumerate(simhash.sketch(simhash.shingle_hashes((t or "").encode()), simhash.SKETCHES)))) for i, t, _ in rows[0]]
+    made = [(i, brute.fingerprint(t), *simhash.sketch(simhash.shingle_hashes((t or "").encode()))) for i, t, _ in rows[0]]
+
+    def alike(x, y):
+        pairs = [(a, b) for a, b in zip(x[3], y[3]) if a or b]
+        return set(x[2]) & set(y[2]) and sum(a == b for a, b in pairs) >= simhash.SIMILAR * len(pairs)
+
     want, seen = [], set()
     for at in range(len(made)):
         group, todo = {at}, [at]
@@ -288,7 +293,7 @@ def test_deduplicated(spark, rows):
             x = todo.pop()
             for y in range(len(made)):
                 d = (made[x][1] ^ made[y][1]).bit_count()
-                if y not in group and (d <= simhash.RADIUS or d <= simhash.NEAR and made[x][2] & made[y][2]):
+                if y not in group and (d <= simhash.RADIUS or d <= simhash.NEAR and alike(made[x], made[y])):
                     group.add(y)
                     todo.append(y)
         if at not in seen:
