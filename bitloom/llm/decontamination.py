@@ -5,14 +5,17 @@ words that two texts share therefore share a kept hash at the same place of the
 with those of the benchmark, and each hit is extended by up to SPAN - GRAM words to both sides, comparing word by word: that
 is all that windows of SPAN words around it can reach. Both sides carry the words around a kept hash as 64-bit hashes.
 
-Items of fewer than SPAN words are one window of their own length, which the winnowing guarantee does not reach: for each such
-length that occurs (at most SPAN - 1), the documents' windows of that length are joined as they are.
+Items of fewer than SPAN words are one window of their own length, which the winnowing guarantee does not reach: for the lengths
+that occur (at most SPAN - 1), the documents' windows of those lengths are joined as they are, all in one pass.
+
+Items that share a passage are one entry of the join with the list of their ids, so that hits are documents x passages.
 
 The benchmark's hashes are broadcast if there are at most BROADCAST_ROWS of them, which is counted first; else Spark joins the
 two sides by a shuffle.
 
 Defined results: null text has no words; a null item_id is the id ''; rows repeated in either table count once in the item
-lists and keep their own output row; a null doc_id is matched like any other; empty tables give no hits or an empty table.
+lists and keep their own output row; a null doc_id is matched like any other; very long texts are taken whole, in one row; empty
+tables give no hits or an empty table; other columns are ignored (`filtered`: kept).
 """
 
 from __future__ import annotations
@@ -69,7 +72,7 @@ def is_small(df: DataFrame) -> bool:
 
 
 def places(keyed: DataFrame, train: DataFrame) -> DataFrame:
-    """doc_id, digest, at, around, item, theirs: where the documents (doc_id, digest, h) have a gram of train."""
+    """doc_id, digest, at, around, items, theirs: where the documents (doc_id, digest, h) have a gram of train."""
     if not is_small(train):
         found = keyed.select("doc_id", "digest", F.explode(let(F.col("h"), kept_grams)).alias("k")).select("doc_id", "digest", "k.at", "k.gram", "k.around")
         return found.join(train, "gram")
@@ -82,10 +85,11 @@ def places(keyed: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, digest, item, start, stop: the word spans of documents that lie in occurrences of benchmark windows."""
+    """doc_id, digest, items, start, stop: the word spans of documents that lie in occurrences of windows of these items."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), word_hashes(F.col("text")).alias("h"))
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), word_hashes(F.col("text")).alias("h"))
-    train = items.select("item", F.explode(let(F.col("h"), kept_grams)).alias("k")).select("item", F.col("k.gram").alias("gram"), F.col("k.around").alias("theirs")).distinct()
+    train = items.select("item", F.explode(let(F.col("h"), kept_grams)).alias("k")).select("item", F.col("k.gram").alias("gram"), F.col("k.around").alias("theirs"))
+    train = train.groupBy("gram", "theirs").agg(F.sort_array(F.collect_set("item")).alias("items"))
     pairs = places(keyed, train)
 
     def run(offsets):
@@ -98,14 +102,20 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     same = run(range(GRAM)) == GRAM
     pairs = pairs.filter(same).withColumn("l", run(range(-1, -REACH - 1, -1))).withColumn("r", run(range(GRAM, GRAM + REACH))).filter(F.col("l") + F.col("r") >= REACH)
-    out = pairs.select("doc_id", "digest", "item", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + GRAM + F.col("r")).alias("stop"))
+    out = pairs.select("doc_id", "digest", "items", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + GRAM + F.col("r")).alias("stop"))
+
+    lengths = sorted(r.n for r in items.select(F.size("h").alias("n")).filter((F.col("n") > 0) & (F.col("n") < SPAN)).distinct().collect())  # at most SPAN - 1
+    if not lengths:
+        return out
+    whole = F.coalesce(*[F.when(F.size("h") == n, F.xxhash64(*[F.get("h", F.lit(d)) for d in range(n)])) for n in lengths])
+    windows = items.filter(F.size("h").isin(lengths)).groupBy(F.size("h").alias("n"), whole.alias("gram")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+    def of(h, n):
+        return F.transform(all_grams(h, n), lambda g, at: F.struct(F.lit(n).alias("n"), at.alias("at"), g.alias("gram")))
 
-    short = items.select(F.size("h").alias("n")).filter((F.col("n") > 0) & (F.col("n") < SPAN)).distinct().collect()  # at most SPAN - 1 lengths
-    for n in sorted(r.n for r in short):
-        window = items.filter(F.size("h") == n).select("item", F.xxhash64(*[F.get("h", F.lit(d)) for d in range(n)]).alias("gram")).distinct()
-        every = keyed.select("doc_id", "digest", F.posexplode(let(F.col("h"), lambda h, n=n: all_grams(h, n))).alias("at", "gram"))
-        out = out.unionByName(every.join(F.broadcast(window) if is_small(window) else window, "gram").select("doc_id", "digest", "item", F.col("at").alias("start"), (F.col("at") + n).alias("stop")))
-    return out
+    every = let(F.col("h"), lambda h: F.concat(*[of(h, n) for n in lengths]))
+    found = keyed.select("doc_id", "digest", F.explode(every).alias("w")).select("doc_id", "digest", "w.*").join(F.broadcast(windows) if is_small(windows) else windows, ["n", "gram"])
+    return out.unionByName(found.select("doc_id", "digest", "items", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("stop")))
 
 
 def covered(spans: Column) -> Column:
@@ -121,7 +131,7 @@ def covered(spans: Column) -> Column:
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = hits(docs, benchmark).groupBy("doc_id", "digest").agg(
-        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items")
+        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     ).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), covered(F.col("spans")).alias("n_hit"), F.size("items").alias("n_items"), F.array_join("items", ",").alias("items"))
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", F.xxhash64(text).alias("digest"), F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("bigint").alias("n_words"))
