@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -44,9 +45,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """What is written within is deleted at the end, but for the tables given to the function this yields."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept.append
+    finally:
+        _scopes.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what `written` wrote; nothing may still have to read it."""
     fs, at = _file(df.sparkSession, df._written_to)
@@ -60,6 +81,11 @@ def worker_state(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+def matched(rows: DataFrame, keys: DataFrame, same: Column, how: str, most: int) -> DataFrame:
+    """rows joined with keys, a written table. Keys of at most `most` rows are broadcast, so that rows stay where they are."""
+    return rows.join(F.broadcast(keys) if keys.count() <= most else keys, same, how)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row however often body uses it."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))

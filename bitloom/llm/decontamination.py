@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import alnum_words, ascii_lower, boxed, indices, let, unboxed
+from .common import alnum_words, ascii_lower, boxed, indices, let, matched, unboxed, written
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
@@ -146,8 +146,10 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with all their columns."""
     bad = hits(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest")).distinct()
+    bad = written(bad, "contaminated")
     keyed = boxed(docs, id=F.col("doc_id"), digest=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return unboxed(keyed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("digest") == F.col("bad_digest")), "left_anti"), docs)
+    same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("digest") == F.col("bad_digest"))
+    return unboxed(matched(keyed, bad, same, "left_anti", BROADCAST_ROWS), docs)
 
 
 ORACLE = r"""

@@ -33,7 +33,7 @@ SIZE = 2048
 END = 1
 END_BYTES = END.to_bytes(4, "little")
 SPREAD = 4
-CACHE = 400_000
+CACHE = 150_000
 TAILS = string.punctuation.replace("'", "")
 PIECE = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, row bigint"
 

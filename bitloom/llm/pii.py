@@ -23,7 +23,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import boxed, indices, let, unboxed, written
+from .common import boxed, indices, let, scratch, unboxed, written
 
 MARK = "\x01"
 #: The base expressions, with possessive loops and without a start inside a run that was already tried.
@@ -73,6 +73,7 @@ AGAINST = r"version|isbn|order|page|chapter|figure|\bv$"
 VOTES = ["strict", "gazetteer", "context", "edges"]
 BEFORE = 30
 SLICE = 4096
+BROADCAST_SPANS = 300_000
 
 
 def digits(text: Column) -> Column:
@@ -307,10 +308,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The documents with their spans masked and n_chars set anew; all columns, in order."""
     key = ["doc_id", "digest"]
     upto = Window.partitionBy(*key).orderBy("start", "stop", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    found = spans(docs).select(*key, "start", "stop", "kind").distinct().withColumn("upto", F.coalesce(F.max("stop").over(upto), F.lit(0)))
-    by_doc = found.groupBy(F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "upto"))).alias("found"), F.max("stop").alias("last"))
+    with scratch() as keep:
+        found = spans(docs).select(*key, "start", "stop", "kind").distinct().withColumn("upto", F.coalesce(F.max("stop").over(upto), F.lit(0)))
+        by_doc = found.groupBy(F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest")).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "upto"))).alias("found"), F.max("stop").alias("last"))
+        by_doc = written(by_doc, "masks")
+        keep(by_doc)
     keyed = boxed(docs, id=F.col("doc_id"), digest=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    out = keyed.join(by_doc, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left")
+    few = (by_doc.agg(F.sum(F.size("found"))).first()[0] or 0) <= BROADCAST_SPANS  # then no text is shuffled
+    out = keyed.join(F.broadcast(by_doc) if few else by_doc, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left")
     body = F.col("row.text")
     text = F.when(F.col("found").isNull(), body).otherwise(masked(body, F.col("found"), F.col("last")))
     return unboxed(out, docs, text=text, n_chars=F.char_length(text))

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import add, boxed, indices, let, space_words, unboxed, written
+from .common import add, boxed, indices, let, scratch, space_words, unboxed, written
 
 MAX_DOCS, LEAST_DOCS, SHARE = 50, 2, 0.1
 MIN_SHARE = 0.5
@@ -175,8 +175,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 def filtered(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """The documents that pass, with their boilerplate lines removed and n_chars set anew; all their columns, in order."""
-    lost = removed_lines(docs, max_docs, least, share).groupBy("host", "doc_id", "digest").agg(F.collect_set("line").alias("gone"))
-    lost = written(lost, "losses")
+    with scratch() as keep:
+        lost = removed_lines(docs, max_docs, least, share).groupBy("host", "doc_id", "digest").agg(F.collect_set("line").alias("gone"))
+        lost = written(lost, "losses")
+        keep(lost)
     text = F.coalesce(F.col("text"), F.lit(""))
     words = let(space_words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).alias("r")))
     keyed = boxed(docs, host=host_of(docs), id=F.col("doc_id"), digest=F.xxhash64(text), w=words)
