@@ -792,7 +792,7 @@ def nmf_cd_step(spark, d):
 
 @query()
 def nmf_fit(spark, d):
-    u, v, _ = co.nmf(ue(spark, d), K, method="nndsvd", max_iter=1000, converged=1e-4)
+    u, v, _ = co.nmf(ue(spark, d), K, method="nndsvd", max_iter=1000, converged=1e-4, every=10)
     return stepped(v)
 
 

@@ -151,9 +151,9 @@ def kl_error(x: BoolMatrix, u: DataFrame, v: DataFrame, k: int, w: str = "mask")
     return (r["a"] or 0.0) + sum(a[c] * b[c] for c in cols(k))
 
 
-def nmf(x: BoolMatrix, k: int, w: str = "full", loss: str = "fro", solver: str = "mu", method: str = "uniform", max_iter: int = 30, tol: float = 0.0, min_diff: float = 0.0, seed=0, converged: float = 0.0) -> tuple[DataFrame, DataFrame, list]:
-    """V, then U, in turn. loss: fro or kl; solver: mu or cd (all cells, fro). Returns U, V and the errors. converged: ends when ten
-    rounds lower the root of the error by less than this share of the first one."""
+def nmf(x: BoolMatrix, k: int, w: str = "full", loss: str = "fro", solver: str = "mu", method: str = "uniform", max_iter: int = 30, tol: float = 0.0, min_diff: float = 0.0, seed=0, converged: float = 0.0, every: int = 1) -> tuple[DataFrame, DataFrame, list]:
+    """V, then U, in turn. loss: fro or kl; solver: mu or cd (all cells, fro). Returns U, V and the errors, of every so many rounds.
+    converged: ends when ten rounds lower the root of the error by less than this share of the first one; every divides ten."""
     u, v = (cut(s) for s in start(x, k, method, seed))
     step = {("fro", "mu"): lambda a, b, key: wnmf_step(x, a, b, key, k, w), ("kl", "mu"): lambda a, b, key: wnmf_kl_step(x, a, b, key, k, w), ("fro", "cd"): lambda a, b, key: cd_step(x, a, b, key, k)}[loss, solver]
     error = (lambda: frobenius_error(x, u, v, k, w)) if loss == "fro" else (lambda: kl_error(x, u, v, k, w))
@@ -161,10 +161,12 @@ def nmf(x: BoolMatrix, k: int, w: str = "full", loss: str = "fro", solver: str =
     for n in range(1, max_iter + 1):
         v = cut(step(v, u, "j"))
         u = cut(step(u, v, "i"))
+        if n % every and n < max_iter:
+            continue
         errors.append(error())
         if stop_reason(errors[-1], tol, n, max_iter, abs(errors[-2] - errors[-1]), min_diff):
             break
-        if converged and n % 10 == 0 and errors[-11] ** 0.5 - errors[-1] ** 0.5 < converged * errors[0] ** 0.5:
+        if converged and n % 10 == 0 and errors[-1 - 10 // every] ** 0.5 - errors[-1] ** 0.5 < converged * errors[0] ** 0.5:
             break
     return u, v, errors
 

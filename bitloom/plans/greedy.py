@@ -237,26 +237,66 @@ def line_gains(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp,
     return left_side.unionByName(right_side)
 
 
-def expanded(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp, w_fn, most: int | None = None) -> tuple[DataFrame, DataFrame, list]:
+LINES = 200
+
+
+def expanded(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp, w_fn, most: int | None = None, lines: int = LINES) -> tuple[DataFrame, DataFrame, list]:
     """The pattern with the best line added while that gains, or `most` lines; ties: rows first, then the smallest id. Also the
-    lines added."""
-    added: list = []
+    lines added.
+
+    A line changes the gains of lines across it by one cell each. So the `lines` best rows and columns are fetched with the cells
+    they share (at most lines x lines), and lines are picked one after the other from those for as long as no other line can
+    have come to gain more; then all gains are found anew."""
+    added, spark = [], x.cells.sparkSession
     while most is None or len(added) < most:
-        g = line_gains(x, fit, rows, cols, w_fp, w_fn).filter("gain > 0")
-        best = g.orderBy(F.desc("gain"), F.desc("axis"), "__i", "__j").limit(1).collect()
-        if not best:
+        top, cell, whole = _best_lines(x, fit, rows, cols, w_fp, w_fn, lines)
+        gain = {axis: {v: g for g, v in top[axis]} for axis in ("row", "col")}
+        order = {axis: {v: n for n, (_, v) in enumerate(top[axis])} for axis in ("row", "col")}  # by gain and id, so equal gains by id
+        ids = {axis: sorted(order[axis]) for axis in order}
+        rest = {axis: float("-inf") if whole[axis] else max(top[axis][-1][0], 0) if len(top[axis]) == lines else 0 for axis in top}
+        picked: dict = {"row": [], "col": []}
+        while most is None or len(added) < most:
+            bound = {"row": rest["row"] + w_fn * len(picked["col"]), "col": rest["col"] + w_fn * len(picked["row"])}
+            best = [(gain[axis][v], axis == "row", axis, v) for axis in ("row", "col") if ids[axis] for v in [max(ids[axis], key=lambda v: gain[axis][v])]]  # noqa: B023
+            if not best or (chosen := max(best, key=lambda t: t[:2]))[0] <= 0:
+                break
+            g, _, axis, value = chosen
+            own_first = not picked["col" if axis == "row" else "row"]  # then what was not fetched has larger ids at equal gains
+            across = "col" if axis == "row" else "row"
+            if not ((g > bound[axis] or own_first and g >= bound[axis]) and (g > bound[across] or axis == "row" and g >= bound[across])) and (picked["row"] or picked["col"]):
+                break
+            ids[axis].remove(value)
+            for v in ids[across]:
+                gain[across][v] += cell(value, v) if axis == "row" else cell(v, value)
+            picked[axis].append(value)
+            added.append((axis, value))
+        if not picked["row"] and not picked["col"]:
             break
-        axis = best[0]["axis"]
-        key, value = ("i", best[0]["__i"]) if axis == "row" else ("j", best[0]["__j"])
-        line = x.cells.sparkSession.createDataFrame([(value,)], (x.rows if axis == "row" else x.cols).select(key).schema)
-        if axis == "row":
-            rows = cut(rows.unionByName(line))
-        else:
-            cols = cut(cols.unionByName(line))
-        added.append((axis, value))
+        rows, cols = (cut(side.unionByName(spark.createDataFrame([(v,) for v in new], side.schema))) if new else side for side, new in ((rows, picked["row"]), (cols, picked["col"])))
     return rows, cols, added
 
 
+def _best_lines(x, fit, rows, cols, w_fp, w_fn, lines):
+    """The best rows and columns outside the pattern, (gain, id) each, best first; what a cell (i, j) of theirs adds to a gain across it;
+    and whether these are all rows, or columns, outside the pattern."""
+    g = line_gains(x, fit, rows, cols, w_fp, w_fn)
+    top, sides, whole = {}, {}, {}
+    for axis, key, side, size in (("row", "i", rows, x.m), ("col", "j", cols, x.n)):
+        best = g.filter(F.col("axis") == axis).select("gain", F.col(f"__{key}").alias(key)).orderBy(F.desc("gain"), key).limit(lines)
+        top[axis] = [tuple(r) for r in best.collect()]
+        sides[key] = F.broadcast(x.cells.sparkSession.createDataFrame([(v,) for _, v in top[axis]], (x.rows if key == "i" else x.cols).select(key).schema))
+        whole[axis] = len(top[axis]) + side.count() >= size
+    ones = {(r["i"], r["j"]): r["hit"] for r in cells(x, fit).join(sides["i"], "i").join(sides["j"], "j").collect()}  # at most lines x lines
+    held = {key: {} if fit.u is None else {r[key]: set(r["mask"]) for r in algebra.masks(side, key).join(sides[key], key).collect()} for key, side in (("i", fit.u), ("j", fit.v))}
+
+    def cell(i, j):
+        if (i, j) in ones:
+            return 0 if ones[i, j] else w_fn
+        return 0 if held["i"].get(i, set()) & held["j"].get(j, set()) else -w_fp
+
+    return top, cell, whole
+
+
 def contained(u: DataFrame, v: DataFrame, f: int) -> DataFrame:
     """f of the other patterns that lie within pattern f."""
     out = None
@@ -268,10 +308,11 @@ def contained(u: DataFrame, v: DataFrame, f: int) -> DataFrame:
 
 
 def needless_lines(x: BoolMatrix, u: DataFrame, v: DataFrame, f: int) -> DataFrame:
-    """axis, id: lines of pattern f whose cells are all ones and all covered at least twice."""
-    tile = u.filter(F.col("f") == f).select("i").crossJoin(v.filter(F.col("f") == f).select("j"))
-    times = u.join(v, "f").groupBy("i", "j").agg(F.count(F.lit(1)).alias("times"))
-    seen = tile.join(times, ["i", "j"]).join(x.ones.withColumn("one", F.lit(1)), ["i", "j"], "left")
+    """axis, id: lines of pattern f whose cells are all ones and all covered at least twice. Only the pattern's own cells are made;
+    how often one is covered follows from the masks of its row and column."""
+    sides = [algebra.masks(side, key).filter(F.array_contains("mask", f)).withColumnRenamed("mask", f"m{key}") for side, key in ((u, "i"), (v, "j"))]
+    tile = sides[0].crossJoin(sides[1]).withColumn("times", F.size(F.array_intersect("mi", "mj")))
+    seen = tile.join(x.ones.withColumn("one", F.lit(1)), ["i", "j"], "left")
     good = F.min(F.when((F.col("times") >= 2) & F.col("one").isNotNull(), 1).otherwise(0)) == 1
     rows = seen.groupBy("i").agg(good.alias("good")).filter("good").select(F.lit("row").alias("axis"), F.col("i").cast("string").alias("id"))
     return rows.unionByName(seen.groupBy("j").agg(good.alias("good")).filter("good").select(F.lit("col").alias("axis"), F.col("j").cast("string").alias("id")))
@@ -292,14 +333,16 @@ def grecond_plus(x: BoolMatrix, k: int, tol: int = 0, w_fp=1, w_fn=1, most: int
         if gone:
             fit.u, fit.v = cut(fit.u.filter(~F.col("f").isin(gone))), cut(fit.v.filter(~F.col("f").isin(gone)))
         for f in [f for f in lines if f not in gone]:
-            for axis, value in sorted(lines[f], key=lambda a: (a[0] != "row", str(a[1]))):
-                if needless_lines(x, fit.u, fit.v, f).filter((F.col("axis") == axis) & (F.col("id") == str(value))).limit(1).count():
-                    drop = lambda side, key: cut(side.filter(~((F.col("f") == f) & (F.col(key) == F.lit(value)))))  # noqa: B023,E731
-                    if axis == "row":
-                        fit.u = drop(fit.u, "i")
-                    else:
-                        fit.v = drop(fit.v, "j")
-                    lines[f] = [a for a in lines[f] if a != (axis, value)]
+            # whether a row is needless does not depend on other rows of the pattern, so all go at once; then the columns
+            for axis, key in (("row", "i"), ("col", "j")):
+                mine = {str(v): v for a, v in lines[f] if a == axis}
+                if mine:
+                    found = needless_lines(x, fit.u, fit.v, f).filter((F.col("axis") == axis) & F.col("id").isin(list(mine)))
+                    drop = [mine[r["id"]] for r in found.collect()]
+                    if drop:
+                        keep = ~((F.col("f") == f) & F.col(key).isin(drop))
+                        fit.u, fit.v = (cut(fit.u.filter(keep)), fit.v) if axis == "row" else (fit.u, cut(fit.v.filter(keep)))
+                        lines[f] = [(a, v) for a, v in lines[f] if a != axis or v not in drop]
         t = fit.counts(x)
         if t["p"] - t["tp"] <= tol:
             break

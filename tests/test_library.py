@@ -97,6 +97,33 @@ def test_fits_run_to_their_end(spark):
     assert n < 1000 and n % 10 == 0 and errors[-11] ** 0.5 - errors[-1] ** 0.5 < 0.05 * errors[0] ** 0.5
 
 
+def test_expansion_in_batches(spark):
+    """Whether few or many lines are fetched at once, the lines picked are those of one by one."""
+    import random
+
+    r = random.Random(5)
+    ones = {(i, j) for i in range(14) for j in range(11) if r.random() < (0.7 if (i < 8) == (j < 6) else 0.25)}
+    x = matrix(spark, 14, 11, sorted(ones))
+    fit = greedy.Fit(spark.createDataFrame([(0, 0), (9, 0)], "i int, f int"), spark.createDataFrame([(1, 0), (7, 0)], "j int, f int"), 1)
+    covered = {(i, j) for i in (0, 9) for j in (1, 7)}
+    rows, cols, want = {1, 2}, {0, 3}, []
+    value = lambda i, j: 0 if (i, j) in covered else 8 if (i, j) in ones else -2
+    while True:
+        open_ = lambda cells: any((c in ones) and c not in covered for c in cells)
+        gains = [(sum(value(i, j) for j in cols), 1, -i, ("row", i)) for i in range(14) if i not in rows and open_([(i, j) for j in cols])]
+        gains += [(sum(value(i, j) for i in rows), 0, -j, ("col", j)) for j in range(11) if j not in cols and open_([(i, j) for i in rows])]
+        best = max(gains, default=(0,))
+        if best[0] <= 0:
+            break
+        want.append(best[3])
+        (rows if best[3][0] == "row" else cols).add(best[3][1])
+    of = lambda ids, c: spark.createDataFrame([(v,) for v in ids], f"{c} int")
+    for lines in (3, 200):
+        got = greedy.expanded(x, fit, of([1, 2], "i"), of([0, 3], "j"), 2, 8, None, lines)
+        assert got[2] == want and {v for (v,) in got[0].collect()} == rows and {v for (v,) in got[1].collect()} == cols
+    assert len(want) > 6 and greedy.expanded(x, fit, of([1, 2], "i"), of([0, 3], "j"), 2, 8, 2)[2] == want[:2]
+
+
 def test_itemsets_of_any_size(spark):
     x = matrix(spark, 3, 5, [(i, j) for i in range(3) for j in range(5)])
     assert greedy.itemsets(x, 0.5).select("c").distinct().count() == 31 and greedy.itemsets(x, 0.5, 2).select("c").distinct().count() == 15
