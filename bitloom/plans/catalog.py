@@ -294,7 +294,27 @@ def gen_block_diagonal(spark, d):
     return generators.matrix(*generators.block_diagonal(spark, m, n, K, (0.25, 0.5)), m, n).ones
 
 
-@query()
+def blocks_sql() -> str:
+    """Draws one after the other, kept if they fit and neither hold nor lie within a kept one, until there are three."""
+    draw = lambda d, what: uni(11, "t", str(d), f"'{what}'")
+    parts = []
+    for d, size in enumerate("mn"):
+        least, most = f"floor(CAST({size} AS DOUBLE) / 3 * 0.5)", f"ceil(CAST({size} AS DOUBLE) / 3 * 2)"
+        parts.append(f"CAST(floor({draw(d, 'start')} * {size}) AS BIGINT) AS s{d}, CAST(greatest(1, {least} + floor({draw(d, 'size')} * ({most} - {least}))) AS BIGINT) AS l{d}")
+    inside = lambda a, b: " AND ".join(f"{b}.s{d} <= {a}.s{d} AND {a}.e{d} <= {b}.e{d}" for d in (0, 1))
+    one = "{'s0': dr.s0, 'e0': dr.e0, 's1': dr.s1, 'e1': dr.e1}"
+    return f"""WITH RECURSIVE {DIMS}, dw AS (SELECT t, m, n, {", ".join(parts)} FROM d, (SELECT unnest(range(10000)) AS t)),
+    dr AS (SELECT t, m, n, s0, s0 + l0 AS e0, s1, s1 + l1 AS e1 FROM dw),
+    rec(t, found) AS (
+      SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(s0 BIGINT, e0 BIGINT, s1 BIGINT, e1 BIGINT)[])
+      UNION ALL
+      SELECT rec.t + 1, CASE WHEN dr.e0 <= m AND dr.e1 <= n AND len([1 FOR x IN found IF ({inside("x", "dr")}) OR ({inside("dr", "x")})]) = 0 THEN list_append(found, {one}) ELSE found END
+      FROM rec JOIN dr ON dr.t = rec.t WHERE len(found) < 3),
+    bl AS (SELECT unnest(found, recursive := true) FROM rec WHERE len(found) = 3), li AS (SELECT s1, e1, unnest(range(s0, e0)) AS i FROM bl)
+    SELECT DISTINCT i, unnest(range(s1, e1)) AS j FROM li"""
+
+
+@query(blocks_sql())
 def gen_blocks(spark, d):
     m, n = dims(spark, d)
     return generators.matrix(*generators.blocks(spark, m, n, K, True, seed=11), m, n).ones
@@ -661,12 +681,26 @@ def hyper_cost(spark, d):
     return six(greedy.hyper_costs(greedy.hyper_candidates(x, greedy.itemsets(x, 0.5), greedy.cells(x, greedy.Fit()))), "cost")
 
 
-@query()
+def hyper_sql(rounds: int) -> str:
+    out = [SETS, "fl AS (SELECT c, i FROM ue JOIN cd USING (j) JOIN cz USING (c) GROUP BY c, i HAVING count(*) = any_value(size))", "cov0 AS (SELECT i, j FROM ue WHERE false)"]
+    for r in range(rounds):
+        out.append(f"rr{r} AS (SELECT fl.c, fl.i, count(*) AS r FROM fl JOIN cd USING (c) WHERE (fl.i, cd.j) NOT IN (SELECT (i, j) FROM cov{r}) GROUP BY fl.c, fl.i)")
+        out.append(f"b{r} AS (SELECT c FROM (SELECT c, (count(*) + any_value(size)) / CAST(sum(r) AS DOUBLE) AS cost FROM rr{r} JOIN cz USING (c) GROUP BY c) ORDER BY cost, c LIMIT 1)")
+        out.append(f"t{r} AS (SELECT {r} AS f, rr{r}.i, cd.j FROM rr{r} JOIN b{r} USING (c) JOIN cd USING (c))")
+        out.append(f"cov{r + 1} AS (SELECT i, j FROM cov{r} UNION SELECT i, j FROM t{r})")
+    return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM t{r}" for r in range(rounds))
+
+
+@query(hyper_sql(3))
 def hyper_fit_k3(spark, d):
     return tiles(greedy.hyper(ue(spark, d), 0.5, k=3))
 
 
-@query(f"WITH {UV}, pr AS (SELECT x.f AS a, y.f AS b FROM fs x, fs y WHERE x.f < y.f), si AS (SELECT DISTINCT a, b, i FROM pr JOIN u ON u.f IN (a, b)), sj AS (SELECT DISTINCT a, b, j FROM pr JOIN v ON v.f IN (a, b)), sz AS (SELECT f, sum(n) AS n FROM (SELECT f, count(*) AS n FROM u GROUP BY f UNION ALL SELECT f, count(*) FROM v GROUP BY f) GROUP BY f), mm AS (SELECT a, b, count(*) AS cells, sum(CAST((i, j) IN (SELECT (i, j) FROM pd) AS BIGINT)) AS cov, sum(CAST((i, j) IN (SELECT (i, j) FROM ue) AS BIGINT)) AS ones FROM si JOIN sj USING (a, b) GROUP BY a, b) SELECT a, b, round(CAST(p.n + q.n - (SELECT count(*) FROM si WHERE si.a = mm.a AND si.b = mm.b) - (SELECT count(*) FROM sj WHERE sj.a = mm.a AND sj.b = mm.b) AS DOUBLE) / (cells - cov), 6) AS savings, CAST(cells - ones AS BIGINT) AS fp FROM mm JOIN sz p ON p.f = a JOIN sz q ON q.f = b")
+MERGE = f"{UV}, pr AS (SELECT x.f AS a, y.f AS b FROM fs x, fs y WHERE x.f < y.f), si AS (SELECT DISTINCT a, b, i FROM pr JOIN u ON u.f IN (a, b)), sj AS (SELECT DISTINCT a, b, j FROM pr JOIN v ON v.f IN (a, b)), sz AS (SELECT f, sum(n) AS n FROM (SELECT f, count(*) AS n FROM u GROUP BY f UNION ALL SELECT f, count(*) FROM v GROUP BY f) GROUP BY f), mm AS (SELECT a, b, count(*) AS cells, sum(CAST((i, j) IN (SELECT (i, j) FROM pd) AS BIGINT)) AS cov, sum(CAST((i, j) IN (SELECT (i, j) FROM ue) AS BIGINT)) AS ones FROM si JOIN sj USING (a, b) GROUP BY a, b)"
+SAVED = "CAST(p.n + q.n - (SELECT count(*) FROM si WHERE si.a = mm.a AND si.b = mm.b) - (SELECT count(*) FROM sj WHERE sj.a = mm.a AND sj.b = mm.b) AS DOUBLE) / (cells - cov)"
+
+
+@query(f"WITH {MERGE} SELECT a, b, round({SAVED}, 6) AS savings, CAST(cells - ones AS BIGINT) AS fp FROM mm JOIN sz p ON p.f = a JOIN sz q ON q.f = b")
 def hyperplus_merge(spark, d):
     x = ue(spark, d)
     fit = patterns(x)
@@ -675,7 +709,7 @@ def hyperplus_merge(spark, d):
     return six(greedy.merge_savings(x, fit.u, fit.v, pairs), "savings")
 
 
-@query()
+@query(f"WITH {MERGE}, best AS (SELECT a, b FROM (SELECT a, b, CASE WHEN cells = cov THEN CAST('infinity' AS DOUBLE) ELSE {SAVED} END AS s FROM mm JOIN sz p ON p.f = a JOIN sz q ON q.f = b) ORDER BY s DESC, a, b LIMIT 1), nu AS (SELECT DISTINCT i, CAST(CASE WHEN f = a OR f = b THEN 3 ELSE f END AS INTEGER) AS f FROM u, best), nv AS (SELECT DISTINCT j, CAST(CASE WHEN f = a OR f = b THEN 3 ELSE f END AS INTEGER) AS f FROM v, best) SELECT f, i, j FROM nu JOIN nv USING (f)")
 def hyper_plus_fit(spark, d):
     x = ue(spark, d)
     return tiles(greedy.hyper_plus(x, patterns(x), 2, samples=10, seed=1))
@@ -783,7 +817,19 @@ def wnmf_kl_step(spark, d):
     return stepped(co.wnmf_kl_step(x, v, u, "j", K, "mask"))
 
 
-@query()
+GRAM = "gm AS (SELECT p.f AS s, q.f AS t, sum(p.a * q.a) AS g FROM uu p JOIN uu q USING (i) GROUP BY p.f, q.f), gg AS (SELECT " + ", ".join(f"max(g) FILTER (s = {s} AND t = {t}) AS g{s}{t}" for s in range(K) for t in range(K)) + " FROM gm)"
+
+
+def cd_sql() -> str:
+    """Each column in turn, by the columns as they are then."""
+    out = [NUM, GRAM, "c0 AS (SELECT j, " + ", ".join(f"max(b) FILTER (f = {f}) AS x{f}, coalesce(max(n) FILTER (f = {f}), 0) AS n{f}" for f in range(K)) + " FROM vv LEFT JOIN nn USING (j, f) GROUP BY j)"]
+    for f in range(K):
+        slope = " + ".join(f"x{t} * g{t}{f}" for t in range(K))
+        out.append(f"c{f + 1} AS (SELECT * REPLACE (greatest(x{f} - ({slope} - n{f}) / g{f}{f}, 0) AS x{f}) FROM (SELECT c{f}.*, gg.* FROM c{f}, gg))" if f == 0 else f"c{f + 1} AS (SELECT * REPLACE (greatest(x{f} - ({slope} - n{f}) / g{f}{f}, 0) AS x{f}) FROM c{f})")
+    return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT j, {f} AS f, round(x{f}, 6) AS x FROM c{K}" for f in range(K))
+
+
+@query(cd_sql())
 def nmf_cd_step(spark, d):
     x = ue(spark, d)
     u, v = factors(x)
@@ -859,7 +905,11 @@ def palm_prox(spark, d):
     return emb(spark, d).select("vec_id", "f", F.round(prox(x, 0.1, 0.2), 6).alias("prox"), F.round(gap(x, 0.1, 0.2), 6).alias("gap"))
 
 
-@query()
+#: The largest eigenvalue of a symmetric 3 x 3 matrix, in closed form.
+SPECTRAL = "e1 AS (SELECT *, (g00 + g11 + g22) / 3 AS q FROM gg), e2 AS (SELECT *, sqrt((pow(g00 - q, 2) + pow(g11 - q, 2) + pow(g22 - q, 2) + 2 * (g01 * g01 + g02 * g02 + g12 * g12)) / 6) AS p FROM e1), e3 AS (SELECT q, p, ((g00 - q) * ((g11 - q) * (g22 - q) - g12 * g12) - g01 * (g01 * (g22 - q) - g12 * g02) + g02 * (g01 * g12 - (g11 - q) * g02)) / pow(p, 3) / 2 AS r FROM e2), ev AS (SELECT q + 2 * p * cos(acos(least(1, greatest(-1, r))) / 3) AS l FROM e3)"
+
+
+@query(f"WITH {FULL}, {GRAM}, {SPECTRAL}, mv AS (SELECT j, f, 1 / (CAST(1.1 AS DOUBLE) * l) AS eta, b - (d - n) / (CAST(1.1 AS DOUBLE) * l) AS x FROM vv JOIN nn USING (j, f) JOIN dd USING (j, f), ev) SELECT j, f, round(greatest((CASE WHEN x <= 0.5 THEN x - CAST(0.01 AS DOUBLE) * eta * sign(x) ELSE x - CAST(0.01 AS DOUBLE) * eta * sign(x - 1) + CAST(0.02 AS DOUBLE) * eta END) / (1 + CAST(0.02 AS DOUBLE) * eta), 0), 6) AS x FROM mv")
 def elbmf_step(spark, d):
     x = ue(spark, d)
     u, v = factors(x)
