@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -81,6 +82,18 @@ def worker_state(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+def converted(batches: Iterator, made: Callable) -> Iterator:
+    """made(batch) of every Arrow batch. A batch goes before the next one is read, and so does what Arrow's pool would keep for
+    later: a Python worker outlives its task, and what it keeps adds to all that later stages take."""
+    import pyarrow as pa
+
+    pool = pa.default_memory_pool()
+    for out in map(made, batches):
+        yield out
+        del out
+        pool.release_unused()
+
+
 def matched(rows: DataFrame, keys: DataFrame, same: Column, how: str, most: int) -> DataFrame:
     """rows joined with keys, a written table. Keys of at most `most` rows are broadcast, so that rows stay where they are."""
     return rows.join(F.broadcast(keys) if keys.count() <= most else keys, same, how)

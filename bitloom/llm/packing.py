@@ -17,6 +17,7 @@ doc_id is kept; very long texts are encoded whole, in one task each; an empty ta
 
 from __future__ import annotations
 
+import itertools
 import os
 import string
 import zlib
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import worker_state, written
+from .common import converted, worker_state, written
 
 SIZE = 2048
 END = 1
@@ -133,8 +134,9 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids:
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = encoder(path), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        encode, row = encoder(path), itertools.count(TaskContext.get().partitionId() << 33)
+
+        def made(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: list = []
             for at in range(0, batch.num_rows, 256):  # bounds what is held as Python objects
                 ids_of = batch.column("doc_id").slice(at, 256).to_pylist()
@@ -144,12 +146,13 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids:
                     n = len(data) // 4
                     for start in range(0, n, size):
                         part = data[4 * start : 4 * (start + size)]
-                        rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, row, *([np.frombuffer(part, "<u4").tolist()] if with_ids else [])))
-                        row += 1
+                        rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, next(row), *([np.frombuffer(part, "<u4").tolist()] if with_ids else [])))
             cols = list(zip(*rows, strict=True)) or [[] for _ in range(7 if with_ids else 6)]
             kinds = [batch.schema.field("doc_id").type, *[pa.int64()] * 5, pa.list_(pa.int32())]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
+
+        yield from converted(batches, made)
 
     schema = PIECE.format(kind=docs.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
