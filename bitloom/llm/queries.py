@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_expansion, decontamination, license_scan, packing, pii, ppm, quality_rules, simhash, toxicity, url_rules
+from . import centroids, chat_expansion, decontamination, hard_negatives, license_scan, packing, pii, ppm, quality_rules, simhash, toxicity, url_rules, warc
 from .common import read_table
 
 
@@ -46,6 +46,18 @@ def op10_digest_array(spark, sf_dir):
     return url_rules.judge(read_table(spark, sf_dir, "pages"))
 
 
+def op11_walsh_hadamard(spark, sf_dir):
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_ranges(spark, sf_dir):
+    return warc.query(read_table(spark, sf_dir, "pages"))
+
+
+def op13_str_rtree(spark, sf_dir):
+    return hard_negatives.query(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -59,7 +71,18 @@ QUERIES = {
         op8_weak_supervision,
         op9_ppm,
         op10_digest_array,
+        op11_walsh_hadamard,
+        op12_warc_ranges,
+        op13_str_rtree,
     )
 }
 #: The others' results depend on XXH64, a tokenizer or a trained model; tests hold them against brute force.
-ORACLE_SQL = {"op2_line_frequency": quality_rules.ORACLE, "op4_prefix_targets": chat_expansion.ORACLE, "op7_winnowing": decontamination.ORACLE, "op10_digest_array": url_rules.ORACLE}
+ORACLE_SQL = {
+    "op2_line_frequency": quality_rules.ORACLE,
+    "op4_prefix_targets": chat_expansion.ORACLE,
+    "op7_winnowing": decontamination.ORACLE,
+    "op10_digest_array": url_rules.ORACLE,
+    "op11_walsh_hadamard": centroids.ORACLE,
+    "op12_warc_ranges": warc.ORACLE,
+    "op13_str_rtree": hard_negatives.ORACLE,
+}
