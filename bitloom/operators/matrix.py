@@ -72,6 +72,27 @@ def factorized(ids: DataFrame, col: str, name: str = "ord") -> DataFrame:
     return placed.select(col, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint").alias(name))
 
 
+def cumulated(weights: DataFrame, key: str, weight: str) -> DataFrame:
+    """Each key with `start` and `end`, its share of the weights laid end to end in the order of the keys. Sorted by ranges, as in
+    `factorized`: sums within a range, after what earlier ranges hold."""
+    spread = cut(weights.select(key, weight).sort(key).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spread.groupBy("__part").agg(F.sum(weight).alias("__w"))  # one row a range
+    sizes = sizes.select("__part", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__before"))
+    within = F.sum(weight).over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    placed = spread.withColumn("__end", within).join(F.broadcast(sizes), "__part")
+    return placed.select(key, (F.col("__before") + F.col("__end") - F.col(weight)).alias("start"), (F.col("__before") + F.col("__end")).alias("end"))
+
+
+def located(points: DataFrame, at: str, spans: DataFrame, width: int) -> DataFrame:
+    """points with the span (start, end) that each lies in. Both meet in buckets of this width, so it is a join on equal keys; a long
+    span is in as many buckets as it covers."""
+    whole = lambda c: F.floor(c / F.lit(width))
+    spread = spans.withColumn("__bucket", F.explode(F.sequence(whole(F.col("start")), whole(F.col("end") - 1))))
+    found = points.withColumn("__bucket", whole(F.col(at))).join(spread, "__bucket")
+    return found.filter((F.col(at) >= F.col("start")) & (F.col(at) < F.col("end"))).drop("__bucket", "start", "end")
+
+
 def sort_order(dim: DataFrame, by: str = "ord", name: str = "ord") -> DataFrame:
     """Closes the gaps of an order column."""
     ranks = factorized(dim.select(F.col(by).alias("__o")), "__o", "__new")

@@ -367,17 +367,49 @@ def split_cv_fold(spark, d):
     return splits.fold_parts(splits.cross_validation(ue(spark, d), 3, 0.2, 1997), 1).drop("fold")
 
 
-GRID = f"{UE}, z AS (SELECT a.i, b.j FROM (SELECT DISTINCT i FROM ue) a, (SELECT DISTINCT j FROM ue) b EXCEPT SELECT i, j FROM ue)"
+def fine(seed, *key) -> str:
+    return f"(CAST(CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(key)})), 1, 13) AS UBIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE))"
 
 
-@query(f"WITH {GRID} SELECT i, j, 0 AS x FROM z ORDER BY md5(concat_ws(':', '2023', i, j)), i, j LIMIT 1000")
+def negatives_sql(kind: str, share: int = 5) -> str:
+    """CTE ng: t, i, j of the first ones / share zeros that draws find; four draws for each one of the matrix are enough."""
+    if kind == "uniform":
+        spans = lambda k: f"SELECT {k}, o AS s, o + 1 AS e FROM (SELECT {k}, row_number() OVER (ORDER BY {k}) - 1 AS o FROM (SELECT DISTINCT {k} FROM ue))"
+    else:
+        spans = lambda k: f"SELECT {k}, sum(w) OVER (ORDER BY {k}) - w AS s, sum(w) OVER (ORDER BY {k}) AS e FROM (SELECT {k}, count(*) AS w FROM ue GROUP BY {k})"
+    at = lambda k: f"floor({fine(f'2023:{k}', 't')} * (SELECT max(e) FROM s{k}))"
+    return f"{UE}, pn AS (SELECT count(*) AS p FROM ue), si AS ({spans('i')}), sj AS ({spans('j')}), dr AS (SELECT t, {at('i')} AS a, {at('j')} AS b FROM (SELECT unnest(range(4 * p)) AS t FROM pn)), ng AS (SELECT i, j, min(t) AS t FROM dr JOIN si ON a >= si.s AND a < si.e JOIN sj ON b >= sj.s AND b < sj.e WHERE (i, j) NOT IN (SELECT (i, j) FROM ue) GROUP BY i, j ORDER BY t LIMIT (SELECT p // {share} FROM pn))"
+
+
+@query(f"WITH {negatives_sql('uniform')} SELECT i, j, 0 AS x FROM ng")
 def neg_uniform(spark, d):
-    return splits.negative_sample(ue(spark, d), 1000, "uniform", 2023)
+    x = ue(spark, d)
+    return splits.negative_sample(x, x.ones.count() // 5, "uniform", 2023)
 
 
-@query(f"WITH {GRID}, r AS (SELECT i, count(*) AS r FROM ue GROUP BY i), c AS (SELECT j, count(*) AS c FROM ue GROUP BY j), t AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM ue) SELECT i, j, 0 AS x FROM z JOIN r USING (i) JOIN c USING (j), t ORDER BY -ln(({uni('2023', 'i', 'j')} * CAST(4294967296 AS DOUBLE) + 1) / CAST(4294967297 AS DOUBLE)) / ((r / t) * (c / t)), i, j LIMIT 1000")
+@query(f"WITH {negatives_sql('popularity')} SELECT i, j, 0 AS x FROM ng")
 def neg_popularity(spark, d):
-    return splits.negative_sample(ue(spark, d), 1000, "popularity", 2023)
+    x = ue(spark, d)
+    return splits.negative_sample(x, x.ones.count() // 5, "popularity", 2023)
+
+
+DEALT = "nr AS (SELECT i, j, row_number() OVER (ORDER BY md5(concat_ws(':', '2023:part', i, j)), i, j) - 1 AS rank FROM ng)"
+
+
+@query(f"WITH {negatives_sql('popularity')}, {DEALT}, {RANKED.removeprefix(UE + ', ')}, q AS (SELECT p // 5 AS k, p // 10 AS h, p AS n, CAST(ceil(p * CAST(0.1 AS DOUBLE)) AS BIGINT) AS v, CAST(ceil(p * CAST(0.2 AS DOUBLE)) AS BIGINT) AS t FROM pn) SELECT i, j, 1 AS x, CASE WHEN rank < n - v - t THEN 'train' WHEN rank < n - t THEN 'val' ELSE 'test' END AS part FROM r, q UNION ALL SELECT i, j, 0, CASE WHEN rank < h THEN 'train' WHEN rank < h + (k - h) // 2 THEN 'val' ELSE 'test' END FROM nr, q")
+def split_ratio_negatives(spark, d):
+    x = ue(spark, d)
+    p = x.ones.count()
+    k, h = p // 5, p // 10
+    known = splits.negative_parts(x, h, (k - h) // 2, k - h - (k - h) // 2, "popularity", 2023)
+    return splits.appended(splits.ratio_split(x, None, 0.1, 0.2, 1997), known)
+
+
+@query(f"WITH {negatives_sql('uniform')}, {DEALT}, q AS (SELECT p // 5 - p // 20 AS n FROM pn) SELECT i, j, 0 AS x, CAST(CASE WHEN rank >= n THEN -1 WHEN rank < n // 3 + CAST(n % 3 > 0 AS BIGINT) THEN 0 WHEN rank < 2 * (n // 3) + least(n % 3, 2) THEN 1 ELSE 2 END AS INTEGER) AS fold FROM nr, q")
+def split_cv_negatives(spark, d):
+    x = ue(spark, d)
+    p = x.ones.count()
+    return splits.negative_folds(x, 3, p // 5 - p // 20, p // 20, "uniform", 2023)
 
 
 # ---- metrics -----------------------------------------------------------------------------------------------------------
@@ -430,11 +462,11 @@ def real_errors(spark, d):
     return six(metrics.real_errors(x.cells, patterns(x).predict().withColumn("x", F.lit(1)), x.m * x.n), "RMSE", "MAE")
 
 
-@query(f"WITH {MASKS}, z AS (SELECT a.i, b.j FROM (SELECT DISTINCT i FROM ue) a, (SELECT DISTINCT j FROM ue) b EXCEPT SELECT i, j FROM ue), g AS (SELECT i, j, 1 AS x FROM ue UNION ALL (SELECT i, j, 0 FROM z ORDER BY md5(concat_ws(':', '2023', i, j)), i, j LIMIT 1000)), h AS (SELECT x, CAST(coalesce((mi & mj) <> 0, false) AS BIGINT) AS hit FROM g LEFT JOIN mu USING (i) LEFT JOIN mv USING (j)), c AS (SELECT sum(x) AS p, sum(hit) AS q, sum(hit * x) AS tp, count(*) AS n FROM h) SELECT {metric_sql()} FROM c")
+@query(f"WITH {negatives_sql('uniform')}, {MASKS.removeprefix(UE + ', ')}, g AS (SELECT i, j, 1 AS x FROM ue UNION ALL SELECT i, j, 0 FROM ng), h AS (SELECT x, CAST(coalesce((mi & mj) <> 0, false) AS BIGINT) AS hit FROM g LEFT JOIN mu USING (i) LEFT JOIN mv USING (j)), c AS (SELECT sum(x) AS p, sum(hit) AS q, sum(hit * x) AS tp, count(*) AS n FROM h) SELECT {metric_sql()} FROM c")
 def eval_prediction(spark, d):
     x = ue(spark, d)
     fit = patterns(x)
-    known = splits.with_negatives(x, splits.negative_sample(x, 1000, "uniform", 2023))
+    known = splits.with_negatives(x, splits.negative_sample(x, x.ones.count() // 5, "uniform", 2023))
     return six(metrics.metrics(metrics.stored_counts(known.cells, fit.u, fit.v)), *RATES)
 
 
@@ -896,7 +928,7 @@ def faststep_df(spark, d):
 def faststep_f(spark, d):
     x = ue(spark, d)
     u, v = factors(x)
-    return six(co.faststep_cells(x, u, v, K, 0.8).agg(F.sum(co.softplus(F.col("z"))).alias("f")), "f")
+    return six(co.faststep_loss(x, u, v, 0.8), "f")
 
 
 @query(f"WITH {EMB} SELECT vec_id, f, round(greatest((CASE WHEN x <= 0.5 THEN x - 0.1 * sign(x) ELSE x - 0.1 * sign(x - 1) + 0.2 END) / CAST(1.2 AS DOUBLE), 0), 6) AS prox, round(0.1 * least(abs(x), abs(x - 1)) + 0.2 * pow(least(abs(x), abs(x - 1)), 2), 6) AS gap FROM emb")

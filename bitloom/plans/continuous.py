@@ -1,17 +1,20 @@
 """Continuous factorizations. A factor table has a key and the columns f0 .. f(k-1); U is keyed by i, V by j.
 
 With all cells weighted alike, everything about U V^T follows from k x k Gram matrices and joins over the ones; with a mask, from
-joins over the stored cells. Only where the model is nonlinear in the product are all m x n cells visited, and then as sums
-inside one query. The driver holds k x k numbers and scalars. Literals are doubles.
+joins over the stored cells. Only where the model is nonlinear in the product are all m x n cells visited, and then as dense
+blocks that hand on sums (`operators.blocks`). The driver holds k x k numbers and scalars. Literals are doubles.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import gap, prox, sigmoid, uniform
+from ..operators.blocks import SIDE, on_blocks, sigmoid_of, sums_of
 from ..operators.lineage import cut
 from ..operators.matrix import BoolMatrix
 from .stopping import limited, line_search, stop_reason
@@ -172,8 +175,6 @@ def nmf(x: BoolMatrix, k: int, w: str = "full", loss: str = "fro", solver: str =
 
 
 def _sqrt_inverse(g: list[list[float]]):
-    import numpy as np
-
     values, vectors = np.linalg.eigh(np.array(g))
     return vectors / np.sqrt(np.maximum(values, EPS))
 
@@ -185,8 +186,6 @@ def _rotated(side: DataFrame, key: str, k: int, m) -> DataFrame:
 def nndsvd(x: BoolMatrix, k: int, seed=0, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
     """Start from leading singular vectors: subspace iteration by joins, orthonormal through k x k Grams; of each pair the
     positive or the negative parts, whichever weighs more. The spectrum's signs are as they come out."""
-    import numpy as np
-
     v = init(x.cols, "j", k, 0.5, "uniform", seed)
     for _ in range(rounds):
         v = cut(_rotated(v, "j", k, _sqrt_inverse(gram(v, k))))
@@ -272,17 +271,20 @@ def penalty(x: BoolMatrix, k: int, u=None, v=None, reg: float = 2.0, reg_growth:
     return u, v, errors
 
 
-def pnlpf_step(x: BoolMatrix, mine: DataFrame, other: DataFrame, key: str, k: int, reg: float, link: float) -> DataFrame:
+def pnlpf_step(x: BoolMatrix, mine: DataFrame, other: DataFrame, key: str, k: int, reg: float, link: float, side: int = SIDE) -> DataFrame:
     """The penalty update under a sigmoid link, over all cells."""
     u, v = (mine, other) if key == "i" else (other, mine)
-    grid = u.select("i").crossJoin(v.select("j"))
-    p = products(grid, u, v, k).join(x.ones.withColumn("x", F.lit(1.0)), ["i", "j"], "left")
-    side = "v" if key == "i" else "u"
-    s = F.lit(float(link)) * (F.col("y") - 0.5)
-    p = p.withColumn("__s", sigmoid(s)).withColumn("__d", F.col("__s") * (1.0 - F.col("__s")))
-    top = [F.sum(F.coalesce(F.col("x"), F.lit(0.0)) * F.col("__d") * F.col(f"{side}{f}")).alias(f"n{f}") for f in range(k)]
-    low = [F.sum(F.col("__s") * F.col("__d") * F.col(f"{side}{f}")).alias(f"d{f}") for f in range(k)]
-    t = mine.join(p.groupBy(key).agg(*top, *low), key)
+
+    def body(i, j, a, b, ones):
+        s = sigmoid_of(link * (a @ b.T - 0.5))
+        d = s * (1.0 - s)
+        top, low, across = (ones * d, s * d, b) if key == "i" else ((ones * d).T, (s * d).T, a)
+        top, low = top @ across, low @ across
+        return sums_of(key, i if key == "i" else j, {f"n{f}": top[:, f] for f in range(k)} | {f"d{f}": low[:, f] for f in range(k)})
+
+    kind = mine.schema[key].dataType.simpleString()
+    parts = on_blocks(x, u, v, body, ", ".join([f"{key} {kind}", *[f"{c} double" for c in cols(k, "n") + cols(k, "d")]]), side)
+    t = mine.join(parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in cols(k, "n") + cols(k, "d")]), key)
     out = []
     for f in range(k):
         a = F.greatest(F.col(f"f{f}"), F.lit(EPS))
@@ -291,6 +293,15 @@ def pnlpf_step(x: BoolMatrix, mine: DataFrame, other: DataFrame, key: str, k: in
     return t.select(key, *out)
 
 
+def link_error(x: BoolMatrix, u: DataFrame, v: DataFrame, link: float, side: int = SIDE) -> float:
+    """Half the squared error of the sigmoid of the product, over all cells."""
+
+    def body(i, j, a, b, ones):
+        return pa.table({"e": [float(np.square(ones - sigmoid_of(link * (a @ b.T - 0.5))).sum())]})
+
+    return float(on_blocks(x, u, v, body, "e double", side).agg(F.sum("e").alias("e")).first()["e"] or 0.0) / 2.0
+
+
 # ---- thresholds --------------------------------------------------------------------------------------------------------
 
 
@@ -365,24 +376,54 @@ def boolean(side: DataFrame, key: str, k: int, at: float = 0.5) -> DataFrame:
 # ---- FastStep ----------------------------------------------------------------------------------------------------------
 
 
-def faststep_cells(x: BoolMatrix, u: DataFrame, v: DataFrame, k: int, tau: float) -> DataFrame:
-    """All cells with z = -M (y - tau), M = 1 for ones and -1 for others."""
-    p = products(u.select("i").crossJoin(v.select("j")), u, v, k).join(x.ones.withColumn("x", F.lit(1)), ["i", "j"], "left")
-    return p.withColumn("sign", F.when(F.col("x").isNotNull(), 1.0).otherwise(-1.0)).withColumn("z", -F.col("sign") * (F.col("y") - tau))
+def faststep_loss(x: BoolMatrix, u: DataFrame, v: DataFrame, tau: float, side: int = SIDE) -> DataFrame:
+    """f, one row: the sum of softplus(-M (y - tau)) over all cells; M is 1 for ones and -1 for others."""
 
+    def body(i, j, a, b, ones):
+        y = a @ b.T - tau
+        return pa.table({"f": [float(np.logaddexp(0.0, np.where(ones, -y, y)).sum())]})
 
-def softplus(z: Column) -> Column:
-    return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+    return on_blocks(x, u, v, body, "f double", side).agg(F.sum("f").alias("f"))
 
 
-def faststep_value(x, u, v, k, tau) -> float:
-    return float(faststep_cells(x, u, v, k, tau).agg(F.sum(softplus(F.col("z"))).alias("s")).first()["s"])
+def faststep_value(x, u, v, tau, side: int = SIDE) -> float:
+    return float(faststep_loss(x, u, v, tau, side).first()["f"] or 0.0)
 
 
-def faststep_gradient(x, u, v, k, tau, f: int) -> tuple[DataFrame, DataFrame]:
+def faststep_gradient(x, u, v, k, tau, f: int, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
     """(i, g) and (j, g) for factor f."""
-    c = faststep_cells(x, u, v, k, tau).withColumn("__w", -F.col("sign") * sigmoid(F.col("z")))
-    return c.groupBy("i").agg(F.sum(F.col("__w") * F.col(f"v{f}")).alias("g")), c.groupBy("j").agg(F.sum(F.col("__w") * F.col(f"u{f}")).alias("g"))
+
+    def slopes(y, ones):
+        return np.where(ones, -sigmoid_of(-y), sigmoid_of(y))
+
+    def body(key):
+        def made(i, j, a, b, ones):
+            w = slopes(a @ b.T - tau, ones)
+            return sums_of("i", i, {"g": w @ b[:, f]}) if key == "i" else sums_of("j", j, {"g": w.T @ a[:, f]})
+
+        return made
+
+    kinds = {"i": x.rows.schema["i"].dataType.simpleString(), "j": x.cols.schema["j"].dataType.simpleString()}
+    return tuple(on_blocks(x, u, v, body(key), f"{key} {kinds[key]}, g double", side).groupBy(key).agg(F.sum("g").alias("g")) for key in ("i", "j"))
+
+
+def faststep_steps(x, u, v, k, tau, f: int, gu: DataFrame, gv: DataFrame, alphas: list[float], low: float, side: int = SIDE) -> list[float]:
+    """The loss after a step of each length along both gradients of factor f, none below `low`: all lengths in one pass over the cells."""
+    u, v = u.join(gu, "i", "left").fillna(0.0, ["g"]), v.join(gv, "j", "left").fillna(0.0, ["g"])
+
+    def body(i, j, a, b, ones):
+        y = a[:, :k] @ b[:, :k].T - tau - np.outer(a[:, f], b[:, f])
+        out = []
+        for alpha in alphas:
+            z = y + np.outer(np.maximum(a[:, f] - alpha * a[:, k], low), np.maximum(b[:, f] - alpha * b[:, k], low))
+            out.append(float(np.logaddexp(0.0, np.where(ones, -z, z)).sum()))
+        return pa.table({"n": list(range(len(alphas))), "f": out})
+
+    found = {r["n"]: r["f"] for r in on_blocks(x, u.select("i", *cols(k), "g"), v.select("j", *cols(k), "g"), body, "n bigint, f double", side).groupBy("n").agg(F.sum("f").alias("f")).collect()}
+    return [found[n] for n in range(len(alphas))]
+
+
+LENGTHS = 5
 
 
 def faststep(x: BoolMatrix, k: int, tau: float = 20.0, max_round: int = 30, max_iter: int = 50, min_diff: float = 1e-2, seed=0):
@@ -392,27 +433,24 @@ def faststep(x: BoolMatrix, k: int, tau: float = 20.0, max_round: int = 30, max_
         top = float(s.agg(F.max(F.greatest(*cols(k)) if k > 1 else F.col("f0")).alias("t")).first()["t"] or 1.0)
         s = s.select(key, *[(F.col(c) / top * (0.01 - 1e-5) + 1e-5).alias(c) for c in cols(k)])
         u, v = (cut(s), v) if key == "i" else (u, cut(s))
-    values = [faststep_value(x, u, v, k, tau)]
+    values, low = [faststep_value(x, u, v, tau)], 1e-5
     for _ in range(max_round):
         before = values[-1]
         for f in range(k):
             for _ in range(max_iter):
                 gu, gv = (cut(g) for g in faststep_gradient(x, u, v, k, tau, f))
-
-                def moved(side, g, key, alpha):
-                    return side.join(g, key, "left").withColumn(f"f{f}", F.greatest(F.col(f"f{f}") - alpha * F.coalesce("g", F.lit(0.0)), F.lit(1e-5))).drop("g")  # noqa: B023
-
-                alpha, done = 2.0, True
-                for _ in range(20):
-                    a, b = cut(moved(u, gu, "i", alpha)), cut(moved(v, gv, "j", alpha))
-                    value = faststep_value(x, a, b, k, tau)
-                    if value < values[-1]:
-                        done = values[-1] - value < min_diff
-                        u, v = a, b
-                        values.append(value)
+                alpha, value = None, values[-1]
+                for at in range(0, 20, LENGTHS):  # 2, 1, 1/2, ...: the first that lowers the loss
+                    lengths = [2.0**-n for n in range(at - 1, at - 1 + LENGTHS)]
+                    found = faststep_steps(x, u, v, k, tau, f, gu, gv, lengths, low)
+                    if better := [(a, e) for a, e in zip(lengths, found, strict=True) if e < values[-1]]:
+                        alpha, value = better[0]
                         break
-                    alpha /= 2
-                if done:
+                if alpha is None:
+                    break
+                u, v = (cut(s.join(g, key, "left").withColumn(f"f{f}", F.greatest(F.col(f"f{f}") - alpha * F.coalesce("g", F.lit(0.0)), F.lit(low))).drop("g")) for s, g, key in ((u, gu, "i"), (v, gv, "j")))
+                values.append(value)
+                if values[-2] - value < min_diff:
                     break
         if before - values[-1] < min_diff:
             break
@@ -423,8 +461,6 @@ def faststep(x: BoolMatrix, k: int, tau: float = 20.0, max_round: int = 30, max_
 
 
 def lipschitz(g: list[list[float]], norm: str = "spectral") -> float:
-    import numpy as np
-
     return max(float(np.linalg.norm(np.array(g), 2 if norm == "spectral" else "fro")), 1e-4)
 
 
@@ -476,11 +512,3 @@ def elbmf(x: BoolMatrix, k: int, l1: float = 0.01, l2: float = 0.02, growth: flo
 def primp(x: BoolMatrix, k: int, reg: float = 0.01, growth: float = 1.02, beta: float = 1e-4, max_iter: int = 1000, min_diff: float = 1e-8, seed=0):
     """The same with an L1 pull alone, values in [0, 1] and steps by the Frobenius norm."""
     return elbmf(x, k, reg, 0.0, growth, beta, max_iter, min_diff, "fro", "box", seed)
-
-
-def link_error(x: BoolMatrix, u: DataFrame, v: DataFrame, k: int, link: float) -> float:
-    """Half the squared error of the sigmoid of the product, over all cells."""
-    p = products(u.select("i").crossJoin(v.select("j")), u, v, k).join(x.ones.withColumn("x", F.lit(1.0)), ["i", "j"], "left")
-    d = F.coalesce(F.col("x"), F.lit(0.0)) - sigmoid(F.lit(float(link)) * (F.col("y") - 0.5))
-    return float(p.agg(F.sum(d * d).alias("e")).first()["e"]) / 2.0
-
