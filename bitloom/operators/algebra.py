@@ -127,3 +127,10 @@ def positions(vector: DataFrame, key: str, value: str = "x") -> DataFrame:
 
 def mask_hit(a: Column, b: Column) -> Column:
     return F.arrays_overlap(a, b)
+
+
+def hit_pairs(a: DataFrame, mask_a: str, b: DataFrame, mask_b: str) -> DataFrame:
+    """The pairs of rows of a and b whose masks share a factor, each once. Masks meet by their factors, as in an inverted index; a pair
+    counts where it meets first, so nothing has to be made distinct, and neither side has to fit into memory."""
+    left, right = a.withColumn("__f", F.explode(mask_a)), b.withColumn("__f", F.explode(mask_b))
+    return left.join(right, "__f").filter(F.col("__f") == F.array_min(F.array_intersect(mask_a, mask_b))).drop("__f")

@@ -46,8 +46,7 @@ def counts(truth: DataFrame, prediction: DataFrame, n_cells: int | Column, by: s
 def factor_counts(ones: DataFrame, u: DataFrame, v: DataFrame, n_cells: int) -> DataFrame:
     """The same for the product of u and v, which is not made: predicted cells are counted over pairs of distinct masks."""
     groups = [algebra.masks(s, k).groupBy("mask").count().withColumnsRenamed({"mask": f"__{k}", "count": f"__n{k}"}) for s, k in ((u, "i"), (v, "j"))]
-    # distinct masks: at most 2^k a side
-    pairs = groups[0].crossJoin(F.broadcast(groups[1])).filter(algebra.mask_hit(F.col("__i"), F.col("__j")))
+    pairs = algebra.hit_pairs(groups[0], "__i", groups[1], "__j")
     q = pairs.agg(F.coalesce(F.sum(F.col("__ni") * F.col("__nj")), F.lit(0)).alias("q"))
     both = algebra.predicted(ones, u, v).agg(F.count(F.lit(1)).alias("p"), F.coalesce(F.sum(F.col("hit").cast("bigint")), F.lit(0)).alias("tp"))
     return both.crossJoin(q).withColumn("n", F.lit(n_cells).cast("bigint"))

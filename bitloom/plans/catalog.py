@@ -14,6 +14,7 @@ from ..operators.matrix import BoolMatrix, factorized
 from ..sources import generators, readers
 from . import continuous as co
 from . import greedy
+from . import threshold_search as ts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -917,6 +918,56 @@ def threshold_grid(spark, d):
     return co.threshold_grid(x, u, v, K, GRIDS, x.m * x.n)
 
 
+F1 = "coalesce(2 * tpr * ppv / nullif(tpr + ppv, 0), 0)"
+RATED = "coalesce(CAST(tp AS DOUBLE) / nullif(p, 0), 0) AS tpr, coalesce(CAST(tp AS DOUBLE) / nullif(q, 0), 0) AS ppv"
+#: All 6 x 5 thresholds, with their F1.
+STEPS = f"gu AS (SELECT g, a0 + (b0 - a0) * g / 6 AS t FROM (SELECT min(a) AS a0, max(a) AS b0 FROM uu), (SELECT unnest(range(6)) AS g)), gv AS (SELECT g, a0 + (b0 - a0) * g / 6 AS t FROM (SELECT min(b) AS a0, max(b) AS b0 FROM vv), (SELECT unnest(range(6)) AS g))"
+
+
+@query(f"WITH {RUV}, {STEPS}, hits AS (SELECT DISTINCT gu.t AS at_u, gv.t AS at_v, i, j FROM uu JOIN vv USING (f), gu, gv WHERE a > gu.t AND b > gv.t), c AS (SELECT at_u, at_v, count(*) AS q, sum(CAST((i, j) IN (SELECT (i, j) FROM ue) AS BIGINT)) AS tp, (SELECT count(*) FROM ue) AS p FROM hits GROUP BY at_u, at_v) SELECT round(at_u, 6) AS at_u, round(at_v, 6) AS at_v, CAST(q AS BIGINT) AS q, CAST(tp AS BIGINT) AS tp, round({F1}, 6) AS score FROM (SELECT *, {RATED} FROM c)")
+def threshold_grid_search(spark, d):
+    x = ue(spark, d)
+    u, v = factors(x)
+    at = [ts.steps(min(a for a, _ in e), max(b for _, b in e), 6) for e in (ts.ranges(u, K), ts.ranges(v, K))]
+    found = ts.grid_counts(x, u, v, K, *at).withColumn("score", ts._metric("F1"))
+    return six(found.select("at_u", "at_v", "q", "tp", "score"), "at_u", "at_v", "score")
+
+
+TRIED = f"tr AS (SELECT n, f, au + (bu - au) * {uni('2024', 'n', chr(39) + 'u' + chr(39), 'f')} AS tu, av + (bv - av) * {uni('2024', 'n', chr(39) + 'v' + chr(39), 'f')} AS tv FROM (SELECT unnest(range(30)) AS n), (SELECT f, min(a) AS au, max(a) AS bu FROM uu GROUP BY f) JOIN (SELECT f, min(b) AS av, max(b) AS bv FROM vv GROUP BY f) USING (f))"
+
+
+@query(f"WITH {RUV}, {TRIED}, hits AS (SELECT DISTINCT n, i, j FROM tr JOIN uu USING (f) JOIN vv USING (f) WHERE a > tu AND b > tv), c AS (SELECT n AS trial, count(*) AS q, sum(CAST((i, j) IN (SELECT (i, j) FROM ue) AS BIGINT)) AS tp, (SELECT count(*) FROM ue) AS p FROM hits GROUP BY n) SELECT trial, CAST(q AS BIGINT) AS q, CAST(tp AS BIGINT) AS tp, round({F1}, 6) AS score FROM (SELECT *, {RATED} FROM c)")
+def threshold_trials(spark, d):
+    x = ue(spark, d)
+    u, v = factors(x)
+    found = ts.trial_counts(x, u, v, K, ts.random_trials(spark, u, v, K, 30, True, 2024)).withColumn("score", ts._metric("F1"))
+    return six(found.filter("q > 0").select("trial", "q", "tp", "score"), "score")
+
+
+def sweep_sql() -> str:
+    """Each threshold in turn: cells that others cover stay; rows (columns) on from the largest value down; the largest of equal scores."""
+    out = [RUV, "w0 AS (SELECT " + ", ".join(f"CAST(0.5 AS DOUBLE) AS {s}{f}" for s in "uv" for f in range(K)) + ", CAST(NULL AS DOUBLE) AS score)", "y AS (SELECT i, j, " + ", ".join(f"max(a) FILTER (f = {f}) AS a{f}, max(b) FILTER (f = {f}) AS b{f}" for f in range(K)) + ", (i, j) IN (SELECT (i, j) FROM ue) AS one FROM uu JOIN vv USING (f) GROUP BY i, j)", "pp AS (SELECT count(*) AS p FROM ue)"]
+    for n, (s, f) in enumerate((s, f) for s in "uv" for f in range(K)):
+        rest = " OR ".join(f"(a{g} > u{g} AND b{g} > v{g})" for g in range(K) if g != f)
+        mine, across = (f"a{f}", f"b{f} > v{f}") if s == "u" else (f"b{f}", f"a{f} > u{f}")
+        out.append(f"h{n} AS MATERIALIZED (SELECT {mine} AS val, one, {rest} AS base, {across} AS far FROM y, w{n})")
+        out.append(f"g{n} AS (SELECT val, count(*) FILTER (far AND NOT base) AS q, count(*) FILTER (far AND NOT base AND one) AS tp FROM h{n} GROUP BY val)")
+        out.append(f"b{n} AS (SELECT count(*) FILTER (base) AS q0, count(*) FILTER (base AND one) AS t0 FROM h{n})")
+        out.append(f"t{n} AS (SELECT val AS t, q0 + coalesce(sum(q) OVER w, 0) AS q, t0 + coalesce(sum(tp) OVER w, 0) AS tp, p FROM g{n}, b{n}, pp WINDOW w AS (ORDER BY val DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) UNION ALL SELECT min(val) - 1, any_value(q0) + sum(q), any_value(t0) + sum(tp), any_value(p) FROM g{n}, b{n}, pp)")
+        out.append(f"s{n} AS (SELECT t, {F1} AS score FROM (SELECT t, {RATED} FROM t{n}) ORDER BY score DESC, t DESC LIMIT 1)")
+        better = f"w{n}.score IS NULL OR s{n}.score > w{n}.score"
+        out.append(f"w{n + 1} AS (SELECT w{n}.* REPLACE (CASE WHEN {better} THEN t ELSE {s}{f} END AS {s}{f}, CASE WHEN {better} THEN s{n}.score ELSE w{n}.score END AS score) FROM w{n}, s{n})")
+    return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT '{s}' AS side, {f} AS f, round({s}{f}, 6) AS t, round(score, 6) AS score FROM w{n + 1}" for n, (s, f) in enumerate((s, f) for s in "uv" for f in range(K)))
+
+
+@query(sweep_sql())
+def threshold_sweep(spark, d):
+    x = ue(spark, d)
+    u, v = factors(x)
+    steps = ts.sweep(x, u, v, K, [0.5] * K, [0.5] * K, rounds=1).log  # 2 x K rows
+    return six(spark.createDataFrame([(s["side"], s["f"], s["t"], s["score"]) for s in steps], "side string, f int, t double, score double"), "t", "score")
+
+
 @query(f"WITH {Y}, z AS (SELECT y.i, y.j, CASE WHEN e.i IS NULL THEN -1 ELSE 1 END AS s, y - CAST(0.8 AS DOUBLE) AS y FROM y LEFT JOIN ue e ON y.i = e.i AND y.j = e.j) SELECT f, round(sum(-s * b / (1 + exp(s * y))), 6) AS g, i FROM z JOIN vv USING (j) WHERE f = 1 GROUP BY i, f")
 def faststep_df(spark, d):
     x = ue(spark, d)

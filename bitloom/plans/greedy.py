@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import ratio
 from ..operators import algebra, metrics
@@ -59,11 +61,25 @@ def _masked(table: DataFrame, key: str, side: DataFrame | None) -> DataFrame:
 # ---- association rules -------------------------------------------------------------------------------------------------
 
 
-def associations(x: BoolMatrix, by: str = "j") -> DataFrame:
+#: Ones of a row that meet at once.
+TILE = 2000
+
+
+def row_pairs(ones: DataFrame, tile: int = TILE) -> DataFrame:
+    """p, q and the key (i, a, b) under which they meet: all pairs of ones of a row. The ones of a row of more than `tile` are dealt to tiles,
+    and every two tiles of the row meet under a key of their own, so no key makes many more than tile x tile pairs."""
+    many = ones.groupBy("i").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("__s")).filter("__s > 1")
+    dealt = ones.join(many, "i", "left").withColumn("__s", F.coalesce("__s", F.lit(1))).withColumn("__t", F.pmod(F.xxhash64("j"), F.col("__s")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__s") - 1))
+    left = dealt.select("i", F.col("j").alias("p"), F.col("__t").alias("a"), every.alias("b"))
+    return left.join(dealt.select("i", F.col("j").alias("q"), every.alias("a"), F.col("__t").alias("b")), ["i", "a", "b"])
+
+
+def associations(x: BoolMatrix, by: str = "j", tile: int = TILE) -> DataFrame:
     """p, q, c: the share of p's ones that q has too, over columns (by 'j') or rows (by 'i'); pairs without any are left out."""
     ones = x.ones if by == "j" else x.T.ones
     size = ones.groupBy("j").agg(F.count(F.lit(1)).alias("size"))
-    pairs = ones.select("i", F.col("j").alias("p")).join(ones.select("i", F.col("j").alias("q")), "i").groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
+    pairs = row_pairs(ones, tile).groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
     return pairs.join(size.withColumnRenamed("j", "p"), "p").select("p", "q", ratio(F.col("n"), F.col("size")).alias("c"))
 
 
@@ -84,9 +100,9 @@ def gains(x: BoolMatrix, candidates: DataFrame, fit: Fit, w_fp, w_fn) -> DataFra
     if fit.u is None:
         covered = F.lit(0)
     else:
-        distinct = algebra.masks(fit.u, "i").select(F.col("mask").alias("mi")).distinct()  # at most 2^k
-        c = _masked(candidates, "j", fit.v).filter("size(mj) > 0").crossJoin(F.broadcast(distinct)).filter(algebra.mask_hit(F.col("mi"), F.col("mj")))
-        r = r.join(c.groupBy("mi", "p").agg(F.count(F.lit(1)).alias("c")), ["mi", "p"], "left")
+        distinct = algebra.masks(fit.u, "i").select(F.col("mask").alias("mi")).distinct()
+        c = algebra.hit_pairs(_masked(candidates, "j", fit.v).groupBy("p", "mj").agg(F.count(F.lit(1)).alias("n")), "mj", distinct, "mi")
+        r = r.join(c.groupBy("mi", "p").agg(F.sum("n").alias("c")), ["mi", "p"], "left")
         covered = F.coalesce(F.col("c"), F.lit(0))
     gain = (w_fp + w_fn) * F.col("r") + w_fp * covered - w_fp * F.col("size")
     return r.select("i", "p", gain.alias("gain")).filter("gain > 0")
@@ -98,7 +114,7 @@ def asso(x: BoolMatrix, k: int, tau: float, w_fp=1, w_fn=1, candidates: DataFram
     candidates = cut(basis(associations(x), tau)) if candidates is None else candidates
     used: list = []
     while fit.k < k:
-        free = candidates.filter(~F.col("p").isin(used)) if used else candidates
+        free = candidates.join(_few(candidates, "p", used), "p", "left_anti") if used else candidates
         g = gains(x, free, fit, w_fp, w_fn)
         best = g.groupBy("p").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("rows")).orderBy(F.desc("gain"), "p").limit(1).collect()
         if not best:
@@ -109,6 +125,11 @@ def asso(x: BoolMatrix, k: int, tau: float, w_fp=1, w_fn=1, candidates: DataFram
     return fit
 
 
+def _few(like: DataFrame, key: str, values: list) -> DataFrame:
+    """A few values of a key as a table to join with."""
+    return F.broadcast(like.sparkSession.createDataFrame([(v,) for v in values], like.select(key).schema))
+
+
 def without(fit: Fit, f: int) -> Fit:
     return Fit(fit.u.filter(F.col("f") != f), fit.v.filter(F.col("f") != f), fit.k)
 
@@ -119,14 +140,18 @@ def refitted_column(x: BoolMatrix, fit: Fit, f: int, w_fp=1, w_fn=1) -> DataFram
     return gains(x, columns, without(fit, f), w_fp, w_fn).select("i", F.col("p").alias("f"))
 
 
-def asso_iter(x: BoolMatrix, fit: Fit, w_fp=1, w_fn=1, max_rounds: int = 100) -> Fit:
-    """Re-fits the rows of one pattern after the other; a change stays only if the error falls; ends after k without one."""
+def asso_iter(x: BoolMatrix, fit: Fit, w_fp=1, w_fn=1, max_rounds: int | None = None) -> Fit:
+    """Re-fits the rows of one pattern after the other; a change stays only if the error falls; ends after k without one, or after
+    max_rounds, which the log then says. The error falls by whole steps, so without a limit it ends too."""
     error = lambda t: t["p"] + t["q"] - 2 * t["tp"]
     best, still, f = error(fit.counts(x)), 0, 0
     out = Fit(fit.u, fit.v, fit.k, list(fit.log))
-    for _ in range(max_rounds):
-        if still >= fit.k:
+    rounds = 0
+    while still < fit.k:
+        if rounds == max_rounds:
+            out.log.append({"converged": False, "rounds": rounds})
             break
+        rounds += 1
         new = Fit(cut(without(out, f).u.unionByName(refitted_column(x, out, f, w_fp, w_fn))), out.v, out.k, out.log)
         now = error(new.counts(x))
         if now < best:
@@ -137,26 +162,75 @@ def asso_iter(x: BoolMatrix, fit: Fit, w_fp=1, w_fn=1, max_rounds: int = 100) ->
     return out
 
 
-def asso_opt(x: BoolMatrix, fit: Fit, w_fp=1, w_fn=1) -> DataFrame:
-    """i, choice, score: for each row the best of all 2^k sets of patterns (bit k - 1 is pattern 0; ties: the smallest).
-
-    A set's score needs only how many ones the row has in the columns of each distinct mask."""
-    if fit.k > 16:
-        raise ValueError("2^k sets are tried for each row; k is at most 16")
-    spark = x.cells.sparkSession
-    chosen = lambda m: F.filter(F.sequence(F.lit(0), F.lit(fit.k - 1)), lambda f: F.getbit(m, F.lit(fit.k - 1) - f) == 1)
+#: Distinct column masks that a search for best sets holds in memory.
+MASKS = 1_000_000
+
+
+def best_set(gain: np.ndarray, member: np.ndarray) -> tuple[list[int], int]:
+    """The set of patterns whose covered masks gain most, and that gain. gain: of each mask; member: masks x patterns. Of equal sets the one
+    that leaves out the first patterns. Patterns are decided in order, out before in; a branch ends where all masks that are still open
+    and gain cannot bring it above the best."""
+    k = member.shape[1]
+    useful = [f for f in range(k) if (member[:, f] & (gain > 0)).any()]  # others only cost
+    later = np.zeros((len(useful) + 1, len(gain)), bool)
+    for n in range(len(useful) - 1, -1, -1):
+        later[n] = later[n + 1] | member[:, useful[n]]
+    best: tuple[list[int], int] = ([], 0)
+    stack = [(0, [], 0, np.zeros(len(gain), bool))]
+    while stack:
+        n, chosen, score, covered = stack.pop()
+        if score > best[1]:
+            best = (chosen, score)
+        if n == len(useful) or score + np.maximum(gain[later[n] & ~covered], 0).sum() <= best[1]:
+            continue
+        new = member[:, useful[n]] & ~covered
+        if new.any():
+            stack.append((n + 1, [*chosen, useful[n]], score + gain[new].sum(), covered | new))
+        stack.append((n + 1, chosen, score, covered))
+    return best
+
+
+def best_sets(x: BoolMatrix, fit: Fit, w_fp=1, w_fn=1) -> DataFrame:
+    """i, factors, score: for each row the set of patterns of the best cover, for any number of patterns.
+
+    A set's score needs only how many ones the row has in the columns of each distinct mask: its signature. The search runs once for each
+    distinct signature, as rows of a DataFrame."""
     cols = _masked(x.cols, "j", fit.v)
-    sizes = cols.groupBy("mj").agg(F.count(F.lit(1)).alias("size"))
-    sets = spark.range(1 << fit.k).select(F.col("id").alias("choice")).withColumn("mi", chosen(F.col("choice")))
-    hit = sets.crossJoin(F.broadcast(sizes)).filter(algebra.mask_hit(F.col("mi"), F.col("mj")))
-    base = hit.groupBy("choice").agg(F.sum("size").alias("size"))
-    base = sets.select("choice").join(base, "choice", "left").select("choice", F.coalesce("size", F.lit(0)).alias("size"))
-    mine = x.ones.join(cols.filter("size(mj) > 0"), "j").groupBy("i", "mj").agg(F.count(F.lit(1)).alias("n"))
-    tp = mine.join(F.broadcast(hit.select("choice", "mj")), "mj").groupBy("i", "choice").agg(F.sum("n").alias("tp"))
-    scored = x.rows.crossJoin(F.broadcast(base)).join(tp, ["i", "choice"], "left")
-    t = F.coalesce(F.col("tp"), F.lit(0))
-    score = w_fn * t - w_fp * (F.col("size") - t)
-    return scored.groupBy("i").agg(F.max_by("choice", F.struct(score, -F.col("choice"))).alias("choice"), F.max(score).alias("score"))
+    sizes = cols.filter("size(mj) > 0").groupBy("mj").agg(F.count(F.lit(1)).alias("size"))
+    n = sizes.count()
+    if n > MASKS:
+        raise ValueError(f"{n} distinct sets of patterns over the columns; a search holds at most {MASKS}")
+    held = sorted((tuple(r["mj"]), r["size"]) for r in sizes.collect())
+    place = {m: at for at, (m, _) in enumerate(held)}
+    member = np.zeros((n, fit.k), bool)
+    for at, (m, _) in enumerate(held):
+        member[at, list(m)] = True
+    size = np.array([s for _, s in held])
+    numbered = F.broadcast(x.cells.sparkSession.createDataFrame([(list(m), at) for m, at in place.items()], "mj array<int>, at int"))
+    mine = x.ones.join(cols.join(numbered, "mj").select("j", "at"), "j").groupBy("i", "at").agg(F.count(F.lit(1)).alias("n"))
+    signed = mine.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("signature"))
+
+    def search(batches):
+        for batch in batches:
+            found = []
+            for signature in batch.column("signature").to_pylist():
+                gain = -w_fp * size
+                for s in signature:
+                    gain[s["at"]] += (w_fn + w_fp) * s["n"]
+                found.append(best_set(gain, member))
+            yield pa.RecordBatch.from_arrays([batch.column("signature"), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([float(s) for _, s in found])], names=["signature", "factors", "score"])
+
+    solved = signed.select("signature").distinct().mapInArrow(search, f"signature {signed.schema['signature'].dataType.simpleString()}, factors array<int>, score double")
+    rows = x.rows.join(signed.join(solved, "signature"), "i", "left")
+    return rows.select("i", F.coalesce("factors", F.array().cast("array<int>")).alias("factors"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def asso_opt(x: BoolMatrix, fit: Fit, w_fp=1, w_fn=1) -> DataFrame:
+    """i, choice, score: the best set of each row as a number, in which bit k - 1 is pattern 0 (ties: the smallest)."""
+    if fit.k > 62:
+        raise ValueError("a choice among more than 62 patterns is no long; best_sets gives it as an array")
+    bit = lambda a, f: a + F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(fit.k - 1) - f)
+    return best_sets(x, fit, w_fp, w_fn).select("i", F.aggregate("factors", F.lit(0).cast("bigint"), bit).alias("choice"), "score")
 
 
 def rows_of_choice(choices: DataFrame, k: int) -> DataFrame:
@@ -173,28 +247,56 @@ def transposed(model, x: BoolMatrix, *args, **kw) -> Fit:
 # ---- formal concepts ---------------------------------------------------------------------------------------------------
 
 
-def concept_step(x: BoolMatrix, left: DataFrame, rows: DataFrame | None, cols: list) -> DataFrame:
+#: Rows of a column that say which other columns may be in its closure.
+WITNESSES = 8
+
+
+def witnesses(inside: DataFrame, size: DataFrame) -> DataFrame:
+    """a, size, i, n: the WITNESSES smallest rows (of n ones) of each column a of size."""
+    row = inside.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    few = inside.select("i", F.col("j").alias("a")).join(size, "a").join(row, "i")
+    return few.withColumn("__k", F.row_number().over(Window.partitionBy("a").orderBy("n", "i"))).filter(F.col("__k") <= WITNESSES).drop("__k")
+
+
+def closure_candidates(inside: DataFrame, size: DataFrame) -> DataFrame:
+    """a, b, size: for each column a of size the columns b that its witnesses all have. The closure of a lies within them."""
+    met = witnesses(inside, size).join(inside.select("i", F.col("j").alias("b")), "i").groupBy("a", "b").agg(F.count(F.lit(1)).alias("__w"), F.first("size").alias("size"))
+    return met.filter(F.col("__w") == F.least(F.col("size"), F.lit(WITNESSES))).drop("__w")
+
+
+def concept_step(x: BoolMatrix, left: DataFrame, rows: DataFrame | None, cols: list, beyond: int = 0, log: dict | None = None) -> DataFrame:
     """j, score: for each further column the uncovered ones of the concept that it makes of `rows`: the rows that have it, and the
-    columns that all of those have. left: ones with hit."""
+    columns that all of those have. left: ones with hit; columns that cannot get beyond a score are left out.
+
+    Pairs of columns are not made row by row: a few rows of a column leave few others for its closure, the uncovered ones of those bound
+    its score, and only what is left meets all the rows. log: counts the pairs made in rows, and those that all rows would make."""
     inside = left if rows is None else left.join(rows, "i", "left_semi")
-    pairs = inside.select("i", F.col("j").alias("a")).join(inside.select("i", F.col("j").alias("b"), (~F.col("hit")).cast("int").alias("r")), "i")
-    size = inside.groupBy(F.col("j").alias("a")).agg(F.count(F.lit(1)).alias("size"), F.max((~F.col("hit")).cast("int")).alias("open"))
-    closed = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r")).join(size.filter("open = 1"), "a").filter("n = size")
+    count = inside.groupBy("j").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("hit")).cast("int")).alias("open"))
+    size = count.filter("open > 0").select(F.col("j").alias("a"), "size")
     if cols:
-        closed = closed.filter(~F.col("a").isin(cols))
+        size = size.join(_few(x.cols, "j", cols).withColumnRenamed("j", "a"), "a", "left_anti")
+    near = closure_candidates(inside, size)
+    most = near.join(count.select(F.col("j").alias("b"), "open"), "b").groupBy("a").agg(F.sum(F.least("size", "open")).alias("most")).filter(F.col("most") > beyond)
+    if beyond:
+        near = near.join(most, "a", "left_semi")
+    if log is not None:
+        log["pairs"] = log.get("pairs", 0) + (witnesses(inside, size).agg(F.sum("n").alias("n")).first()["n"] or 0) + (near.agg(F.sum("size").alias("n")).first()["n"] or 0)
+        log["of"] = log.get("of", 0) + (inside.groupBy("i").count().agg(F.sum(F.col("count") * F.col("count")).alias("n")).first()["n"] or 0)
+    pairs = near.join(inside.select("i", F.col("j").alias("a")), "a").join(inside.select("i", F.col("j").alias("b"), (~F.col("hit")).cast("int").alias("r")), ["i", "b"])
+    closed = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"), F.first("size").alias("size")).filter("n = size")
     return closed.groupBy(F.col("a").alias("j")).agg(F.sum("r").alias("score"), F.collect_list("b").alias("closure"))
 
 
-def concept(x: BoolMatrix, fit: Fit) -> tuple[DataFrame, DataFrame, int] | None:
+def concept(x: BoolMatrix, fit: Fit, log: dict | None = None) -> tuple[DataFrame, DataFrame, int] | None:
     """Rows, columns and newly covered ones of the next concept, grown column by column while that number grows."""
     spark = x.cells.sparkSession
     left = cut(cells(x, fit))
     rows, cols, score = None, [], 0
     while True:
-        best = concept_step(x, left, rows, cols).orderBy(F.desc("score"), "j").limit(1).collect()
+        best = concept_step(x, left, rows, cols, score, log).orderBy(F.desc("score"), "j").limit(1).collect()
         if not best or best[0]["score"] <= score:
             break
-        j, score, cols = best[0]["j"], best[0]["score"], best[0]["closure"]
+        j, score, cols = best[0]
         with_j = left.filter(F.col("j") == F.lit(j)).select("i")
         rows = cut(with_j if rows is None else with_j.join(rows, "i", "left_semi"))
     if rows is None:
@@ -202,14 +304,15 @@ def concept(x: BoolMatrix, fit: Fit) -> tuple[DataFrame, DataFrame, int] | None:
     return rows, spark.createDataFrame([(c,) for c in cols], x.cols.select("j").schema), score
 
 
-def grecond(x: BoolMatrix, k: int | None = None, tol: int = 0) -> Fit:
-    """Covers the ones by formal concepts: nothing but ones is ever covered."""
+def grecond(x: BoolMatrix, k: int | None = None, tol: int = 0, counted: bool = False) -> Fit:
+    """Covers the ones by formal concepts: nothing but ones is ever covered. counted: the log says how many pairs were made, of how many."""
     fit, left = Fit(), x.ones.count()
     while left > tol and (k is None or fit.k < k):
-        found = concept(x, fit)
+        log: dict = {}
+        found = concept(x, fit, log if counted else None)
         if found is None:
             break
-        fit.add(found[0], found[1], score=found[2])
+        fit.add(found[0], found[1], score=found[2], **log)
         left -= found[2]
     return fit
 
@@ -227,8 +330,8 @@ def line_gains(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp,
         if fit.u is not None:
             a, b = (fit.u, fit.v) if key == "i" else (fit.v, fit.u)
             distinct = algebra.masks(a, key).select(F.col("mask").alias(f"m{key}")).distinct()
-            crossed = _masked(across, other, b).crossJoin(F.broadcast(distinct)).filter(algebra.mask_hit(F.col(f"m{key}"), F.col(f"m{other}")))
-            ones = _masked(ones, key, a).join(crossed.groupBy(f"m{key}").agg(F.count(F.lit(1)).alias("c")), f"m{key}", "left")
+            crossed = algebra.hit_pairs(_masked(across, other, b).groupBy(f"m{other}").agg(F.count(F.lit(1)).alias("n")), f"m{other}", distinct, f"m{key}")
+            ones = _masked(ones, key, a).join(crossed.groupBy(f"m{key}").agg(F.sum("n").alias("c")), f"m{key}", "left")
             covered = F.coalesce(F.col("c"), F.lit(0))
         gain = w_fn * F.col("r") - w_fp * (F.lit(size) - F.col("r") - covered)
         out.append(ones.select(F.lit(axis).alias("axis"), F.col(key).cast("string").alias("id"), gain.alias("gain"), F.col(key).alias(f"__{key}")))
@@ -378,50 +481,96 @@ def hyper_costs(rows: DataFrame, mode: str = "all") -> DataFrame:
     if mode == "all":
         return rows.groupBy("c").agg(F.count(F.lit(1)).alias("rows"), ((F.count(F.lit(1)) + F.max("size")) / F.sum("r")).alias("cost"))
     # rows of a candidate differ only in r, which has few values: prefix sums run over those
-    from pyspark.sql import Window
-
     steps = rows.groupBy("c", "r").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     w = Window.partitionBy("c").orderBy(F.desc("r"))
     sums = steps.select("c", "r", (F.sum("n").over(w)).alias("rows"), ((F.sum("n").over(w) + F.col("size")) / F.sum(F.col("n") * F.col("r")).over(w)).alias("cost"))
     return sums.groupBy("c").agg(F.min_by("rows", F.struct("cost", "rows")).alias("rows"), F.min("cost").alias("cost"))
 
 
+#: Candidates scored at once.
+SCORED = 64
+
+
 def hyper(x: BoolMatrix, min_support: float, most: int | None = None, k: int | None = None) -> Fit:
     """Exact cover by itemsets: each round the candidate of least cost, until all ones are covered. What is covered is kept
-    as a flag of the ones here."""
+    as a flag of the ones here.
+
+    Costs are found lazily. The least cost of a candidate over any number of its rows (as in the mode `paper`) only grows as ones get
+    covered, and is never above the cost over all its rows, so an old one is a bound of what the candidate costs now. Each round
+    scores the candidates of the least bounds, SCORED of them and then twice as many, until no bound is below the best cost found. The log
+    says how many rows of candidates were scored (`scored`) and how many candidates were left alone (`idle`)."""
     fit, candidates = Fit(), cut(itemsets(x, min_support, most))
     left = cut(x.ones.withColumn("hit", F.lit(False)))
+    bounds = None
     while k is None or fit.k < k:
-        rows = hyper_candidates(x, candidates, left)
-        best = hyper_costs(rows).orderBy("cost", "c").limit(1).collect()
-        if not best:
+        best, scored, tried, n = None, 0, 0, SCORED
+        fresh, seen = None, None
+        while True:
+            if bounds is None:
+                batch = candidates.select("c").distinct()
+            else:
+                batch = bounds if seen is None else bounds.join(seen, "c", "left_anti")
+                if best is not None:
+                    batch = batch.filter((F.col("bound") < best["cost"]) | (F.col("bound") == best["cost"]) & (F.col("c") < F.lit(best["c"])))
+                batch = cut(batch.orderBy("bound", "c").limit(n).select("c"))
+                if not batch.limit(1).count():
+                    break
+            rows = cut(hyper_candidates(x, candidates.join(batch, "c", "left_semi"), left))
+            new = cut(hyper_costs(rows).join(hyper_costs(rows, "paper").select("c", F.col("cost").alias("bound")), "c"))
+            scored, tried = scored + rows.count(), tried + batch.count()
+            found = new.orderBy("cost", "c").limit(1).collect()
+            if found and (best is None or (found[0]["cost"], found[0]["c"]) < (best["cost"], best["c"])):
+                best, chosen = found[0], rows.filter(F.col("c") == F.lit(found[0]["c"])).select("i")
+            fresh, seen = (new, batch) if fresh is None else (fresh.unionByName(new), seen.unionByName(batch))
+            if bounds is None:
+                break
+            n *= 2
+        if best is None:
             break
-        name = best[0]["c"]
-        chosen, cols = rows.filter(F.col("c") == name).select("i"), candidates.filter(F.col("c") == name).select("j")
-        fit.add(chosen, cols, c=name, cost=best[0]["cost"], n_rows=best[0]["rows"])
-        tile = fit.u.filter(F.col("f") == fit.k - 1).crossJoin(fit.v.filter(F.col("f") == fit.k - 1).select("j")).select("i", "j", F.lit(True).alias("__t"))
-        left = cut(left.join(tile, ["i", "j"], "left").select("i", "j", (F.col("hit") | F.coalesce("__t", F.lit(False))).alias("hit")))
+        # candidates that were scored and have no uncovered ones are gone
+        kept = fresh.select("c", "bound")
+        bounds = cut(kept if bounds is None else bounds.join(seen, "c", "left_anti").select("c", "bound").unionByName(kept))
+        cols = candidates.filter(F.col("c") == F.lit(best["c"])).select("j")
+        fit.add(chosen, cols, c=best["c"], cost=best["cost"], n_rows=best["rows"], scored=scored, idle=bounds.count() - tried)
+        rows_in, cols_in = (fit_side.filter(F.col("f") == fit.k - 1).select(key, F.lit(True).alias(f"__{key}")) for fit_side, key in ((fit.u, "i"), (fit.v, "j")))
+        left = left.join(rows_in, "i", "left").join(cols_in, "j", "left")
+        left = cut(left.select("i", "j", (F.col("hit") | (F.coalesce("__i", F.lit(False)) & F.coalesce("__j", F.lit(False)))).alias("hit")))
     return fit
 
 
-def merge_savings(x: BoolMatrix, u: DataFrame, v: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, savings, fp: what merging patterns a and b saves for each cell it newly covers, and how many of the merged tile's
-    cells are no ones. pairs: a, b."""
-    sides = {}
-    for side, key in ((u, "i"), (v, "j")):
-        both = F.explode(F.array("a", "b")).alias("f")
-        sides[key] = pairs.select("a", "b", both).join(side, "f").select("a", "b", key).distinct()
+def _sides(u: DataFrame, v: DataFrame, pairs: DataFrame) -> list[DataFrame]:
+    """a, b, i and a, b, j: the rows and columns of the tile that each pair of patterns would be."""
+    both = F.explode(F.array("a", "b")).alias("f")
+    return [pairs.select("a", "b", both).join(side, "f").select("a", "b", key).distinct() for side, key in ((u, "i"), (v, "j"))]
+
+
+def _within(cells: DataFrame, sides: list[DataFrame], name: str) -> DataFrame:
+    """a, b and how many of the cells lie in the tile of each pair."""
+    return cells.join(sides[0], "i").join(sides[1], ["a", "b", "j"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
+
+
+def merge_counts(x: BoolMatrix, u: DataFrame, v: DataFrame, pairs: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """a, b, nt, ni, nc, no, saved: rows and columns of the merged tile, how many of its cells are covered and how many are ones, and how many
+    rows and columns fewer are to be written down. covered: the product of u and v, if it is there."""
+    sides = _sides(u, v, pairs)
     size = lambda s: s.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
     sizes = size(u).unionByName(size(v)).groupBy("f").agg(F.sum("n").alias("n"))
     count = lambda s, name: s.groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
-    covered = u.join(v, "f").select("i", "j").distinct()
-    inside = covered.join(sides["i"], "i").join(sides["j"], ["a", "b", "j"])
-    ones = x.ones.join(sides["i"], "i").join(sides["j"], ["a", "b", "j"])
-    t = pairs.join(count(sides["i"], "nt"), ["a", "b"]).join(count(sides["j"], "ni"), ["a", "b"]).join(count(inside, "nc"), ["a", "b"], "left").join(count(ones, "no"), ["a", "b"], "left")
+    covered = u.join(v, "f").select("i", "j").distinct() if covered is None else covered
+    t = pairs.join(count(sides[0], "nt"), ["a", "b"]).join(count(sides[1], "ni"), ["a", "b"]).join(_within(covered, sides, "nc"), ["a", "b"], "left").join(_within(x.ones, sides, "no"), ["a", "b"], "left")
     t = t.join(sizes.select(F.col("f").alias("a"), F.col("n").alias("sa")), "a").join(sizes.select(F.col("f").alias("b"), F.col("n").alias("sb")), "b")
-    new = F.col("nt") * F.col("ni") - F.coalesce("nc", F.lit(0))
-    saved = F.col("sa") + F.col("sb") - F.col("nt") - F.col("ni")
-    return t.select("a", "b", F.try_divide(saved.cast("double"), new.cast("double")).alias("savings"), (F.col("nt") * F.col("ni") - F.coalesce("no", F.lit(0))).alias("fp"))
+    return t.select("a", "b", "nt", "ni", F.coalesce("nc", F.lit(0)).alias("nc"), F.coalesce("no", F.lit(0)).alias("no"), (F.col("sa") + F.col("sb") - F.col("nt") - F.col("ni")).alias("saved"))
+
+
+def savings(counts: DataFrame) -> DataFrame:
+    """a, b, savings, fp: what merging patterns a and b saves for each cell it newly covers, and how many of the merged tile's
+    cells are no ones."""
+    new = F.col("nt") * F.col("ni") - F.col("nc")
+    return counts.select("a", "b", F.try_divide(F.col("saved").cast("double"), new.cast("double")).alias("savings"), (F.col("nt") * F.col("ni") - F.col("no")).alias("fp"))
+
+
+def merge_savings(x: BoolMatrix, u: DataFrame, v: DataFrame, pairs: DataFrame) -> DataFrame:
+    return savings(merge_counts(x, u, v, pairs))
 
 
 def sampled_pairs(u: DataFrame, samples: int, seed) -> DataFrame:
@@ -433,21 +582,35 @@ def sampled_pairs(u: DataFrame, samples: int, seed) -> DataFrame:
 
 
 def hyper_plus(x: BoolMatrix, fit: Fit, target_k: int, samples: int = 500, beta: float | None = None, seed=0) -> Fit:
-    """Merges pairs of patterns, the one of largest savings among sampled ones, while false positives stay within beta x ones."""
+    """Merges pairs of patterns, the one of largest savings among sampled ones, while false positives stay within beta x ones.
+
+    What is known of a pair is kept: a merge drops the pairs of the two merged patterns, adds the cells that it newly covers to the
+    pairs whose tiles hold them, and of the next sample only pairs not yet known are counted. The log says how many (`counted`)."""
     u, v, alive, ones = fit.u, fit.v, fit.k, x.ones.count()
     out = Fit(u, v, fit.k, list(fit.log))
+    covered = cut(u.join(v, "f").select("i", "j").distinct())
+    known = None
     while alive > target_k:
         pairs = cut(sampled_pairs(out.u, samples, f"{seed}:{alive}"))
+        asked = pairs if known is None else cut(pairs.join(known, ["a", "b"], "left_anti"))
+        fresh = merge_counts(x, out.u, out.v, asked, covered)
+        known = cut(fresh if known is None else known.unionByName(fresh))
         # a merge that covers nothing new saves without limit
-        t = merge_savings(x, out.u, out.v, pairs).withColumn("savings", F.coalesce("savings", F.lit(float("inf"))))
+        t = savings(known.join(pairs, ["a", "b"], "left_semi")).withColumn("savings", F.coalesce("savings", F.lit(float("inf"))))
         if beta is not None:
             t = t.filter(F.col("fp") <= F.lit(beta * ones))
         best = t.orderBy(F.desc("savings"), "a", "b").limit(1).collect()
         if not best:
             break
         a, b, new = best[0]["a"], best[0]["b"], out.k
-        merged = lambda s, key: cut(s.withColumn("f", F.when(F.col("f").isin(a, b), new).otherwise(F.col("f"))).distinct())  # noqa: B023,E731
-        out = Fit(merged(out.u, "i"), merged(out.v, "j"), out.k + 1, [*out.log, {"merged": (a, b), "savings": best[0]["savings"]}])
+        rows, cols = (cut(s.filter(F.col("f").isin(a, b)).select(key).distinct()) for s, key in ((out.u, "i"), (out.v, "j")))
+        moved = lambda s, side: cut(s.filter(~F.col("f").isin(a, b)).unionByName(side.withColumn("f", F.lit(new))))  # noqa: B023,E731
+        out = Fit(moved(out.u, rows), moved(out.v, cols), out.k + 1, [*out.log, {"merged": (a, b), "savings": best[0]["savings"], "counted": asked.count(), "of": pairs.count()}])
+        gained = cut(rows.crossJoin(cols).join(covered, ["i", "j"], "left_anti"))  # cells of the new pattern alone
+        covered = cut(covered.unionByName(gained))
+        known = known.filter(~F.col("a").isin(a, b) & ~F.col("b").isin(a, b))
+        more = _within(gained, _sides(out.u, out.v, known.select("a", "b")), "more")
+        known = cut(known.join(more, ["a", "b"], "left").withColumn("nc", F.col("nc") + F.coalesce("more", F.lit(0))).drop("more"))
         alive -= 1
     return out
 
@@ -496,8 +659,8 @@ def panda_item_costs(x: BoolMatrix, fit: Fit, rows: DataFrame, size: int, items:
     t = cols.join(open_, "j", "left").withColumn("r", F.coalesce("r", F.lit(0)))
     covered = F.lit(0)
     if fit.u is not None:
-        mine = _masked(rows, "i", fit.u).groupBy("mi").agg(F.count(F.lit(1)).alias("n"))  # at most 2^k
-        c = _masked(t, "j", fit.v).crossJoin(F.broadcast(mine)).filter(algebra.mask_hit(F.col("mi"), F.col("mj"))).groupBy("j").agg(F.sum("n").alias("c"))
+        mine = _masked(rows, "i", fit.u).groupBy("mi").agg(F.count(F.lit(1)).alias("n"))
+        c = algebra.hit_pairs(_masked(t, "j", fit.v), "mj", mine, "mi").groupBy("j").agg(F.sum("n").alias("c"))
         t, covered = t.join(c, "j", "left"), F.coalesce(F.col("c"), F.lit(0))
     fp = F.lit(size) - covered - F.col("r")
     return t.select("j", (w_model + w_fp * fp - w_fn * F.col("r")).alias("cost"))
