@@ -100,12 +100,9 @@ def unique_mapping(side: DataFrame, by: str | None = None) -> DataFrame:
         ranks = factorized(side, "x", "__r")
         whole = ranks.agg(F.count(F.lit(1)).alias("__n"))
         return side.join(ranks, "x").crossJoin(F.broadcast(whole)).withColumn("x", F.col("__r") / F.col("__n")).drop("__r", "__n")
-    from pyspark.sql import Window
-
-    values = side.select(by, "x").distinct()
-    w = Window.partitionBy(by)
-    ranks = values.select(by, "x", ((F.row_number().over(w.orderBy("x")) - 1) / F.count(F.lit(1)).over(w)).alias("__r"))
-    return side.join(ranks, [by, "x"]).withColumn("x", F.col("__r")).drop("__r")
+    ranks = factorized(side.select(F.struct(by, "x").alias("__v")), "__v", "__r").select(F.col(f"__v.{by}").alias(by), F.col("__v.x").alias("x"), "__r")
+    ends = ranks.groupBy(by).agg(F.min("__r").alias("__a"), F.count(F.lit(1)).alias("__n"))
+    return side.join(ranks, [by, "x"]).join(ends, by).withColumn("x", (F.col("__r") - F.col("__a")) / F.col("__n")).drop("__r", "__a", "__n")
 
 
 def transpose(a: DataFrame) -> DataFrame:

@@ -144,6 +144,19 @@ def mx_sample_rows(spark, d):
     return aggregates.sample(ue(spark, d), n_rows=50, seed=5).ones
 
 
+FOUR = "rt AS (SELECT o_custkey AS i, l_partkey AS j, max(l_quantity) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL), us AS (SELECT DISTINCT CAST(i AS VARCHAR) AS id FROM rt), it AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS id FROM part), raw AS (SELECT 0 AS mat, 0 AS fa, 1 AS fb, CAST(i AS VARCHAR) AS a, CAST(j AS VARCHAR) AS b FROM rt WHERE q > 40 UNION ALL SELECT DISTINCT 1, 0, 2, CAST(c_custkey AS VARCHAR), unnest(['segment_' || c_mktsegment, 'nation_' || CAST(c_nationkey AS VARCHAR)]) FROM customer UNION ALL SELECT DISTINCT 2, 3, 1, unnest(string_split(p_name, ' ')), CAST(p_partkey AS VARCHAR) FROM part UNION ALL SELECT DISTINCT 3, 4, 1, p_type, CAST(p_partkey AS VARCHAR) FROM part), ids AS (SELECT 0 AS fid, id FROM us UNION ALL SELECT 1, id FROM it UNION SELECT 2, b FROM raw WHERE mat = 1 UNION SELECT 3, a FROM raw WHERE mat = 2 UNION SELECT 4, a FROM raw WHERE mat = 3), dims AS (SELECT fid, id, row_number() OVER (PARTITION BY fid ORDER BY id) - 1 AS ord FROM ids)"
+
+
+@query(f"WITH {FOUR} SELECT mat, x.ord AS i, y.ord AS j, 1 AS x FROM raw JOIN dims x ON x.fid = fa AND x.id = a JOIN dims y ON y.fid = fb AND y.id = b")
+def mx_load_four(spark, d):
+    o, li, p, c = (read(spark, d, t) for t in ("orders", "lineitem", "part", "customer"))
+    r = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("uid"), F.col("l_partkey").alias("iid")).agg(F.max("l_quantity").alias("rating"))
+    ratings = readers.ratings_matrix(r, p.select(F.col("p_partkey").alias("iid")), 40.0)
+    profiles = readers.one_hot(c, "c_custkey", {"segment": F.col("c_mktsegment"), "nation": F.col("c_nationkey")})
+    names, kinds = (readers.attribute_matrix(p, "p_partkey", v, ratings.cols) for v in (F.split("p_name", " "), F.array("p_type")))
+    return readers.combined(ratings, profiles, names, kinds)[0]
+
+
 SUMMED = f"WITH {PS}, s AS (SELECT 'row' AS axis, CAST(i AS VARCHAR) AS id, count(*) AS n FROM ps GROUP BY i UNION ALL SELECT 'col', CAST(j AS VARCHAR), count(*) FROM ps GROUP BY j)"
 
 
@@ -267,6 +280,24 @@ def normalize_columnwise(spark, d):
     return six(co.long(co.normalized(u, v, K, "columnwise")[0], "i", K), "x")
 
 
+@query(f"WITH {RUV}, r AS (SELECT b, CAST(row_number() OVER (ORDER BY b) - 1 AS DOUBLE) / count(*) OVER () AS x FROM (SELECT DISTINCT b FROM vv)) SELECT j, f, round(x, 6) AS x FROM vv JOIN r USING (b)")
+def normalize_matrixwise_mapping(spark, d):
+    u, v = factors(ue(spark, d))
+    return six(co.long(co.normalized(u, v, K, "matrixwise-mapping")[1], "j", K), "x")
+
+
+@query(f"WITH {RUV}, r AS (SELECT f, a, CAST(row_number() OVER (PARTITION BY f ORDER BY a) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY f) AS x FROM (SELECT DISTINCT f, a FROM uu)) SELECT i, f, round(x, 6) AS x FROM uu JOIN r USING (f, a)")
+def normalize_columnwise_mapping(spark, d):
+    u, v = factors(ue(spark, d))
+    return six(co.long(co.normalized(u, v, K, "columnwise-mapping")[0], "i", K), "x")
+
+
+@query(f"WITH {RUV}, tv AS (SELECT max(b) AS m FROM vv) SELECT j, f, round(b / m, 6) AS x FROM vv, tv")
+def normalize_matrixwise(spark, d):
+    u, v = factors(ue(spark, d))
+    return six(co.long(co.normalized(u, v, K, "matrixwise")[1], "j", K), "x")
+
+
 @query(f"WITH {EMB} SELECT vec_id, f, round(1 / (1 + exp(-x)), 6) AS s, round(1 / (1 + exp(-x)) * (1 - 1 / (1 + exp(-x))), 6) AS ds FROM emb")
 def sigmoid_values(spark, d):
     return emb(spark, d).select("vec_id", "f", F.round(sigmoid(F.col("x")), 6).alias("s"), F.round(d_sigmoid(F.col("x")), 6).alias("ds"))
@@ -623,7 +654,25 @@ def asso_iter_refine(spark, d):
     return greedy.refitted_column(x, patterns(x), 0, 4, 6)
 
 
-@query()
+def asso_iter_sql(k: int, rounds: int) -> str:
+    """The cover of `asso_sql`, then one pattern after the other fitted anew; a change stays if the error falls, until k in a row did not.
+    Rounds after that, of which there are more than enough, change nothing."""
+    out = [asso_sql(k), "v0 AS (" + " UNION ALL ".join(f"SELECT {f} AS f, j FROM bs WHERE p IN (SELECT p FROM b{f})" for f in range(k)) + ")", "y0 AS (" + " UNION ALL ".join(f"SELECT {f} AS f, i FROM g{f}" for f in range(k)) + ")"]
+    error = lambda u: f"(SELECT count(*) FROM (SELECT DISTINCT i, j FROM {u} JOIN v0 USING (f)) WHERE (i, j) NOT IN (SELECT (i, j) FROM ue)) + (SELECT count(*) FROM ue WHERE (i, j) NOT IN (SELECT (i, j) FROM {u} JOIN v0 USING (f)))"
+    out.append(f"z0 AS MATERIALIZED (SELECT {error('y0')} AS e, 0 AS still)")
+    for n in range(rounds):
+        f = n % k
+        out.append(f"x{n} AS MATERIALIZED (SELECT DISTINCT i, j FROM y{n} JOIN v0 USING (f) WHERE f <> {f})")
+        out.append(f"q{n} AS (SELECT i, j, 10 AS w FROM ue WHERE (i, j) NOT IN (SELECT (i, j) FROM x{n}) UNION ALL SELECT i, j, 4 FROM x{n})")
+        out.append(f"m{n} AS MATERIALIZED (SELECT * FROM y{n} WHERE f <> {f} UNION ALL SELECT {f} AS f, i FROM q{n} WHERE j IN (SELECT j FROM v0 WHERE f = {f}) GROUP BY i HAVING sum(w) > 4 * (SELECT count(*) FROM v0 WHERE f = {f}))")
+        out.append(f"d{n} AS MATERIALIZED (SELECT {error(f'm{n}')} AS e)")
+        out.append(f"ok{n} AS MATERIALIZED (SELECT d{n}.e < z{n}.e AND still < {k} AS better FROM d{n}, z{n})")
+        out.append(f"y{n + 1} AS MATERIALIZED (SELECT * FROM m{n} WHERE (SELECT better FROM ok{n}) UNION ALL SELECT * FROM y{n} WHERE NOT (SELECT better FROM ok{n}))")
+        out.append(f"z{n + 1} AS MATERIALIZED (SELECT CASE WHEN better THEN d{n}.e ELSE z{n}.e END AS e, CASE WHEN still >= {k} THEN still WHEN better THEN 0 ELSE still + 1 END AS still FROM d{n}, z{n}, ok{n})")
+    return f"WITH {UE}, {', '.join(out)} SELECT f, i, j FROM y{rounds} JOIN v0 USING (f)"
+
+
+@query(asso_iter_sql(3, 12))
 def asso_iter_fit(spark, d):
     x = ue(spark, d)
     return tiles(greedy.asso_iter(x, greedy.asso(x, 3, TAU, 4, 6), 4, 6))
@@ -646,7 +695,26 @@ def grecond_step1(spark, d):
     return greedy.concept_step(x, greedy.cells(x, greedy.Fit()), None, []).select("j", "score")
 
 
-@query()
+def grecond_sql(k: int, steps: int = 4) -> str:
+    """Concepts one after the other, each grown by up to `steps` columns; a step that gains nothing leaves all as it is."""
+    out = [UE, "o0 AS (SELECT i, j, true AS op FROM ue)"]
+    for f in range(k):
+        out += [f"r{f}_0 AS (SELECT DISTINCT i FROM ue)", f"c{f}_0 AS (SELECT j FROM ue WHERE false)", f"s{f}_0 AS (SELECT 0 AS s)"]
+        for n in range(steps):
+            x, y = f"{f}_{n}", f"{f}_{n + 1}"
+            out.append(f"in{x} AS MATERIALIZED (SELECT * FROM o{f} WHERE i IN (SELECT i FROM r{x}))")
+            out.append(f"n{x} AS (SELECT j AS a, count(*) AS n, bool_or(op) AS op FROM in{x} GROUP BY j)")
+            out.append(f"p{x} AS MATERIALIZED (SELECT a, b, r FROM (SELECT p.j AS a, q.j AS b, count(*) AS k, sum(CAST(q.op AS BIGINT)) AS r FROM in{x} p JOIN in{x} q USING (i) GROUP BY p.j, q.j) JOIN n{x} USING (a) WHERE k = n AND op AND a NOT IN (SELECT j FROM c{x}))")
+            out.append(f"b{x} AS MATERIALIZED (SELECT a, sum(r) AS s FROM p{x} GROUP BY a HAVING sum(r) > (SELECT s FROM s{x}) ORDER BY s DESC, a LIMIT 1)")
+            out.append(f"r{y} AS MATERIALIZED (SELECT i FROM r{x} WHERE NOT EXISTS (SELECT 1 FROM b{x}) OR i IN (SELECT i FROM in{x} WHERE j IN (SELECT a FROM b{x})))")
+            out.append(f"c{y} AS MATERIALIZED (SELECT b AS j FROM p{x} WHERE a IN (SELECT a FROM b{x}) UNION ALL SELECT j FROM c{x} WHERE NOT EXISTS (SELECT 1 FROM b{x}))")
+            out.append(f"s{y} AS (SELECT coalesce((SELECT s FROM b{x}), s) AS s FROM s{x})")
+        out.append(f"t{f} AS MATERIALIZED (SELECT {f} AS f, i, j FROM r{f}_{steps}, c{f}_{steps})")
+        out.append(f"o{f + 1} AS MATERIALIZED (SELECT i, j, op AND (i, j) NOT IN (SELECT (i, j) FROM t{f}) AS op FROM o{f})")
+    return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM t{f}" for f in range(k))
+
+
+@query(grecond_sql(3))
 def grecond_fit_k3(spark, d):
     return tiles(greedy.grecond(ue(spark, d), 3))
 
@@ -812,7 +880,34 @@ def mebf_weak(spark, d):
     return greedy.weak_factor(open_cells(spark, d), 0, 0.5)[1]
 
 
-@query()
+def mebf_fit_sql(k: int) -> str:
+    """Each round four tiles, from the middle and from the two fullest lines of both axes: the first kind whose better axis does not err more
+    than before; a round without one adds nothing, and neither do later ones."""
+    out = [UE, "pd0 AS (SELECT i, j FROM ue WHERE false)", "k0 AS (SELECT count(*) AS e FROM ue)"]
+    for f in range(k):
+        out.append(f"op{f} AS MATERIALIZED (SELECT i, j FROM ue EXCEPT SELECT i, j FROM pd{f})")
+        tried = []
+        for kind in (0, 1):
+            for axis, (key, other) in enumerate((("j", "i"), ("i", "j"))):
+                x = f"{f}_{kind}{axis}"
+                out.append(f"l{x} AS (SELECT {key}, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {key}) - 1 AS rk FROM op{f} GROUP BY {key})")
+                if kind == 0:
+                    out.append(f"a{x} AS MATERIALIZED (SELECT {other} FROM op{f} WHERE {key} IN (SELECT {key} FROM l{x} WHERE rk = (SELECT count(*) // 2 FROM l{x})))")
+                else:
+                    out.append(f"a{x} AS MATERIALIZED (SELECT {other} FROM op{f} WHERE {key} IN (SELECT {key} FROM l{x} WHERE rk < 2) GROUP BY {other} HAVING count(*) = 2)")
+                out.append(f"g{x} AS MATERIALIZED (SELECT {key} FROM op{f} WHERE {other} IN (SELECT {other} FROM a{x}) GROUP BY {key} HAVING count(*) > CAST(0.5 AS DOUBLE) * (SELECT count(*) FROM a{x}))")
+                out.append(f"t{x} AS MATERIALIZED (SELECT i, j FROM a{x}, g{x})")
+                out.append(f"w{x} AS MATERIALIZED (SELECT i, j FROM pd{f} UNION SELECT i, j FROM t{x})")
+                tried.append(f"SELECT {kind} AS kind, {axis} AS axis, (SELECT count(*) FROM (SELECT i, j FROM w{x} EXCEPT SELECT i, j FROM ue)) + (SELECT count(*) FROM (SELECT i, j FROM ue EXCEPT SELECT i, j FROM w{x})) AS e WHERE EXISTS (SELECT 1 FROM t{x})")
+        out.append(f"e{f} AS MATERIALIZED ({' UNION ALL '.join(tried)})")
+        out.append(f"b{f} AS MATERIALIZED (SELECT e{f}.* FROM e{f}, k{f} WHERE e{f}.e <= k{f}.e AND k{f}.e > 0 ORDER BY kind, e{f}.e, axis LIMIT 1)")
+        out.append(f"t{f} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {f} AS f, i, j FROM t{f}_{kind}{axis} WHERE EXISTS (SELECT 1 FROM b{f} WHERE kind = {kind} AND axis = {axis})" for kind in (0, 1) for axis in (0, 1)) + ")")
+        out.append(f"pd{f + 1} AS MATERIALIZED (SELECT i, j FROM pd{f} UNION SELECT i, j FROM t{f})")
+        out.append(f"k{f + 1} AS (SELECT coalesce((SELECT e FROM b{f}), e) AS e FROM k{f})")
+    return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM t{f}" for f in range(k))
+
+
+@query(mebf_fit_sql(3))
 def mebf_fit_k3(spark, d):
     return tiles(greedy.mebf(ue(spark, d), 3, 0.5))
 

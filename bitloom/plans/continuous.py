@@ -14,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import gap, prox, sigmoid, uniform
+from ..operators.algebra import unique_mapping
 from ..operators.blocks import SIDE, on_blocks, sigmoid_of, sums_of
 from ..operators.lineage import cut
 from ..operators.matrix import BoolMatrix
 from .stopping import limited, line_search, stop_reason
 
 EPS = 1e-12
+#: Below this a value of a start by singular vectors counts as zero.
+TINY = 1e-6
 
 
 def cols(k: int, p: str = "f") -> list[str]:
@@ -52,8 +55,8 @@ def init(ids: DataFrame, key: str, k: int, average: float, method: str = "unifor
 
 def start(x: BoolMatrix, k: int, method: str = "uniform", seed=0) -> tuple[DataFrame, DataFrame]:
     """U and V such that products average to the matrix's density."""
-    if method == "nndsvd":
-        return nndsvd(x, k, seed)
+    if method.startswith("nndsvd"):
+        return nndsvd(x, k, seed, fill={"nndsvd": None, "nndsvda": "mean", "nndsvdar": "random"}[method])
     average = math.sqrt(x.ones.count() / (x.m * x.n) / k)
     return init(x.rows, "i", k, average, method, seed), init(x.cols, "j", k, average, method, seed)
 
@@ -154,10 +157,10 @@ def kl_error(x: BoolMatrix, u: DataFrame, v: DataFrame, k: int, w: str = "mask")
     return (r["a"] or 0.0) + sum(a[c] * b[c] for c in cols(k))
 
 
-def nmf(x: BoolMatrix, k: int, w: str = "full", loss: str = "fro", solver: str = "mu", method: str = "uniform", max_iter: int = 30, tol: float = 0.0, min_diff: float = 0.0, seed=0, converged: float = 0.0, every: int = 1) -> tuple[DataFrame, DataFrame, list]:
-    """V, then U, in turn. loss: fro or kl; solver: mu or cd (all cells, fro). Returns U, V and the errors, of every so many rounds.
+def nmf(x: BoolMatrix, k: int, w: str = "full", loss: str = "fro", solver: str = "mu", method: str = "uniform", max_iter: int = 30, tol: float = 0.0, min_diff: float = 0.0, seed=0, converged: float = 0.0, every: int = 1, u=None, v=None) -> tuple[DataFrame, DataFrame, list]:
+    """V, then U, in turn, from a start or from given factors. loss: fro or kl; solver: mu or cd (all cells, fro). Returns U, V and the errors, of every so many rounds.
     converged: ends when ten rounds lower the root of the error by less than this share of the first one; every divides ten."""
-    u, v = (cut(s) for s in start(x, k, method, seed))
+    u, v = (cut(s) for s in (start(x, k, method, seed) if u is None else (u, v)))
     step = {("fro", "mu"): lambda a, b, key: wnmf_step(x, a, b, key, k, w), ("kl", "mu"): lambda a, b, key: wnmf_kl_step(x, a, b, key, k, w), ("fro", "cd"): lambda a, b, key: cd_step(x, a, b, key, k)}[loss, solver]
     error = (lambda: frobenius_error(x, u, v, k, w)) if loss == "fro" else (lambda: kl_error(x, u, v, k, w))
     errors: list = [error()]
@@ -183,9 +186,10 @@ def _rotated(side: DataFrame, key: str, k: int, m) -> DataFrame:
     return side.select(key, *[c.alias(f"f{f}") for f, c in enumerate(_times([[float(m[b][a]) for a in range(k)] for b in range(k)], k))])
 
 
-def nndsvd(x: BoolMatrix, k: int, seed=0, rounds: int = 8) -> tuple[DataFrame, DataFrame]:
+def nndsvd(x: BoolMatrix, k: int, seed=0, rounds: int = 8, fill: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Start from leading singular vectors: subspace iteration by joins, orthonormal through k x k Grams; of each pair the
-    positive or the negative parts, whichever weighs more. The spectrum's signs are as they come out."""
+    positive or the negative parts, whichever weighs more. The spectrum's signs are as they come out. fill: zeros become the matrix's mean,
+    or random numbers of a hundredth of it, so that multiplicative updates can move them."""
     v = init(x.cols, "j", k, 0.5, "uniform", seed)
     for _ in range(rounds):
         v = cut(_rotated(v, "j", k, _sqrt_inverse(gram(v, k))))
@@ -210,12 +214,24 @@ def nndsvd(x: BoolMatrix, k: int, seed=0, rounds: int = 8) -> tuple[DataFrame, D
             t = max("pn", key=lambda t: norms["u"][c, t] * norms["v"][c, t])  # noqa: B023
             weight = math.sqrt(math.sqrt(float(values[f])) * norms["u"][c, t] * norms["v"][c, t]) / max(norms[name][c, t], EPS)
             made.append((F.greatest((1.0 if t == "p" else -1.0) * F.col(c), F.lit(0.0)) * weight).alias(c))
-        out.append(side.select(key, *made))
+        side = side.select(key, *made)
+        if fill is not None:
+            mean = x.ones.count() / (x.m * x.n)
+            other = [F.lit(mean)] * k if fill == "mean" else [F.col(f"__{c}") for c in cols(k)]
+            if fill == "random":
+                noise = init(side.select(key), key, k, mean / 100, "normal", f"{seed}:fill")
+                side = side.join(noise.withColumnsRenamed({c: f"__{c}" for c in cols(k)}), key)
+            side = side.select(key, *[F.when(F.col(c) < TINY, o).otherwise(F.col(c)).alias(c) for c, o in zip(cols(k), other)])
+        out.append(side)
     return tuple(out)
 
 
 def normalized(u: DataFrame, v: DataFrame, k: int, method: str = "balance") -> tuple[DataFrame, DataFrame]:
-    """balance: column maxima of both sides made equal; matrixwise or columnwise: divided by the largest value."""
+    """balance: column maxima of both sides made equal; matrixwise or columnwise: divided by the largest value; matrixwise-mapping or
+    columnwise-mapping: each value becomes its rank among the distinct ones, over their number."""
+    if method.endswith("-mapping"):
+        by = {"matrixwise-mapping": None, "columnwise-mapping": "f"}[method]
+        return tuple(wide(unique_mapping(long(s, key, k), by), key, k) for s, key in ((u, "i"), (v, "j")))
     top = lambda s: s.agg(*[F.max(c).alias(c) for c in cols(k)]).first()
     a, b = top(u), top(v)
     a, b = [float(a[c] or 0.0) for c in cols(k)], [float(b[c] or 0.0) for c in cols(k)]
@@ -426,10 +442,11 @@ def faststep_steps(x, u, v, k, tau, f: int, gu: DataFrame, gv: DataFrame, alphas
 LENGTHS = 5
 
 
-def faststep(x: BoolMatrix, k: int, tau: float = 20.0, max_round: int = 30, max_iter: int = 50, min_diff: float = 1e-2, seed=0):
+def faststep(x: BoolMatrix, k: int, tau: float = 20.0, max_round: int = 30, max_iter: int = 50, min_diff: float = 1e-2, seed=0, u=None, v=None):
     """Surrogate loss by projected descent, one pair of factors at a time; predicts y > tau."""
-    u, v = (cut(s) for s in start(x, k, "uniform", seed))
-    for s, key in ((u, "i"), (v, "j")):
+    given = u is not None
+    u, v = (cut(s) for s in ((u, v) if given else start(x, k, "uniform", seed)))
+    for s, key in () if given else ((u, "i"), (v, "j")):
         top = float(s.agg(F.max(F.greatest(*cols(k)) if k > 1 else F.col("f0")).alias("t")).first()["t"] or 1.0)
         s = s.select(key, *[(F.col(c) / top * (0.01 - 1e-5) + 1e-5).alias(c) for c in cols(k)])
         u, v = (cut(s), v) if key == "i" else (u, cut(s))

@@ -67,3 +67,26 @@ def attribute_matrix(df: DataFrame, item: str, values, shared: DataFrame | None
     if shared is not None:
         cells, cols = cells.join(shared, "j", "left_semi"), shared.select("j").distinct()
     return BoolMatrix.of(cells, "i", "j", cols=cols)
+
+
+#: User x item, user x profile, genre x item, cast x item, by the numbers of their dimensions: user, item, profile, genre, cast.
+FOUR = [[0, 1], [0, 2], [3, 1], [4, 1]]
+
+
+def combined(ratings: BoolMatrix, profiles: BoolMatrix, *attributes: BoolMatrix) -> tuple[DataFrame, DataFrame, list]:
+    """A ratings matrix with one of its users' profiles and any number of its items' attributes, as cells (mat, i, j, x) by positions, dims
+    (fid, ord, id) and factors. Users and items are those of the ratings; ids become strings."""
+    text = lambda df, c: df.select(F.col(c).cast("string").alias("id"))
+    user, item = text(ratings.rows, "i"), text(ratings.cols, "j")
+    dims = [factorized(t, "id") for t in (user, item, text(profiles.cols, "j"), *(text(a.rows, "i") for a in attributes))]
+    factors = [[0, 1], [0, 2], *([3 + n, 1] for n in range(len(attributes)))]
+    cells, said = None, None
+    for mat, (matrix, (a, b)) in enumerate(zip((ratings, profiles, *attributes), factors, strict=True)):
+        left, right = (dims[f].select(F.col("id").alias(f"__{c}"), F.col("ord").alias(f"__o{c}")) for f, c in ((a, "i"), (b, "j")))
+        placed = matrix.cells.join(left, F.col("i").cast("string") == F.col("__i")).join(right, F.col("j").cast("string") == F.col("__j"))
+        placed = placed.select(F.lit(mat).alias("mat"), F.col("__oi").alias("i"), F.col("__oj").alias("j"), "x")
+        cells = placed if cells is None else cells.unionByName(placed)
+    for fid, dim in enumerate(dims):
+        one = dim.select(F.lit(fid).alias("fid"), "ord", "id")
+        said = one if said is None else said.unionByName(one)
+    return cells, said, factors
