@@ -82,16 +82,22 @@ def worker_state(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
-def converted(batches: Iterator, made: Callable) -> Iterator:
+def converted(batches: Iterator, made: Callable, trim: bool = False) -> Iterator:
     """made(batch) of every Arrow batch. A batch goes before the next one is read, and so does what Arrow's pool would keep for
-    later: a Python worker outlives its task, and what it keeps adds to all that later stages take."""
+    later: a Python worker outlives its task, and what it keeps adds to all that later stages take. trim: the C library gives back what it
+    holds free, too, which many small objects leave behind."""
+    import ctypes
+
     import pyarrow as pa
 
     pool = pa.default_memory_pool()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None) if trim else None  # glibc has it
     for out in map(made, batches):
         yield out
         del out
         pool.release_unused()
+        if give_back is not None:
+            give_back(0)
 
 
 def matched(rows: DataFrame, keys: DataFrame, same: Column, how: str, most: int) -> DataFrame:

@@ -35,8 +35,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def kept_grams(h: Column) -> Column:
-    """Array of (at, gram, around): the winnowed grams of a text of at least SPAN words, given its word hashes. around: the
-    hashes from REACH words before the gram to REACH words after it, null beyond the text."""
+    """Array of (at, gram): the winnowed grams of a text of at least SPAN words, given its word hashes."""
 
     def positions(g):
         def least(i):
@@ -45,22 +44,18 @@ def kept_grams(h: Column) -> Column:
             return let(low, lambda v: i + F.coalesce(*[F.when(F.get(g, i + d) == v, F.lit(d)) for d in reversed(range(WINDOW))]))
 
         kept = F.array_distinct(F.transform(indices(F.size(g) - WINDOW), least))
-        return F.transform(kept, lambda p: F.struct(p.alias("at"), F.get(g, p).alias("gram"), around(h, p).alias("around")))
+        return F.transform(kept, lambda p: F.struct(p.alias("at"), F.get(g, p).alias("gram")))
 
     return let(all_grams(h, GRAM), positions)
 
 
-def around(h: Column, p: Column) -> Column:
-    return F.array(*[F.get(h, p + d) for d in range(-REACH, GRAM + REACH)])
-
+def with_around(h: Column) -> Column:
+    """The same with `around`: the hashes from REACH words before the gram to REACH words after it, null beyond the text."""
+    return let(h, lambda h: F.transform(kept_grams(h), lambda k: F.struct(k["at"].alias("at"), k["gram"].alias("gram"), around(h, k["at"]).alias("around"))))
 
-def kept_values(h: Column) -> Column:
-    """The distinct hashes that kept_grams keeps, without their places."""
 
-    def least(g):
-        return F.array_distinct(F.transform(indices(F.size(g) - WINDOW), lambda i: F.least(*[F.get(g, i + d) for d in range(WINDOW)])))
-
-    return let(all_grams(h, GRAM), least)
+def around(h: Column, p: Column) -> Column:
+    return F.array(*[F.get(h, p + d) for d in range(-REACH, GRAM + REACH)])
 
 
 def all_grams(h: Column, n: int) -> Column:
@@ -74,13 +69,11 @@ def is_small(df: DataFrame) -> bool:
 def places(keyed: DataFrame, train: DataFrame) -> DataFrame:
     """doc_id, digest, at, around, items, theirs: where the documents (doc_id, digest, h) have a gram of train."""
     if not is_small(train):
-        found = keyed.select("doc_id", "digest", F.explode(let(F.col("h"), kept_grams)).alias("k")).select("doc_id", "digest", "k.at", "k.gram", "k.around")
+        found = keyed.select("doc_id", "digest", F.explode(with_around(F.col("h"))).alias("k")).select("doc_id", "digest", "k.at", "k.gram", "k.around")
         return found.join(train, "gram")
-    # the words of a document pass the join by reference; only hits look up their places and neighbours
-    found = keyed.select("doc_id", "digest", "h", F.explode(let(F.col("h"), kept_values)).alias("gram"))
+    # a gram keeps its place, and the words of a document pass the join by reference: only hits look up their neighbours
+    found = keyed.select("doc_id", "digest", "h", F.explode(let(F.col("h"), kept_grams)).alias("k")).select("doc_id", "digest", "h", "k.at", "k.gram")
     found = found.join(F.broadcast(train.select("gram").distinct()), "gram", "left_semi")
-    at = F.filter(indices(F.size("h") - GRAM), lambda i: F.xxhash64(*[F.get("h", i + d) for d in range(GRAM)]) == F.col("gram"))
-    found = found.select("doc_id", "digest", "h", "gram", F.explode(at).alias("at"))
     return found.select("doc_id", "digest", "gram", "at", around(F.col("h"), F.col("at")).alias("around")).join(F.broadcast(train), "gram")
 
 
@@ -88,7 +81,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, digest, items, start, stop: the word spans of documents that lie in occurrences of windows of these items."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), word_hashes(F.col("text")).alias("h"))
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), word_hashes(F.col("text")).alias("h"))
-    train = items.select("item", F.explode(let(F.col("h"), kept_grams)).alias("k")).select("item", F.col("k.gram").alias("gram"), F.col("k.around").alias("theirs"))
+    train = items.select("item", F.explode(with_around(F.col("h"))).alias("k")).select("item", F.col("k.gram").alias("gram"), F.col("k.around").alias("theirs"))
     train = train.groupBy("gram", "theirs").agg(F.sort_array(F.collect_set("item")).alias("items"))
     pairs = places(keyed, train)
 

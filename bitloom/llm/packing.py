@@ -152,7 +152,7 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids:
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "ids"]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
 
-        yield from converted(batches, made)
+        yield from converted(batches, made, trim=True)
 
     schema = PIECE.format(kind=docs.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
