@@ -6,6 +6,11 @@ are filled least among those with room; packs of the same content are one patter
 number of lengths, not of documents. At most 2 x size patterns arise, as a length over size / 2 opens one and a shorter one splits
 at most one pattern and opens at most two, and a pattern holds fewer than sqrt(2 x size) distinct lengths: that bounds the table that is broadcast.
 
+Where whole pieces leave more than FREE of the room, as lengths over half a sequence do, the packs that are filled least are given up
+and their pieces are cut into the room of the others, at multiples of GRID tokens, until at most FREE is left, or what cutting there
+cannot use. How a piece is cut depends on its length and rank alone, so this is a lookup as well. Each piece carries the checksum of
+its ids up to every GRID tokens, from which those of its parts follow without the ids.
+
 Pieces find their place by their rank among the pieces of their length. The rank is the number of pieces of that length in
 earlier buckets plus the row number within the bucket. A length has as many buckets as its count asks for, so that a length that a
 third of all pieces share is numbered by all tasks; pieces fall into them by a row number of their own, so that copies part too.
@@ -17,10 +22,12 @@ doc_id is kept; very long texts are encoded whole, in one task each; an empty ta
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import os
 import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +40,11 @@ from .common import converted, worker_state, written
 SIZE = 2048
 END = 1
 END_BYTES = END.to_bytes(4, "little")
+FREE, GRID = 0.01, 16
 SPREAD = 4
 CACHE = 150_000
 TAILS = string.punctuation.replace("'", "")
-PIECE = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, row bigint"
+PIECE = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, row bigint, marks binary"
 
 
 def tokenizer_path() -> str:
@@ -129,8 +137,24 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
+def marked(part: bytes) -> tuple[int, bytes]:
+    """The checksum of a piece's ids, and those of its first GRID, 2 * GRID, ... ids, as unsigned 32-bit integers."""
+    crc, marks = 0, array("I")
+    for at in range(0, len(part), 4 * GRID):
+        marks.append(crc := zlib.crc32(part[at : at + 4 * GRID], crc))
+    return crc, marks[:-1].tobytes()
+
+
+def crc_between(marks: np.ndarray, crc: int, length: int, start: int, stop: int) -> int:
+    """The checksum of the ids from start (a multiple of GRID) to stop (another, or the end) of a piece that `marked` went over."""
+    before = int(marks[start // GRID - 1]) if start else 0
+    upto = crc if stop == length else int(marks[stop // GRID - 1])
+    zeros = bytes(4 * (stop - start))  # both checksums go on over as many bytes; what these leave of the first is taken off
+    return upto ^ zlib.crc32(zeros, before) ^ zlib.crc32(zeros)
+
+
 def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, row (a number of its own) and, if asked for, ids: the pieces of all documents."""
+    """doc_id, start, length, ids_crc32, doc_tokens, row (a number of its own), marks and, if asked for, ids: the pieces of all documents."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +170,11 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids:
                     n = len(data) // 4
                     for start in range(0, n, size):
                         part = data[4 * start : 4 * (start + size)]
-                        rows.append((doc, start, len(part) // 4, zlib.crc32(part), n, next(row), *([np.frombuffer(part, "<u4").tolist()] if with_ids else [])))
-            cols = list(zip(*rows, strict=True)) or [[] for _ in range(7 if with_ids else 6)]
-            kinds = [batch.schema.field("doc_id").type, *[pa.int64()] * 5, pa.list_(pa.int32())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "ids"]
+                        crc, marks = marked(part)
+                        rows.append((doc, start, len(part) // 4, crc, n, next(row), marks, *([np.frombuffer(part, "<u4").tolist()] if with_ids else [])))
+            cols = list(zip(*rows, strict=True)) or [[] for _ in range(8 if with_ids else 7)]
+            kinds = [batch.schema.field("doc_id").type, *[pa.int64()] * 5, pa.binary(), pa.list_(pa.int32())]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "marks", "ids"]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names[: len(cols)])
 
         yield from converted(batches, made, trim=True)
@@ -204,7 +229,69 @@ def packed(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple
     return sorted((n, c) for group in by_fill.values() for c, n in group.items())
 
 
-def slots(patterns: list, size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:
+def given_up(patterns: list, size: int = SIZE, free: float = FREE, grid: int = GRID) -> tuple[list, dict[int, int]]:
+    """The patterns that stay, and how many pieces of each length are to be cut into their room."""
+    fills = {c: sum(n * times for n, times in c) for _, c in patterns}
+    needs = {c: sum(-(-n // grid) * grid * times for n, times in c) for _, c in patterns}
+    spare = {c: (size - fills[c]) // grid * grid for _, c in patterns}
+    tokens, packs = sum(n * fills[c] for n, c in patterns), sum(n for n, _ in patterns)
+    room, target = sum(n * spare[c] for n, c in patterns), -int(-tokens // (size * (1 - free)))
+    stay, cut = [], {}
+    for count, content in sorted(patterns, key=lambda p: (fills[p[1]], p)):
+        less = max(0, min(count, packs - target, room // (needs[content] + spare[content])))
+        packs -= less
+        room -= less * (needs[content] + spare[content])
+        for length, times in content if less else ():
+            cut[length] = cut.get(length, 0) + less * times
+        if count > less:
+            stay.append((count - less, content))
+    return sorted(stay), cut
+
+
+def cuts(stay: list, cut: dict[int, int], size: int = SIZE, grid: int = GRID) -> list[tuple[int, int, list[tuple[int, int, int, int, int]]]]:
+    """(length, first rank, parts): how the pieces of a length are cut from a rank on, each part (start in the piece, length, sequence of
+    the first of these pieces, sequences from one piece to the next, offset). The widest room goes first."""
+    ranks: dict[int, int] = {}
+    wide: list[tuple[int, int, int, int]] = []  # usable room (negative), first sequence, sequences, filled
+    sequence = 0
+
+    def more(first, count, fill):
+        if count and (size - fill) // grid:
+            heapq.heappush(wide, (-((size - fill) // grid * grid), first, count, fill))
+
+    for count, content in stay:
+        for length, times in content:
+            ranks[length] = ranks.get(length, 0) + count * times
+        more(sequence, count, sum(n * times for n, times in content))
+        sequence += count
+    out = []
+    for length in sorted(cut, reverse=True):
+        rank, left = ranks.get(length, 0), cut[length]
+        while left:
+            use, first, count, fill = wide[0][0] * -1, *wide[0][1:]
+            whole, rest = divmod(length - 1, use)  # full parts, and one of rest + 1
+            many = min(left, count // (whole + 1))
+            if many:
+                heapq.heappop(wide)
+                parts = [(k * use, use, first + k, whole, fill) for k in range(whole)]
+                out.append((length, rank, [*parts, (whole * use, rest + 1, first + many * whole, 1, fill)]))
+                more(first + many * whole, many, fill + rest + 1)
+                more(first + many * (whole + 1), count - many * (whole + 1), fill)
+            else:  # these sequences are too few for a piece: one goes on in those of less room
+                many, at, parts = 1, 0, []
+                while at < length:
+                    use, first, count, fill = heapq.heappop(wide)
+                    part = min(-use, length - at)
+                    parts.append((at, part, first, 0, fill))
+                    at += part
+                    more(first, 1, fill + part)
+                    more(first + 1, count - 1, fill)
+                out.append((length, rank, parts))
+            rank, left = rank + many, left - many
+    return out
+
+
+def slots(patterns: list) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, packs, of it in a pack, first sequence, offset): where the pieces of each length go, by rank."""
     ranks: dict[int, int] = {}
     out, sequence = [], 0
@@ -232,30 +319,55 @@ def ranked(table: DataFrame, histogram: dict[int, int]) -> DataFrame:
     return keyed.withColumn("__n", F.row_number().over(within) - 1).join(F.broadcast(ahead), ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.col("__n")).drop("bucket", "__n", "ahead")
 
 
-def placed(rows: DataFrame, where: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
-    """rows (with length and rank) with sequence_id and offset, for the slots `where`."""
-    length, first, _, times, sequence, base = np.array(sorted(where) or [(0, 0, 0, 1, 0, 0)], dtype=np.int64).T
-    sent = rows.sparkSession.sparkContext.broadcast(((length << 48) + first, first, times, sequence, base))
+def placed(rows: DataFrame, where: list[tuple[int, int, int, int, int, int]], parts: list[tuple[int, int, list]] = ()) -> DataFrame:
+    """rows (with length and rank) with sequence_id and offset, for the slots `where`; those that `parts` names, cut."""
+    slot = np.array(sorted([*((*w, -1) for w in where), *((n, rank, 0, 1, 0, 0, k) for k, (n, rank, _) in enumerate(parts))]) or [(0, 0, 0, 1, 0, 0, -1)], dtype=np.int64)
+    length, first, _, times, sequence, base, cut = slot.T
+    each = [np.array(p, dtype=np.int64).reshape(-1, 5) for _, _, p in parts]
+    sent = rows.sparkSession.sparkContext.broadcast(((length << 48) + first, first, times, sequence, base, cut, each))
+    kept = [c for c in rows.columns if c not in ("rank", "marks")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, first, times, sequence, base = sent.value
+        keys, first, times, sequence, base, cut, each = sent.value
+
+        def whole(batch, at, nth, length):
+            # times pieces of this length stand side by side in one pack
+            extra = [pa.array(sequence[at] + nth // times[at]), pa.array(base[at] + nth % times[at] * length)]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *extra], names=[*kept, "sequence_id", "offset"])
+
+        def in_parts(batch, at, nth, length):
+            table = [each[k] for k in cut[at]]
+            of = np.repeat(np.arange(len(at)), [len(t) for t in table])
+            start, part, sequence, step, offset = np.concatenate(table).T
+            marks, crc = [np.frombuffer(m, "<u4") for m in batch.column("marks").to_pylist()], batch.column("ids_crc32").to_pylist()
+            spans = list(zip(of.tolist(), start.tolist(), (start + part).tolist(), strict=True))
+            new = {"start": pa.array(batch.column("start").to_numpy()[of] + start), "length": pa.array(part)}
+            new["ids_crc32"] = pa.array([crc_between(marks[i], crc[i], int(length[i]), a, b) for i, a, b in spans], pa.int64())
+            if "ids" in kept:
+                ids = batch.column("ids").to_pylist()
+                new["ids"] = pa.array([ids[i][a:b] for i, a, b in spans], batch.schema.field("ids").type)
+            cols = [new[c] if c in new else batch.column(c).take(pa.array(of)) for c in kept]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(sequence + nth[of] * step), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
+
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(keys, (length << 48) + rank, "right") - 1
             nth = rank - first[at]
-            # times pieces of this length stand side by side in one pack
-            extra = [pa.array(sequence[at] + nth // times[at]), pa.array(base[at] + nth % times[at] * length)]
-            kept = [c for c in batch.schema.names if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *extra], names=[*kept, "sequence_id", "offset"])
+            for make, these in ((whole, np.flatnonzero(cut[at] < 0)), (in_parts, np.flatnonzero(cut[at] >= 0))):
+                for i in range(0, len(these), 1024):
+                    some = these[i : i + 1024]
+                    yield make(batch.take(pa.array(some)), at[some], nth[some], length[some])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "rank"]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept]
     return rows.mapInArrow(run, ", ".join([*kinds, "sequence_id bigint", "offset bigint"]))
 
 
 def assigned(table: DataFrame, size: int = SIZE) -> DataFrame:
     """The pieces with sequence_id and offset."""
     histogram = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # at most size rows
-    return placed(ranked(table, histogram), slots(packed(histogram, size), size)).drop("row")
+    stay, cut = given_up(packed(histogram, size), size)
+    table = table if cut else table.drop("marks")
+    return placed(ranked(table, histogram), slots(stay), cuts(stay, cut, size)).drop("row")
 
 
 def pack(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = False) -> DataFrame:
