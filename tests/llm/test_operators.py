@@ -364,6 +364,47 @@ def test_near_copies(spark):
     assert {(i, t) for i, t in left if i is None or i % 2 == 0} == {(i, t) for i, t, _ in rows if i is None and t != rows[5][1] or i is not None and i % 2 == 0}
 
 
+def test_common_openings():
+    """Texts with a common opening hardly share blocks, copies of similarity 0.8 nearly always do, whatever their length."""
+    r = random.Random(8)
+    words = lambda n: [str(r.randrange(10**9)) for _ in range(n)]
+    made = lambda w: simhash.sketch(simhash.shingle_hashes(" ".join(w).encode()))
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    opening = words(40)
+    held = Counter(k for _ in range(2000) for k in made(opening + words(100))[0])
+    assert max(held.values()) <= 40
+    for n in (60, 160, 600):
+        found = 0
+        for _ in range(150):
+            w = opening + words(n)
+            v = list(w)
+            while True:
+                u = list(v)
+                u[r.randrange(len(u))] = "other"
+                a, b = shingles(w), shingles(u)
+                if len(a & b) < 0.8 * len(a | b):
+                    break
+                v = u
+            (a, s), (b, t) = made(w), made(v)
+            pairs = [(x, y) for x, y in zip(s, t, strict=True) if x or y]
+            d = (simhash.fingerprint(" ".join(w).encode()) ^ simhash.fingerprint(" ".join(v).encode())).bit_count()
+            found += bool(set(a) & set(b)) and sum(x == y for x, y in pairs) >= simhash.SIMILAR * len(pairs) and d <= simhash.NEAR
+        assert found >= 0.9 * 150
+    assert simhash.sketch(np.zeros(0, np.uint64)) == ([], bytes(simhash.SIGNED)) and len(made(["a"])[0]) == 1
+
+
+def test_linked_tiles_are_skipped(monkeypatch):
+    """Once all rows of a group of near copies are in one component, no more of its tiles are compared."""
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    fps = np.array(sorted({base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(1500)}), np.uint64)
+    compared = []
+    union = simhash.union
+    monkeypatch.setattr(simhash, "union", lambda labels, a, b: (compared.append(len(a)), union(labels, a, b)))
+    a, b = simhash.linked_in_blocks(np.zeros(len(fps), np.int64), fps, radius=4, chunk=64)
+    assert len(a) == len(fps) - 1 and len(compared) <= 4 * (len(fps) // 64 + 1)
+
+
 def test_licences(spark, rows):
     import re
 
