@@ -71,8 +71,9 @@ def places(keyed: DataFrame, train: DataFrame) -> DataFrame:
     if not is_small(train):
         found = keyed.select("doc_id", "digest", F.explode(with_around(F.col("h"))).alias("k")).select("doc_id", "digest", "k.at", "k.gram", "k.around")
         return found.join(train, "gram")
-    # a gram keeps its place, and the words of a document pass the join by reference: only hits look up their neighbours
-    found = keyed.select("doc_id", "digest", "h", F.explode(let(F.col("h"), kept_grams)).alias("k")).select("doc_id", "digest", "h", "k.at", "k.gram")
+    # a gram keeps its place, and the words of a document pass the join by reference: only hits look up their neighbours. The grams are a
+    # column before they are exploded, as a generator that holds a higher-order function copies all its columns for each gram
+    found = keyed.withColumn("k", let(F.col("h"), kept_grams)).select("doc_id", "digest", "h", F.explode("k").alias("k")).select("doc_id", "digest", "h", "k.at", "k.gram")
     found = found.join(F.broadcast(train.select("gram").distinct()), "gram", "left_semi")
     return found.select("doc_id", "digest", "gram", "at", around(F.col("h"), F.col("at")).alias("around")).join(F.broadcast(train), "gram")
 
