@@ -165,8 +165,8 @@ def nmf(x: BoolMatrix, k: int, w: str = "full", loss: str = "fro", solver: str =
     error = (lambda: frobenius_error(x, u, v, k, w)) if loss == "fro" else (lambda: kl_error(x, u, v, k, w))
     errors: list = [error()]
     for n in range(1, max_iter + 1):
-        v = cut(step(v, u, "j"))
-        u = cut(step(u, v, "i"))
+        v = cut(step(v, u, "j"), v)
+        u = cut(step(u, v, "i"), u)
         if n % every and n < max_iter:
             continue
         errors.append(error())
@@ -274,11 +274,11 @@ def penalty(x: BoolMatrix, k: int, u=None, v=None, reg: float = 2.0, reg_growth:
     errors: list = []
     for n in range(1, max_iter + 1):
         if link is None:
-            v = cut(penalty_step(x, v, u, "j", k, reg, w))
-            u = cut(penalty_step(x, u, v, "i", k, reg, w))
+            v = cut(penalty_step(x, v, u, "j", k, reg, w), v)
+            u = cut(penalty_step(x, u, v, "i", k, reg, w), u)
         else:
-            v = cut(pnlpf_step(x, v, u, "j", k, reg, link))
-            u = cut(pnlpf_step(x, u, v, "i", k, reg, link))
+            v = cut(pnlpf_step(x, v, u, "j", k, reg, link), v)
+            u = cut(pnlpf_step(x, u, v, "i", k, reg, link), u)
         reg = min(reg * reg_growth, max_reg)
         errors.append(sum(s.agg(binary_error(s, k).alias("e")).first()["e"] for s in (u, v)))
         diff = abs(errors[-2] - errors[-1]) if n > 1 else None

@@ -39,6 +39,8 @@ def line_search(f: Callable, df: Callable, x: list[float], p: list[float], max_i
             alpha *= 1.2
             continue
         alpha = (low + high) / 2
+    else:  # out of rounds: the last step is new and not evaluated yet
+        value = f(at(alpha))
     return alpha, value
 
 

@@ -287,6 +287,30 @@ def test_driver_numbers(spark):
     assert [r["s"] for r in x] == [0.0, 1.0] and all(0 <= r["u"] < 1 for r in x)
 
 
+def test_line_search_out_of_rounds():
+    """The value is that of the step returned, even if the rounds run out."""
+    f, df = (lambda p: (p[0] - 3) ** 2), (lambda p: [2 * (p[0] - 3)])
+    for rounds in range(4):
+        alpha, value = line_search(f, df, [0.0], [60.0], max_iter=rounds)
+        assert value == f([60 * alpha])
+
+
+def test_rounds_leave_no_checkpoints(spark):
+    """A fit keeps its last factors only, whatever the number of its rounds."""
+    import glob
+
+    x = block(spark)
+    folder = spark.sparkContext.getCheckpointDir()
+    kept = lambda: len(glob.glob(folder.removeprefix("file:") + "/rdd-*"))
+    counts = []
+    for rounds in (1, 6):
+        before = kept()
+        u, v, errors = continuous.nmf(x, 2, max_iter=rounds)
+        counts.append(kept() - before)
+        assert len(errors) == rounds + 1 and u.count() and v.count()
+    assert counts == [2, 2]
+
+
 def test_stream(spark, tmp_path):
     from bitloom.streaming.cells import maintained
 
