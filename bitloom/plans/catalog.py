@@ -855,7 +855,39 @@ def panda_extend_rows(spark, d):
     return greedy.panda_row_costs(x, patterns(x), rows, cols, cols.count(), 1, 2, 3).withColumn("cost", F.col("cost").cast("bigint"))
 
 
-@query()
+def panda_sql(k: int) -> str:
+    """Each pattern in one walk over the items in order for the core and one for the extension; sets are lists. Pattern f stays
+    if the error does not rise, and patterns after one that goes, or that leaves no open one, are empty."""
+    out = [UE, "pd0 AS (SELECT i, j FROM ue WHERE false)", "k0 AS (SELECT count(*) AS e, true AS go FROM ue)"]
+    for f in range(k):
+        out.append(f"op{f} AS MATERIALIZED (SELECT i, j FROM ue, k{f} WHERE go AND (i, j) NOT IN (SELECT (i, j) FROM pd{f}))")
+        out.append(f"it{f} AS MATERIALIZED (SELECT o.j, has, coalesce(cov, []) AS cov, row_number() OVER (ORDER BY len(has) DESC, o.j) AS n FROM (SELECT j, list(i) AS has FROM op{f} GROUP BY j) o LEFT JOIN (SELECT j, list(i) AS cov FROM pd{f} GROUP BY j) c ON c.j = o.j)")
+        out.append(f"li{f} AS MATERIALIZED (SELECT list({{'i': o.i, 'has': has, 'cov': coalesce(cov, [])}}) AS l FROM (SELECT i, list(j) AS has FROM op{f} GROUP BY i) o LEFT JOIN (SELECT i, list(j) AS cov FROM pd{f} GROUP BY i) c ON c.i = o.i)")
+        taken = "1 + len(common) - len(r) - ((len(s) + 1) * len(common) - len(s) * len(r)) <= 0"
+        out.append(
+            f"co{f} AS (SELECT n, has AS r, [j] AS s FROM it{f} WHERE n = 1 UNION ALL SELECT n, CASE WHEN {taken} THEN common ELSE r END, CASE WHEN {taken} THEN list_append(s, j) ELSE s END"
+            f" FROM (SELECT it{f}.n, r, s, j, list_intersect(r, has) AS common FROM co{f} JOIN it{f} ON it{f}.n = co{f}.n + 1))"
+        )
+        out.append(f"fi{f} AS MATERIALIZED (SELECT r, s FROM co{f} ORDER BY n DESC LIMIT 1)")
+        out.append(f"re{f} AS MATERIALIZED (SELECT j, has, cov, row_number() OVER (ORDER BY n) AS n FROM it{f}, fi{f} WHERE NOT list_contains(s, j))")
+        cost = "1 + len({own}) - len(list_intersect({own}, {x}cov)) - 2 * len(list_intersect({own}, {x}has))"
+        out.append(
+            f"ex{f} AS (SELECT CAST(0 AS BIGINT) AS n, r, s FROM fi{f} UNION ALL"
+            f" SELECT n, CASE WHEN joins THEN list_concat(r, [y.i FOR y IN l IF NOT list_contains(r, y.i) AND {cost.format(own='t', x='y.')} <= 0]) ELSE r END, CASE WHEN joins THEN t ELSE s END"
+            f" FROM (SELECT re{f}.n, r, s, l, list_append(s, j) AS t, {cost.format(own='r', x='')} <= 0 AS joins FROM ex{f} JOIN re{f} ON re{f}.n = ex{f}.n + 1, li{f}))"
+        )
+        out.append(f"la{f} AS MATERIALIZED (SELECT r, s FROM ex{f} ORDER BY n DESC LIMIT 1)")
+        out.append(f"tr{f} AS MATERIALIZED (SELECT i, unnest(s) AS j FROM (SELECT unnest(r) AS i, s FROM la{f}))")
+        out.append(f"w{f} AS MATERIALIZED (SELECT i, j FROM pd{f} UNION SELECT i, j FROM tr{f})")
+        out.append(f"e{f} AS MATERIALIZED (SELECT (SELECT count(*) FROM (SELECT i, j FROM w{f} EXCEPT SELECT i, j FROM ue)) AS wrong, (SELECT count(*) FROM (SELECT i, j FROM ue EXCEPT SELECT i, j FROM w{f})) AS open)")
+        out.append(f"y{f} AS MATERIALIZED (SELECT go AND wrong + open <= e AND EXISTS (SELECT 1 FROM tr{f}) AS stays FROM k{f}, e{f})")
+        out.append(f"t{f} AS MATERIALIZED (SELECT CAST({f} AS INTEGER) AS f, i, j FROM tr{f}, y{f} WHERE stays)")
+        out.append(f"pd{f + 1} AS MATERIALIZED (SELECT i, j FROM pd{f} UNION SELECT i, j FROM t{f})")
+        out.append(f"k{f + 1} AS MATERIALIZED (SELECT CASE WHEN stays THEN wrong + open ELSE e END AS e, stays AND open > 0 AS go FROM k{f}, e{f}, y{f})")
+    return f"WITH RECURSIVE {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM t{f}" for f in range(k))
+
+
+@query(panda_sql(2))
 def panda_fit_k2(spark, d):
     return tiles(greedy.panda(ue(spark, d), 2))
 
