@@ -695,35 +695,89 @@ def grecond_step1(spark, d):
     return greedy.concept_step(x, greedy.cells(x, greedy.Fit()), None, []).select("j", "score")
 
 
+def concept_sql(f: int, steps: int) -> list[str]:
+    """r{f}_{steps} and c{f}_{steps}: rows and columns of the concept of open cells o{f}, grown by up to `steps` columns; a step that gains
+    nothing leaves all as it is."""
+    out = [f"r{f}_0 AS (SELECT DISTINCT i FROM ue)", f"c{f}_0 AS (SELECT j FROM ue WHERE false)", f"s{f}_0 AS (SELECT 0 AS s)"]
+    for n in range(steps):
+        x, y = f"{f}_{n}", f"{f}_{n + 1}"
+        out.append(f"in{x} AS MATERIALIZED (SELECT * FROM o{f} WHERE i IN (SELECT i FROM r{x}))")
+        out.append(f"n{x} AS (SELECT j AS a, count(*) AS n, bool_or(op) AS op FROM in{x} GROUP BY j)")
+        out.append(f"p{x} AS MATERIALIZED (SELECT a, b, r FROM (SELECT p.j AS a, q.j AS b, count(*) AS k, sum(CAST(q.op AS BIGINT)) AS r FROM in{x} p JOIN in{x} q USING (i) GROUP BY p.j, q.j) JOIN n{x} USING (a) WHERE k = n AND op AND a NOT IN (SELECT j FROM c{x}))")
+        out.append(f"b{x} AS MATERIALIZED (SELECT a, sum(r) AS s FROM p{x} GROUP BY a HAVING sum(r) > (SELECT s FROM s{x}) ORDER BY s DESC, a LIMIT 1)")
+        out.append(f"r{y} AS MATERIALIZED (SELECT i FROM r{x} WHERE NOT EXISTS (SELECT 1 FROM b{x}) OR i IN (SELECT i FROM in{x} WHERE j IN (SELECT a FROM b{x})))")
+        out.append(f"c{y} AS MATERIALIZED (SELECT b AS j FROM p{x} WHERE a IN (SELECT a FROM b{x}) UNION ALL SELECT j FROM c{x} WHERE NOT EXISTS (SELECT 1 FROM b{x}))")
+        out.append(f"s{y} AS (SELECT coalesce((SELECT s FROM b{x}), s) AS s FROM s{x})")
+    return out
+
+
 def grecond_sql(k: int, steps: int = 4) -> str:
-    """Concepts one after the other, each grown by up to `steps` columns; a step that gains nothing leaves all as it is."""
+    """Concepts one after the other."""
     out = [UE, "o0 AS (SELECT i, j, true AS op FROM ue)"]
     for f in range(k):
-        out += [f"r{f}_0 AS (SELECT DISTINCT i FROM ue)", f"c{f}_0 AS (SELECT j FROM ue WHERE false)", f"s{f}_0 AS (SELECT 0 AS s)"]
-        for n in range(steps):
-            x, y = f"{f}_{n}", f"{f}_{n + 1}"
-            out.append(f"in{x} AS MATERIALIZED (SELECT * FROM o{f} WHERE i IN (SELECT i FROM r{x}))")
-            out.append(f"n{x} AS (SELECT j AS a, count(*) AS n, bool_or(op) AS op FROM in{x} GROUP BY j)")
-            out.append(f"p{x} AS MATERIALIZED (SELECT a, b, r FROM (SELECT p.j AS a, q.j AS b, count(*) AS k, sum(CAST(q.op AS BIGINT)) AS r FROM in{x} p JOIN in{x} q USING (i) GROUP BY p.j, q.j) JOIN n{x} USING (a) WHERE k = n AND op AND a NOT IN (SELECT j FROM c{x}))")
-            out.append(f"b{x} AS MATERIALIZED (SELECT a, sum(r) AS s FROM p{x} GROUP BY a HAVING sum(r) > (SELECT s FROM s{x}) ORDER BY s DESC, a LIMIT 1)")
-            out.append(f"r{y} AS MATERIALIZED (SELECT i FROM r{x} WHERE NOT EXISTS (SELECT 1 FROM b{x}) OR i IN (SELECT i FROM in{x} WHERE j IN (SELECT a FROM b{x})))")
-            out.append(f"c{y} AS MATERIALIZED (SELECT b AS j FROM p{x} WHERE a IN (SELECT a FROM b{x}) UNION ALL SELECT j FROM c{x} WHERE NOT EXISTS (SELECT 1 FROM b{x}))")
-            out.append(f"s{y} AS (SELECT coalesce((SELECT s FROM b{x}), s) AS s FROM s{x})")
+        out += concept_sql(f, steps)
         out.append(f"t{f} AS MATERIALIZED (SELECT {f} AS f, i, j FROM r{f}_{steps}, c{f}_{steps})")
         out.append(f"o{f + 1} AS MATERIALIZED (SELECT i, j, op AND (i, j) NOT IN (SELECT (i, j) FROM t{f}) AS op FROM o{f})")
     return f"WITH {', '.join(out)} " + " UNION ALL ".join(f"SELECT * FROM t{f}" for f in range(k))
 
 
+def grecond_plus_sql(w_fp: int, w_fn: int, steps: int = 4) -> str:
+    """Two concepts, each grown line by line, the best one first; then the first one goes if it lies within the second, and so do added
+    lines that the other one covers. Lines are numbered by id, sets of them are lists."""
+    numbered = UE.replace("ue AS", "raw AS", 1) + ", ri AS MATERIALIZED (SELECT i AS id, row_number() OVER (ORDER BY i) AS i FROM (SELECT DISTINCT i FROM raw)), rj AS MATERIALIZED (SELECT j AS id, row_number() OVER (ORDER BY j) AS j FROM (SELECT DISTINCT j FROM raw))"
+    out = [numbered, "ue AS MATERIALIZED (SELECT ri.i, rj.j FROM raw JOIN ri ON ri.id = raw.i JOIN rj ON rj.id = raw.j)", "pd0 AS (SELECT i, j FROM ue WHERE false)", "o0 AS (SELECT i, j, true AS op FROM ue)"]
+    for f in range(2):
+        out += concept_sql(f, steps)
+        for key, other in (("i", "j"), ("j", "i")):
+            out.append(
+                f"l{key}{f} AS MATERIALIZED (SELECT list({{'{key}': o.{key}, 'has': has, 'cov': coalesce(cov, [])}}) AS l{key} FROM (SELECT {key}, list({other}) AS has FROM o{f} WHERE op GROUP BY {key}) o"
+                f" LEFT JOIN (SELECT {key}, list({other}) AS cov FROM pd{f} GROUP BY {key}) c ON c.{key} = o.{key})"
+            )
+        gains = [
+            f"[{{'loss': {w_fp} * (len({across}) - len(list_intersect({across}, y.has)) - len(list_intersect({across}, y.cov))) - {w_fn} * len(list_intersect({across}, y.has)), 'axis': {axis}, 'line': y.{key}}}"
+            f" FOR y IN l{key} IF NOT list_contains({own}, y.{key})]"
+            for axis, key, own, across in ((0, "i", "r", "s"), (1, "j", "s", "r"))
+        ]
+        out.append(f"st{f} AS MATERIALIZED (SELECT * FROM (SELECT list(i) AS r FROM r{f}_{steps}), (SELECT list(j) AS s FROM c{f}_{steps}) WHERE s IS NOT NULL)")
+        out.append(
+            f"ex{f} AS (SELECT 0 AS n, r, s FROM st{f} UNION ALL"
+            f" SELECT n + 1, CASE WHEN b.axis = 0 THEN list_append(r, b.line) ELSE r END, CASE WHEN b.axis = 1 THEN list_append(s, b.line) ELSE s END"
+            f" FROM (SELECT n, r, s, list_min(list_concat({gains[0]}, {gains[1]})) AS b FROM ex{f}, li{f}, lj{f}) WHERE b.loss < 0)"
+        )
+        out.append(f"la{f} AS MATERIALIZED (SELECT r, s FROM ex{f} ORDER BY n DESC LIMIT 1)")
+        out.append(f"pd{f + 1} AS MATERIALIZED (SELECT i, unnest(s) AS j FROM (SELECT unnest(r) AS i, s FROM la{f}))")
+        out.append(f"o{f + 1} AS MATERIALIZED (SELECT i, j, op AND (i, j) NOT IN (SELECT (i, j) FROM pd{f + 1}) AS op FROM o{f})")
+    within = lambda a, b: f"len(list_intersect({a}, {b})) = len({a})"
+    out.append("wi AS MATERIALIZED (SELECT list({'i': i, 'a': a}) AS wi FROM (SELECT i, list(j) AS a FROM ue GROUP BY i))")
+    out.append("wj AS MATERIALIZED (SELECT list({'j': j, 'a': a}) AS wj FROM (SELECT j, list(i) AS a FROM ue GROUP BY j))")
+    both = "SELECT a.r AS r0, a.s AS s0, coalesce(b.r, []) AS r1, coalesce(b.s, []) AS s1, p.r AS fr0, p.s AS fs0, coalesce(q.r, []) AS fr1, coalesce(q.s, []) AS fs1 FROM la0 a CROSS JOIN st0 p LEFT JOIN la1 b ON true LEFT JOIN st1 q ON true"
+    out.append(f"z0 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {within('r0', 'r1')} AND {within('s0', 's1')} THEN [] ELSE r0 END AS r0) FROM ({both}))")
+    order = [(0, "r", "s", "i"), (0, "s", "r", "j"), (1, "r", "s", "i"), (1, "s", "r", "j")]
+    for n, (f, own, across, key) in enumerate(order):
+        a, b, c, d = f"{own}{f}", f"{across}{f}", f"{own}{1 - f}", f"{across}{1 - f}"
+        # the other pattern covers an added line, all cells of which are ones
+        gone = f"[y.{key} FOR y IN w{key} IF NOT list_contains(f{a}, y.{key}) AND list_contains({c}, y.{key}) AND len({b}) > 0 AND {within(b, d)} AND {within(b, 'y.a')}]"
+        out.append(f"z{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (gone) REPLACE ([y FOR y IN {a} IF NOT list_contains(gone, y)] AS {a}) FROM (SELECT z{n}.*, {gone} AS gone FROM z{n}, w{key}))")
+    tiles = " UNION ALL ".join(f"SELECT {f} AS f, i, unnest(s) AS j FROM (SELECT unnest(r{f}) AS i, s{f} AS s FROM z4)" for f in range(2))
+    return f"WITH RECURSIVE {', '.join(out)} SELECT CAST(f AS INTEGER) AS f, ri.id AS i, rj.id AS j FROM ({tiles}) t JOIN ri USING (i) JOIN rj USING (j)"
+
+
 @query(grecond_sql(3))
 def grecond_fit_k3(spark, d):
     return tiles(greedy.grecond(ue(spark, d), 3))
 
 
-@query()
+@query(grecond_plus_sql(2, 8))
 def grecond_plus_fit_k2(spark, d):
     return tiles(greedy.grecond_plus(ue(spark, d), 2, 0, 2, 8))
 
 
+@query(grecond_plus_sql(3, 4))
+def grecond_plus_fit_dear(spark, d):
+    """The same where a wrong cell costs three quarters of a missed one, so that growth ends before the whole matrix."""
+    return tiles(greedy.grecond_plus(ue(spark, d), 2, 0, 3, 4))
+
+
 def seeds(x: BoolMatrix) -> tuple[DataFrame, DataFrame]:
     """Rows and columns of a tile by hash."""
     return x.rows.filter(uniform("t", F.col("i")) < 0.2), x.cols.filter(uniform("t", F.col("j")) < 0.2)
