@@ -411,14 +411,12 @@ def contained(u: DataFrame, v: DataFrame, f: int) -> DataFrame:
 
 
 def needless_lines(x: BoolMatrix, u: DataFrame, v: DataFrame, f: int) -> DataFrame:
-    """axis, id: lines of pattern f whose cells are all ones and all covered at least twice. Only the pattern's own cells are made;
-    how often one is covered follows from the masks of its row and column."""
-    sides = [algebra.masks(side, key).filter(F.array_contains("mask", f)).withColumnRenamed("mask", f"m{key}") for side, key in ((u, "i"), (v, "j"))]
-    tile = sides[0].crossJoin(sides[1]).withColumn("times", F.size(F.array_intersect("mi", "mj")))
-    seen = tile.join(x.ones.withColumn("one", F.lit(1)), ["i", "j"], "left")
-    good = F.min(F.when((F.col("times") >= 2) & F.col("one").isNotNull(), 1).otherwise(0)) == 1
-    rows = seen.groupBy("i").agg(good.alias("good")).filter("good").select(F.lit("row").alias("axis"), F.col("i").cast("string").alias("id"))
-    return rows.unionByName(seen.groupBy("j").agg(good.alias("good")).filter("good").select(F.lit("col").alias("axis"), F.col("j").cast("string").alias("id")))
+    """axis, id: lines of pattern f whose cells are all ones and all covered at least twice. Only ones within the pattern are looked
+    at: a line is needless if as many of its ones are covered twice as the pattern has lines across."""
+    rows, cols = (algebra.masks(side, key).filter(F.array_contains("mask", f)).withColumnRenamed("mask", f"m{key}") for side, key in ((u, "i"), (v, "j")))
+    twice = x.ones.select("i", "j").join(rows, "i").join(cols, "j").filter(F.size(F.array_intersect("mi", "mj")) >= 2)
+    of = lambda axis, key, across: twice.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == across.count()).select(F.lit(axis).alias("axis"), F.col(key).cast("string").alias("id"))
+    return of("row", "i", cols).unionByName(of("col", "j", rows))
 
 
 def grecond_plus(x: BoolMatrix, k: int, tol: int = 0, w_fp=1, w_fn=1, most: int | None = None) -> Fit:
