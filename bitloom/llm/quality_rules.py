@@ -146,16 +146,22 @@ def lost_by(docs: DataFrame, keyed: DataFrame, lost: DataFrame) -> DataFrame:
     return keyed.join(lost, same, "left")
 
 
-def without_lines(text: Column, gone: Column) -> Column:
-    """The text without the lines whose hash is in the array gone (null: none)."""
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(gone, line_hash(x))), "\n")
-    return F.when(gone.isNull(), text).otherwise(left)
+def is_in(ascending: Column, x: Column) -> Column:
+    """Whether a sorted array has x, by binary search; a few elements are looked at one by one."""
+
+    def searched(steps):
+        # at the end of the steps, as many elements as `n` are at most x
+        step = lambda n, p: F.when(F.coalesce(F.get(ascending, n + p - 1) <= x, F.lit(False)), n + p).otherwise(n)
+        return F.get(ascending, F.aggregate(steps, F.lit(0), step) - 1) == x
 
+    powers = F.transform(F.sequence(F.floor(F.log2(F.size(ascending))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.when(F.size(ascending) <= 16, F.array_contains(ascending, x)).otherwise(F.coalesce(searched(powers), F.lit(False)))
 
-def line_words(text: Column, gone: Column) -> Column:
-    """Words of the lines whose hash is in gone."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.array_contains(gone, line_hash(x)))
-    return F.when(gone.isNull(), F.lit(0)).otherwise(F.size(space_words(F.array_join(lines, "\n"))))
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose hash is in the sorted array gone (null: none)."""
+    kept = lambda g: F.filter(F.split(text, "\n"), lambda x: ~let(line_hash(x), lambda h: is_in(g, h)))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(let(gone, kept), "\n"))
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
@@ -176,7 +182,7 @@ def query(docs: DataFrame) -> DataFrame:
 def filtered(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """The documents that pass, with their boilerplate lines removed and n_chars set anew; all their columns, in order."""
     with scratch() as keep:
-        lost = removed_lines(docs, max_docs, least, share).groupBy("host", "doc_id", "digest").agg(F.collect_set("line").alias("gone"))
+        lost = removed_lines(docs, max_docs, least, share).groupBy("host", "doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("gone"), F.sum("words").alias("lost"))
         lost = written(lost, "losses")
         keep(lost)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -186,10 +192,9 @@ def filtered(docs: DataFrame, max_docs: int = MAX_DOCS, min_share: float = MIN_S
     keyed = keyed.filter((F.col("w.n") >= 50) & (100 * F.col("w.r") <= 50 * F.col("w.n")))
     taken = lost.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("n")).first()["n"]
     out = lost_by(docs, keyed, F.broadcast(lost) if taken <= BROADCAST_ROWS else lost)
-    body = F.col("row.text")
-    rest = F.col("w.n") - line_words(body, F.col("gone"))
+    rest = F.col("w.n") - F.coalesce(F.col("lost"), F.lit(0))
     out = out.filter(rest.cast("double") >= F.lit(float(min_share)) * F.col("w.n"))
-    left = without_lines(body, F.col("gone"))
+    left = without_lines(F.col("row.text"), F.col("gone"))
     return unboxed(out, docs, text=left, n_chars=F.char_length(left))
 
 

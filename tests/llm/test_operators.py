@@ -65,6 +65,17 @@ def test_quality_lines(spark, bound, monkeypatch):
     assert kept[1]["text"] == prose(60, 1) and kept[1]["n_chars"] == len(kept[1]["text"]) and kept[0]["text"] == texts[0][1] and kept[1]["a.b"] == 6
 
 
+@pytest.mark.parametrize("n", [16, 17, 700])
+def test_quality_many_lines_go(spark, n):
+    """Lines up to, just above and far above what is looked at one by one; repeated, with other case and digits."""
+    line = lambda k: f"Notice {chr(97 + k % 26) * (k // 26 + 1)} of page {k % 9 + 1}"
+    shared = "\n".join(line(k) for k in range(n))
+    texts = [(0, shared, "s")] + [(k, f"{shared.upper()}\n{prose(9 * n, k)}\n  {line(k)}\n\n", "s") for k in range(1, 4)] + [(9, prose(60, 9), "s")]
+    got = {r["doc_id"]: r["text"] for r in quality_rules.filtered(table(spark, texts)).collect()}
+    assert got[9] == texts[-1][1] and [got[k] for k in (1, 2, 3)] == [f"{prose(9 * n, k)}\n\n" for k in (1, 2, 3)]
+    assert [r["removed_words"] for r in quality_rules.query(table(spark, texts)).orderBy("doc_id").collect()][1:4] == [5 * (n + 1)] * 3
+
+
 def quality_brute(rows, max_docs=50, least=2, share=0.1, min_share=0.5):
     """doc_id -> (removed words, kept), for distinct doc_ids and plain lines."""
     held, sizes, out = defaultdict(list), Counter(s for _, _, s in rows), {}
