@@ -22,36 +22,50 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import alnum_words, ascii_lower, boxed, indices, let, matched, unboxed, written
+from .common import LOWER, UPPER, boxed, indices, let, matched, unboxed, written
 
 GRAM, WINDOW = 5, 6
 SPAN = GRAM + WINDOW - 1
 REACH = SPAN - GRAM
 BROADCAST_ROWS = 300_000
+LAST = 0x7FFF_FFFF  # greatest place of a word: an array holds no more
+BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(alnum_words(ascii_lower(F.coalesce(text, F.lit("")))), lambda w: F.xxhash64(w))
-
+def words(text: Column) -> Column:
+    """The words of a text, A-Z in lower case. All that parts words becomes a blank in the pass that lower-cases, so that no regular
+    expression goes over the text."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, LOWER + " " * len(BETWEEN)), " "), "")
 
-def kept_grams(h: Column) -> Column:
-    """Array of (at, gram): the winnowed grams of a text of at least SPAN words, given its word hashes."""
 
-    def positions(g):
-        def least(i):
-            window = [F.get(g, i + d) for d in range(WINDOW)]
-            low = F.least(*window)
-            return let(low, lambda v: i + F.coalesce(*[F.when(F.get(g, i + d) == v, F.lit(d)) for d in reversed(range(WINDOW))]))
+def word_hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
-        kept = F.array_distinct(F.transform(indices(F.size(g) - WINDOW), least))
-        return F.transform(kept, lambda p: F.struct(p.alias("at"), F.get(g, p).alias("gram")))
 
-    return let(all_grams(h, GRAM), positions)
+def along(a: Column, b: Column, by: int, both) -> Column:
+    """both(a[i], b[i + by]) for every i of a; where b has ended it is given null."""
+    return F.zip_with(a, F.slice(b, by + 1, F.size(b)), lambda x, y: both(x, y))
 
 
-def with_around(h: Column) -> Column:
-    """The same with `around`: the hashes from REACH words before the gram to REACH words after it, null beyond the text."""
-    return let(h, lambda h: F.transform(kept_grams(h), lambda k: F.struct(k["at"].alias("at"), k["gram"].alias("gram"), around(h, k["at"]).alias("around"))))
+def kept_grams(h: Column) -> Column:
+    """The winnowed grams of a text of at least SPAN words, given its word hashes, each as one number: the upper 33 bits of the gram's
+    hash, then LAST - its place. The least number of a window is that of the rightmost of the least grams."""
+    # of 2, then 4, then GRAM words
+    grams = let(h, lambda h: let(along(h, h, 1, F.xxhash64), lambda two: along(along(two, two, 2, F.xxhash64), h, 4, F.xxhash64)))
+    numbers = F.transform(grams, lambda g, i: g.bitwiseAND(F.lit(~LAST)).bitwiseOR(F.lit(LAST) - i))
+    # of 2, then 4, then WINDOW places
+    least = let(numbers, lambda k: let(along(k, k, 1, F.least), lambda two: let(along(two, two, 2, F.least), lambda four: along(four, four, 2, F.least))))
+    return F.array_distinct(F.slice(least, 1, F.greatest(F.size(h) - (SPAN - 1), F.lit(0))))
+
+
+def kept(texts: DataFrame) -> DataFrame:
+    """A row for each kept gram of the texts, given their word hashes h, with its place at. The grams are a column before they are
+    exploded, as a generator that holds a higher-order function copies all its columns for each gram. The generator is the outer one, as
+    the plain one is preceded by a filter that computes the grams once more, to see whether there are any."""
+    columns = texts.columns
+    found = texts.withColumn("k", kept_grams(F.col("h"))).select(*columns, F.explode_outer("k").alias("k"))
+    at = F.lit(LAST) - F.col("k").bitwiseAND(F.lit(LAST))
+    return found.select(*columns, at.cast("int").alias("at"), F.shiftright("k", LAST.bit_length()).alias("gram")).filter("gram IS NOT NULL")
 
 
 def around(h: Column, p: Column) -> Column:
@@ -68,12 +82,10 @@ def is_small(df: DataFrame) -> bool:
 
 def places(keyed: DataFrame, train: DataFrame) -> DataFrame:
     """doc_id, digest, at, around, items, theirs: where the documents (doc_id, digest, h) have a gram of train."""
+    # a gram keeps its place, and the words of a document pass the join by reference: only hits look up their neighbours
+    found = kept(keyed)
     if not is_small(train):
-        found = keyed.select("doc_id", "digest", F.explode(with_around(F.col("h"))).alias("k")).select("doc_id", "digest", "k.at", "k.gram", "k.around")
-        return found.join(train, "gram")
-    # a gram keeps its place, and the words of a document pass the join by reference: only hits look up their neighbours. The grams are a
-    # column before they are exploded, as a generator that holds a higher-order function copies all its columns for each gram
-    found = keyed.withColumn("k", let(F.col("h"), kept_grams)).select("doc_id", "digest", "h", F.explode("k").alias("k")).select("doc_id", "digest", "h", "k.at", "k.gram")
+        return found.select("doc_id", "digest", "gram", "at", around(F.col("h"), F.col("at")).alias("around")).join(train, "gram")
     found = found.join(F.broadcast(train.select("gram").distinct()), "gram", "left_semi")
     return found.select("doc_id", "digest", "gram", "at", around(F.col("h"), F.col("at")).alias("around")).join(F.broadcast(train), "gram")
 
@@ -82,7 +94,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, digest, items, start, stop: the word spans of documents that lie in occurrences of windows of these items."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), word_hashes(F.col("text")).alias("h"))
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), word_hashes(F.col("text")).alias("h"))
-    train = items.select("item", F.explode(with_around(F.col("h"))).alias("k")).select("item", F.col("k.gram").alias("gram"), F.col("k.around").alias("theirs"))
+    train = kept(items).select("item", "gram", around(F.col("h"), F.col("at")).alias("theirs"))
     train = train.groupBy("gram", "theirs").agg(F.sort_array(F.collect_set("item")).alias("items"))
     pairs = places(keyed, train)
 
@@ -108,7 +120,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.transform(all_grams(h, n), lambda g, at: F.struct(F.lit(n).alias("n"), at.alias("at"), g.alias("gram")))
 
     every = let(F.col("h"), lambda h: F.concat(*[of(h, n) for n in lengths]))
-    found = keyed.select("doc_id", "digest", F.explode(every).alias("w")).select("doc_id", "digest", "w.*").join(F.broadcast(windows) if is_small(windows) else windows, ["n", "gram"])
+    found = keyed.select("doc_id", "digest", F.explode_outer(every).alias("w")).select("doc_id", "digest", "w.*").join(F.broadcast(windows) if is_small(windows) else windows, ["n", "gram"])
     return out.unionByName(found.select("doc_id", "digest", "items", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("stop")))
 
 
@@ -127,8 +139,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = hits(docs, benchmark).groupBy("doc_id", "digest").agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     ).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), covered(F.col("spans")).alias("n_hit"), F.size("items").alias("n_items"), F.array_join("items", ",").alias("items"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", F.xxhash64(text).alias("digest"), F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("bigint").alias("n_words"))
+    base = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
     out = base.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("bigint")
     return out.select(

@@ -488,6 +488,38 @@ def test_shared_spans_are_found(spark):
     assert got == Counter(brute.contamination(docs, items))
 
 
+def test_texts_are_winnowed_once(spark):
+    """No filter computes the grams of a text beforehand, and no regular expression goes over it."""
+    items = spark.createDataFrame([(1, prose(30, "item")), (2, "short item")], "item_id bigint, text string")
+    plan = decontamination.judge(table(spark, [(k, prose(50, k), "s") for k in range(3)]), items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan and "regexp" not in plan and "\\x00" not in plan
+    assert not [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter") and "lambda" in line]
+
+
+def test_kept_grams(spark):
+    """The rightmost of the least grams of every window, and no others; one text of many words."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["a", "b", "c", "d"]) for _ in range(n)) for n in (0, 1, 4, 5, 9, 10, 11, 16, 300)]
+    h = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", decontamination.word_hashes(F.col("text")).alias("h"))
+    got, h = defaultdict(set), h.localCheckpoint()
+    for row in decontamination.kept(h).collect():
+        got[row["id"]].add(row["at"])
+        assert row["gram"] in range(-(2**32), 2**32)
+    for row in h.collect():
+        n = len(row["h"])
+        value = {tuple(row["h"][i : i + 5]): None for i in range(n - 4)}
+        one = spark.createDataFrame([(list(g),) for g in value] or [([0] * 5,)], "g array<bigint>")
+        w = [F.col("g")[k] for k in range(5)]
+        for x in one.select("g", (F.shiftright(F.xxhash64(F.xxhash64(F.xxhash64(w[0], w[1]), F.xxhash64(w[2], w[3])), w[4]), 31)).alias("v")).collect():
+            value[tuple(x["g"])] = x["v"]
+        grams = [value[tuple(row["h"][i : i + 5])] for i in range(n - 4)]
+        want = {min(range(i, i + 6), key=lambda p: (grams[p], -p)) for i in range(n - 9)}
+        assert got[row["id"]] == want
+    long = prose(100_000, "long") + " " + prose(30, "item") + " " + prose(100_000, "tail")
+    out = decontamination.judge(table(spark, [(1, long, "s")]), spark.createDataFrame([(7, prose(30, "item"))], "item_id bigint, text string")).collect()
+    assert [(x["n_words"], x["n_hit"], x["n_items"]) for x in out] == [(200_030, 30, 1)]
+
+
 def test_pii(spark, rows):
     texts = {i: t for i, t, _ in rows[0] if i is not None}
     for r in pii.judge(table(spark, rows[0])).filter("doc_id IS NOT NULL").collect():
