@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -43,6 +44,7 @@ END_BYTES = END.to_bytes(4, "little")
 FREE, GRID = 0.01, 16
 SPREAD = 4
 CACHE = 150_000
+CHUNK_ROWS, CHUNK_BYTES = 2048, 4_000_000
 TAILS = string.punctuation.replace("'", "")
 PIECE = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, row bigint, marks binary"
 
@@ -56,10 +58,11 @@ def tokenizer_path() -> str:
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit integers.
 
-    The tokenizer's normaliser and splitter never look across a blank or a line feed, so each stretch between them is encoded
-    once and kept, in caches of bounded size. A stretch of letters with ASCII punctuation behind it has the ids of the letters
-    and then those of the punctuation; letters alone are one word of the tokenizer and end with a token that ends a word, so many
-    of them are encoded as one string and told apart by those tokens."""
+    The tokenizer's normaliser and splitter never look across a blank or a line feed, so Arrow splits a chunk of texts there and numbers
+    its distinct stretches, each is looked up once a chunk, and Arrow strings the ids together again by number. A stretch of letters with
+    ASCII punctuation behind it has the ids of the letters and then those of the punctuation, so only these two are kept, in caches of
+    bounded size; letters alone are one word of the tokenizer and end with a token that ends a word, so many of them are encoded as one
+    string and told apart by those tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,12 +72,13 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}  # letters in lower case
         self.older: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {"": b""}  # all else, punctuation among it
 
-    def plain(self, strings: list[str]) -> None:
+    def plain(self, strings: list[str], into: dict[str, bytes]) -> None:
         for s, e in zip(strings, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
-            self.words[s] = np.array(e.ids, dtype="<u4").tobytes()
+            into[s] = np.array(e.ids, dtype="<u4").tobytes()
 
     def letters(self, strings: list[str], group: int = 256) -> None:
         groups = [strings[at : at + group] for at in range(0, len(strings), group)]
@@ -82,51 +86,50 @@ class Encoder:
             ids = np.array(e.ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or stops[-1] != len(ids):
-                self.plain(part)
+                self.plain(part, self.words)
                 continue
             data, at = ids.tobytes(), 0
             for s, stop in zip(part, (4 * stops).tolist(), strict=True):
                 self.words[s] = data[at:stop]
                 at = stop
 
-    def learn(self, new: list[str]) -> None:
-        known, made, joinable, others = self.words, [], set(), set()
-        for w in new:
-            base = w.rstrip(TAILS)
-            low = base.lower()
-            if low.isalpha() and (low.isascii() or max(low) < "\u0250"):
-                if low not in known:
-                    joinable.add(low)
-                if low != w:
-                    tail = w[len(base) :]
-                    if tail not in known:
-                        others.add(tail)
-                    made.append((w, low, tail))
+    def learn(self, lows: set[str]) -> None:
+        """The ids of these letters, those met before among them."""
+        words, older, new = self.words, self.older, []
+        for low in lows:
+            if low in older:
+                words[low] = older[low]
             else:
-                others.add(w)
-        if joinable:
-            self.letters(list(joinable))
-        if others:
-            self.plain(list(others))
-        for w, low, tail in made:
-            known[w] = known[low] + known[tail]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+                new.append(low)
+        self.letters(new)
+
+    def looked_up(self, strings: list[str]) -> list[bytes]:
         if len(self.words) > CACHE:  # words that come again move back from the older generation
-            self.words, self.older = {"": b""}, self.words
-        words, older = self.words, self.older
-        new = []
-        for w in set().union(*split):
-            if w not in words:
-                if w in older:
-                    words[w] = older[w]
-                else:
-                    new.append(w)
-        self.learn(new)
-        look = self.words.__getitem__
-        for words in split:
-            yield b"".join(map(look, words))
+            self.words, self.older = {}, self.words
+        if len(self.others) > CACHE:
+            self.others = {"": b""}
+        words, others = self.words, self.others
+        bases = [w.rstrip(TAILS) for w in strings]
+        lows = [b.lower() for b in bases]
+        rest, new, unknown = [], {low for low in lows if low not in words}, set()
+        odd = {low for low in new if not (low.isalpha() and (low.isascii() or max(low) < "\u0250"))}
+        self.learn(new - odd)
+        for low, base, w in zip(lows, bases, strings):
+            rest.append(r := w if low in odd else w[len(base) :])
+            if r not in others:
+                unknown.add(r)
+        self.plain(list(unknown), others)
+        return [others[r] if low in odd else words[low] + others[r] if r else words[low] for low, r in zip(lows, rest)]
+
+    def __call__(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        numbered = split.flatten().dictionary_encode()
+        ids = pa.array(self.looked_up(numbered.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(numbered.indices)
+        _, starts, data = ids.buffers()
+        starts, data = np.frombuffer(starts, np.int64, len(ids) + 1), memoryview(data or b"")
+        stops = starts[split.offsets.to_numpy()].tolist()
+        for start, stop in zip(stops, stops[1:]):
+            yield bytes(data[start:stop])
 
 
 def encoder(path: str) -> Encoder:
@@ -153,6 +156,15 @@ def crc_between(marks: np.ndarray, crc: int, length: int, start: int, stop: int)
     return upto ^ zlib.crc32(zeros, before) ^ zlib.crc32(zeros)
 
 
+def chunks(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of texts that are encoded together: at most CHUNK_ROWS of at most CHUNK_BYTES, or one. Bounds what is held as Python
+    objects."""
+    ends, at = np.cumsum(lengths, dtype=np.int64), 0
+    while at < len(ends):
+        room = np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right")
+        yield at, (at := max(at + 1, min(at + CHUNK_ROWS, int(room))))
+
+
 def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, row (a number of its own), marks and, if asked for, ids: the pieces of all documents."""
     path = path or tokenizer_path()
@@ -162,10 +174,10 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, with_ids:
 
         def made(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows: list = []
-            for at in range(0, batch.num_rows, 256):  # bounds what is held as Python objects
-                ids_of = batch.column("doc_id").slice(at, 256).to_pylist()
-                texts = [t or "" for t in batch.column("text").slice(at, 256).to_pylist()]
-                for doc, data in zip(ids_of, encode(texts), strict=True):
+            texts = pc.fill_null(batch.column("text"), "")
+            for at, stop in chunks(pc.binary_length(texts).to_numpy()):
+                ids_of = batch.column("doc_id").slice(at, stop - at).to_pylist()
+                for doc, data in zip(ids_of, encode(texts.slice(at, stop - at)), strict=True):
                     data += END_BYTES
                     n = len(data) // 4
                     for start in range(0, n, size):

@@ -241,6 +241,30 @@ def test_encoder_on_all_texts():
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_bases(monkeypatch):
+    """A stretch is looked up by its letters and its punctuation, each kept once, and ids stay right when the caches turn over."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    encode = packing.Encoder(packing.tokenizer_path())
+    texts = ["Fox fox, FOX!!\nfox", "", "  ", "don't 12ab É été, \u212aelvin İx ... fo\u00adx, a\tb x\x00y fox1, FOX1,", ",", "😀 naïve. ﬁne e\u0301t, ŉ Ǆ", "\n\nfox\n"]
+    for bound in (150_000, 3):
+        monkeypatch.setattr(packing, "CACHE", bound)
+        for part in (texts, texts[:1], texts[3:], []):
+            for text, got in zip(part, encode(part), strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    fresh = packing.Encoder(packing.tokenizer_path())
+    list(fresh(["Fox fox, FOX!! fox"]))
+    assert set(fresh.words) == {"fox"} and set(fresh.others) == {"", ",", "!!"}
+
+
+def test_chunks(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 10)
+    assert list(packing.chunks(np.array([1, 1, 1, 1, 9, 2, 50, 0, 10, 10]))) == [(0, 3), (3, 5), (5, 6), (6, 7), (7, 9), (9, 10)]
+    assert list(packing.chunks(np.array([], dtype=np.int32))) == []
+
+
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     turns = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", "é😀 <b>\\b\\l"), (2, 0, "assistant", None), (2, 1, "assistant", "\\bx"), (None, 0, None, "#"), (3, None, "a:b\n#", ""), (3, 5, "assistant", "x"), (3, 5, "assistant", "x")]
