@@ -322,6 +322,18 @@ def test_links_are_complete(spark, tile):
     assert [got.get(s, s) for s in signed] == want
 
 
+def test_components_send_no_empty_table(spark, monkeypatch):
+    """A step broadcasts hot nodes only where there are some, and chains, stars and pairs come to their least node."""
+    calls, broadcast = [], simhash.F.broadcast
+    monkeypatch.setattr(simhash.F, "broadcast", lambda df: (calls.append(1), broadcast(df))[1])
+    edges = [(k, k + 1) for k in range(1, 40)] + [(100 + k, 100) for k in range(1, 12)] + [(-7, 200), (200, -7), (300, 300)]
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    want = {k: 1 for k in range(2, 41)} | {100 + k: 100 for k in range(1, 12)} | {200: -7}
+    assert {r["fp"]: r["root"] for r in simhash.components(table).collect()} == want and not calls
+    assert {r["fp"]: r["root"] for r in simhash.components(table, hub=5).collect()} == want and calls
+    assert simhash.components(table.filter("a = b")).count() == 0
+
+
 @pytest.mark.parametrize("chunk, small", [(2, 1), (5, 1), (16, 8), (256, 64)])
 def test_tiles(chunk, small, monkeypatch):
     """Many tiles a block, with pairs of tiles that are skipped: the links' components are those of all pairs of a block."""
