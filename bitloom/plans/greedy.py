@@ -6,6 +6,7 @@ neither the product nor the residual is kept between rounds. Ties go to the smal
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -317,14 +318,17 @@ def grecond(x: BoolMatrix, k: int | None = None, tol: int = 0, counted: bool = F
     return fit
 
 
-def line_gains(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp, w_fn) -> DataFrame:
-    """axis, id, gain: by how much the cover of all patterns grows if a row (or column) is added to the pattern rows x cols."""
+def line_gains(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp, w_fn, left: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """axis, id, gain: by how much the cover of all patterns grows if a row (or column) is added to the pattern rows x cols. every: also for
+    lines without uncovered ones in it. left: the ones with hit, if they are at hand."""
     n_rows, n_cols = rows.count(), cols.count()
-    left = cells(x, fit)
+    left = cells(x, fit) if left is None else left
     out = []
     for axis, key, mine, across, size in (("row", "i", rows, cols, n_cols), ("col", "j", cols, rows, n_rows)):
         other = "j" if key == "i" else "i"
         ones = left.join(across, other, "left_semi").filter(~F.col("hit")).groupBy(key).agg(F.count(F.lit(1)).alias("r"))
+        if every:
+            ones = (x.rows if key == "i" else x.cols).join(ones, key, "left").withColumn("r", F.coalesce("r", F.lit(0)))
         ones = ones.join(mine, key, "left_anti")
         covered = F.lit(0)
         if fit.u is not None:
@@ -340,64 +344,98 @@ def line_gains(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp,
     return left_side.unionByName(right_side)
 
 
-LINES = 200
+#: Cells that lines fetched at once share, and lines of an axis that are fetched at once.
+CELLS, LINES = 16_000_000, 200_000
 
 
-def expanded(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp, w_fn, most: int | None = None, lines: int = LINES) -> tuple[DataFrame, DataFrame, list]:
+def fetched(m: int, n: int, most: int = CELLS, lines: int = LINES) -> dict[str, int]:
+    """How many rows and columns are fetched at once: all of a matrix of up to `most` cells."""
+    cols = min(n, max(1, math.isqrt(most)))
+    rows = min(m, max(1, most // max(cols, 1)), lines)
+    return {"row": rows, "col": min(n, max(1, most // max(rows, 1)), lines)}
+
+
+class Lines:
+    """Fetched lines of one axis outside the pattern, by id, with their gains; `rest`: what no other line gains beyond."""
+
+    def __init__(self, top: list, rest: float):
+        top = sorted(top, key=lambda t: t[1])
+        self.ids, self.gain, self.rest = [v for _, v in top], np.array([g for g, _ in top], float), rest
+        self.order, self.picked = None, []
+
+    def best(self) -> int:
+        """The line that gains most, of equal ones that of the smallest id."""
+        return int(self.gain.argmax() if self.order is None else self.order[0])
+
+    def pick(self, at: int) -> None:
+        """Gains stay as they are until lines across change them, so that they are sorted once for a run of picks."""
+        if self.order is None:
+            self.order = np.argsort(-self.gain, kind="stable")
+        self.order = self.order[1:] if len(self.order) > 1 else None
+        self.gain[at] = -np.inf
+        self.picked.append(self.ids[at])
+
+    def add(self, cells: np.ndarray) -> None:
+        self.gain += cells
+        self.order = None
+
+
+def expanded(x: BoolMatrix, fit: Fit, rows: DataFrame, cols: DataFrame, w_fp, w_fn, most: int | None = None, lines: int | None = None) -> tuple[DataFrame, DataFrame, list]:
     """The pattern with the best line added while that gains, or `most` lines; ties: rows first, then the smallest id. Also the
     lines added.
 
-    A line changes the gains of lines across it by one cell each. So the `lines` best rows and columns are fetched with the cells
-    they share (at most lines x lines), and lines are picked one after the other from those for as long as no other line can
-    have come to gain more; then all gains are found anew."""
+    A line changes the gains of lines across it by one cell each. So the best rows and columns are fetched with the cells they share (up to
+    CELLS of them, or `lines` x lines), and lines are picked one after the other from those for as long as no other line can
+    have come to gain more; then all gains are found anew. Where all lines are fetched, once is enough."""
     added, spark = [], x.cells.sparkSession
+    left = cut(cells(x, fit))
+    held = fetched(x.m, x.n) if lines is None else {"row": lines, "col": lines}
     while most is None or len(added) < most:
-        top, cell, whole = _best_lines(x, fit, rows, cols, w_fp, w_fn, lines)
-        gain = {axis: {v: g for g, v in top[axis]} for axis in ("row", "col")}
-        order = {axis: {v: n for n, (_, v) in enumerate(top[axis])} for axis in ("row", "col")}  # by gain and id, so equal gains by id
-        ids = {axis: sorted(order[axis]) for axis in order}
-        rest = {axis: float("-inf") if whole[axis] else max(top[axis][-1][0], 0) if len(top[axis]) == lines else 0 for axis in top}
-        picked: dict = {"row": [], "col": []}
+        row, col, cell = _best_lines(x, fit, left, rows, cols, w_fp, w_fn, held)
+        value = np.array([-w_fp, w_fn, 0], float)  # of a cell: a zero, an uncovered one, covered
         while most is None or len(added) < most:
-            bound = {"row": rest["row"] + w_fn * len(picked["col"]), "col": rest["col"] + w_fn * len(picked["row"])}
-            best = [(gain[axis][v], axis == "row", axis, v) for axis in ("row", "col") if ids[axis] for v in [max(ids[axis], key=lambda v: gain[axis][v])]]  # noqa: B023
+            bound = {"row": row.rest + w_fn * len(col.picked), "col": col.rest + w_fn * len(row.picked)}
+            best = [(side.gain[at], axis == "row", axis, at) for axis, side in (("row", row), ("col", col)) if side.ids for at in [side.best()]]
             if not best or (chosen := max(best, key=lambda t: t[:2]))[0] <= 0:
                 break
-            g, _, axis, value = chosen
-            own_first = not picked["col" if axis == "row" else "row"]  # then what was not fetched has larger ids at equal gains
+            g, _, axis, at = chosen
             across = "col" if axis == "row" else "row"
-            if not ((g > bound[axis] or own_first and g >= bound[axis]) and (g > bound[across] or axis == "row" and g >= bound[across])) and (picked["row"] or picked["col"]):
+            own_first = not (col if axis == "row" else row).picked  # then what was not fetched has larger ids at equal gains
+            if not ((g > bound[axis] or own_first and g >= bound[axis]) and (g > bound[across] or axis == "row" and g >= bound[across])) and (row.picked or col.picked):
                 break
-            ids[axis].remove(value)
-            for v in ids[across]:
-                gain[across][v] += cell(value, v) if axis == "row" else cell(v, value)
-            picked[axis].append(value)
-            added.append((axis, value))
-        if not picked["row"] and not picked["col"]:
+            mine, other = (row, col) if axis == "row" else (col, row)
+            mine.pick(at)
+            other.add(value[cell[at] if axis == "row" else cell[:, at]])
+            added.append((axis, mine.ids[at]))
+        if not row.picked and not col.picked:
+            break
+        rows, cols = (cut(side.unionByName(spark.createDataFrame([(v,) for v in new], side.schema))) if new else side for side, new in ((rows, row.picked), (cols, col.picked)))
+        if row.rest == col.rest == float("-inf"):
             break
-        rows, cols = (cut(side.unionByName(spark.createDataFrame([(v,) for v in new], side.schema))) if new else side for side, new in ((rows, picked["row"]), (cols, picked["col"])))
     return rows, cols, added
 
 
-def _best_lines(x, fit, rows, cols, w_fp, w_fn, lines):
-    """The best rows and columns outside the pattern, (gain, id) each, best first; what a cell (i, j) of theirs adds to a gain across it;
-    and whether these are all rows, or columns, outside the pattern."""
-    g = line_gains(x, fit, rows, cols, w_fp, w_fn)
-    top, sides, whole = {}, {}, {}
+def _best_lines(x, fit, left, rows, cols, w_fp, w_fn, held):
+    """The best rows and columns outside the pattern, and what their cells are: 0 a zero, 1 an uncovered one, 2 covered."""
+    spark = x.cells.sparkSession
+    g = line_gains(x, fit, rows, cols, w_fp, w_fn, left, every=True)
+    found, place = [], {}
     for axis, key, side, size in (("row", "i", rows, x.m), ("col", "j", cols, x.n)):
-        best = g.filter(F.col("axis") == axis).select("gain", F.col(f"__{key}").alias(key)).orderBy(F.desc("gain"), key).limit(lines)
-        top[axis] = [tuple(r) for r in best.collect()]
-        sides[key] = F.broadcast(x.cells.sparkSession.createDataFrame([(v,) for _, v in top[axis]], (x.rows if key == "i" else x.cols).select(key).schema))
-        whole[axis] = len(top[axis]) + side.count() >= size
-    ones = {(r["i"], r["j"]): r["hit"] for r in cells(x, fit).join(sides["i"], "i").join(sides["j"], "j").collect()}  # at most lines x lines
-    held = {key: {} if fit.u is None else {r[key]: set(r["mask"]) for r in algebra.masks(side, key).join(sides[key], key).collect()} for key, side in (("i", fit.u), ("j", fit.v))}
-
-    def cell(i, j):
-        if (i, j) in ones:
-            return 0 if ones[i, j] else w_fn
-        return 0 if held["i"].get(i, set()) & held["j"].get(j, set()) else -w_fp
-
-    return top, cell, whole
+        best = g.filter(F.col("axis") == axis).select("gain", F.col(f"__{key}").alias(key))
+        best = best if held[axis] >= size else best.orderBy(F.desc("gain"), key).limit(held[axis])
+        top = [tuple(r) for r in best.collect()]
+        whole = len(top) + side.count() >= size
+        found.append(Lines(top, float("-inf") if whole or not top else min(t[0] for t in top)))
+        place[key] = spark.createDataFrame([(v, at) for at, v in enumerate(found[-1].ids)], f"{key} {(x.rows if key == 'i' else x.cols).schema[key].dataType.simpleString()}, __{key} int")
+    cell = np.zeros((len(found[0].ids), len(found[1].ids)), np.uint8)  # at most CELLS
+    numbers = lambda df, *names: [c.to_numpy() for c in df.select(*names).toArrow().columns]
+    code = F.col("__i").cast("bigint") * F.lit(cell.shape[1]) + F.col("__j")
+    cell.reshape(-1)[numbers(left.join(place["i"], "i").join(place["j"], "j").select(code.alias("at")), "at")[0]] = 1
+    if fit.u is not None:
+        (i, fi), (j, fj) = (numbers(side.join(place[key], key), f"__{key}", "f") for key, side in (("i", fit.u), ("j", fit.v)))
+        for f in np.unique(fi):
+            cell[np.ix_(i[fi == f], j[fj == f])] = 2
+    return *found, cell
 
 
 def contained(u: DataFrame, v: DataFrame, f: int) -> DataFrame:
@@ -422,7 +460,8 @@ def needless_lines(x: BoolMatrix, u: DataFrame, v: DataFrame, f: int) -> DataFra
 def grecond_plus(x: BoolMatrix, k: int, tol: int = 0, w_fp=1, w_fn=1, most: int | None = None) -> Fit:
     """Concepts that grow by lines while the cover gains; patterns within a new one go, and so do added lines that all other
     patterns cover."""
-    fit, lines = Fit(), {}
+    fit, lines, spark = Fit(), {}, x.cells.sparkSession
+    x = BoolMatrix(cut(x.cells), cut(x.rows), cut(x.cols))
     while fit.k < k:
         found = concept(x, fit)
         if found is None:
@@ -438,11 +477,12 @@ def grecond_plus(x: BoolMatrix, k: int, tol: int = 0, w_fp=1, w_fn=1, most: int
             for axis, key in (("row", "i"), ("col", "j")):
                 mine = {str(v): v for a, v in lines[f] if a == axis}
                 if mine:
-                    found = needless_lines(x, fit.u, fit.v, f).filter((F.col("axis") == axis) & F.col("id").isin(list(mine)))
-                    drop = [mine[r["id"]] for r in found.collect()]
+                    found = needless_lines(x, fit.u, fit.v, f).filter(F.col("axis") == axis)
+                    drop = {mine[r["id"]] for r in found.join(spark.createDataFrame([(v,) for v in mine], "id string"), "id").collect()}
                     if drop:
-                        keep = ~((F.col("f") == f) & F.col(key).isin(drop))
-                        fit.u, fit.v = (cut(fit.u.filter(keep)), fit.v) if axis == "row" else (fit.u, cut(fit.v.filter(keep)))
+                        side = fit.u if axis == "row" else fit.v
+                        side = cut(side.join(spark.createDataFrame([(v, f) for v in drop], side.select(key, "f").schema), [key, "f"], "left_anti"))
+                        fit.u, fit.v = (side, fit.v) if axis == "row" else (fit.u, side)
                         lines[f] = [(a, v) for a, v in lines[f] if a != axis or v not in drop]
         t = fit.counts(x)
         if t["p"] - t["tp"] <= tol:
