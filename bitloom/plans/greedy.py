@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import ratio
-from ..operators import algebra, metrics
+from ..operators import algebra, bits, metrics
 from ..operators.lineage import cut
 from ..operators.matrix import BoolMatrix, factorized
 
@@ -76,9 +76,13 @@ def row_pairs(ones: DataFrame, tile: int = TILE) -> DataFrame:
     return left.join(dealt.select("i", F.col("j").alias("q"), every.alias("a"), F.col("__t").alias("b")), ["i", "a", "b"])
 
 
-def associations(x: BoolMatrix, by: str = "j", tile: int = TILE) -> DataFrame:
-    """p, q, c: the share of p's ones that q has too, over columns (by 'j') or rows (by 'i'); pairs without any are left out."""
+def associations(x: BoolMatrix, by: str = "j", tile: int | None = None, dense: bool | None = None) -> DataFrame:
+    """p, q, c: the share of p's ones that q has too, over columns (by 'j') or rows (by 'i'); pairs without any are left out. dense: by
+    products of bits instead of a join; if not given, whichever costs less, and a join if a tile is given."""
     ones = x.ones if by == "j" else x.T.ones
+    if dense or dense is None and tile is None and bits.pays(ones):
+        return bits.shares(cut(ones))
+    tile = TILE if tile is None else tile
     size = ones.groupBy("j").agg(F.count(F.lit(1)).alias("size"))
     pairs = row_pairs(ones, tile).groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
     return pairs.join(size.withColumnRenamed("j", "p"), "p").select("p", "q", ratio(F.col("n"), F.col("size")).alias("c"))
@@ -109,10 +113,13 @@ def gains(x: BoolMatrix, candidates: DataFrame, fit: Fit, w_fp, w_fn) -> DataFra
     return r.select("i", "p", gain.alias("gain")).filter("gain > 0")
 
 
-def asso(x: BoolMatrix, k: int, tau: float, w_fp=1, w_fn=1, candidates: DataFrame | None = None) -> Fit:
-    """Candidate columns by association, each round the one whose rows gain most. Weights are best given as integers."""
+def asso(x: BoolMatrix, k: int, tau: float, w_fp=1, w_fn=1, candidates: DataFrame | None = None, dense: bool | None = None) -> Fit:
+    """Candidate columns by association, each round the one whose rows gain most. Weights are best given as integers. dense: candidates are
+    scored by products of bits, and only the one that is taken becomes a table; if not given, whichever costs less."""
+    if candidates is None and (bits.pays(x.ones) if dense is None else dense):
+        return _asso_dense(x, k, tau, w_fp, w_fn)
     fit = Fit()
-    candidates = cut(basis(associations(x), tau)) if candidates is None else candidates
+    candidates = cut(basis(associations(x, dense=False), tau)) if candidates is None else candidates
     used: list = []
     while fit.k < k:
         free = candidates.join(_few(candidates, "p", used), "p", "left_anti") if used else candidates
@@ -126,6 +133,27 @@ def asso(x: BoolMatrix, k: int, tau: float, w_fp=1, w_fn=1, candidates: DataFram
     return fit
 
 
+def _asso_dense(x: BoolMatrix, k: int, tau: float, w_fp, w_fn) -> Fit:
+    x = BoolMatrix(cut(x.cells), x.rows, x.cols)
+    fit, used = Fit(), []
+    while fit.k < k:
+        planes = cells(x, fit).select("i", "j", F.col("hit").cast("int").alias("plane"))
+        if fit.u is not None:
+            planes = planes.unionByName(fit.predict().withColumn("plane", F.lit(2)))
+        g = bits.cover_gains(planes, tau, w_fp, w_fn)
+        free = g.join(_few(g, "p", used), "p", "left_anti") if used else g
+        best = free.orderBy(F.desc("gain"), "p").limit(1).collect()
+        if not best:
+            break
+        p = best[0]["p"]
+        mine = x.ones.filter(F.col("j") == F.lit(p)).select("i")
+        common = x.ones.join(mine, "i").groupBy("j").agg(F.count(F.lit(1)).alias("n"))
+        columns = cut(common.filter(ratio(F.col("n"), F.lit(mine.count())) > F.lit(float(tau))).select(F.lit(p).alias("p"), "j"))
+        fit.add(gains(x, columns, fit, w_fp, w_fn), columns, p=p, gain=best[0]["gain"], n_rows=best[0]["rows"])
+        used.append(p)
+    return fit
+
+
 def _few(like: DataFrame, key: str, values: list) -> DataFrame:
     """A few values of a key as a table to join with."""
     return F.broadcast(like.sparkSession.createDataFrame([(v,) for v in values], like.select(key).schema))
