@@ -70,3 +70,29 @@ def test_overlap_of_a_product_that_cannot_be_made(spark):
     a, b, u, v = sides(spark, 20, 15, 3, 5)
     met = [(i, j) for i, f in a for j, g in b if f == g]
     assert generators.overlap(u, v, 20, 15).first()[0] == sum(met.count(c) > 1 for c in set(met)) / 300
+
+
+def test_noise_hashes_the_grid_in_arrays(spark):
+    """The cells are those of the same noise by Spark's md5, of which no exchange is left."""
+    _, _, u, v = sides(spark, 123, 31, 3, 6)
+    got, want = (x.ones for x in (generators.noisy_product(u, v, 123, 31, 0.4, 0.05, 9), generators.add_noise(generators.matrix(u, v, 123, 31), 0.4, 0.05, 9)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert generators.noisy_product(u, v, 123, 31, 0.0, 0.0).ones.count() == algebra.bool_matmul(u, v).count()
+    assert not cells_shuffled(catalog.gen_noise(spark, D))
+
+
+def test_heads_are_md5():
+    import hashlib
+
+    import numpy as np
+
+    from bitloom.functions.md5 import Keys, limit
+
+    for rows in ([7], [10, 99], [123456789012345678]):
+        cols = np.array([0, 5, 10, 4321, 98765432109876543])
+        got = Keys("9:neg", cols).heads(np.array(rows))
+        want = [[int(hashlib.md5(f"9:neg:{i}:{j}".encode()).hexdigest()[:8], 16) for j in cols] for i in rows]
+        assert got.tolist() == want and Keys("9:neg", cols).heads(np.array(rows), np.array([3, 1])).tolist() == [[w[3], w[1]] for w in want]
+    assert [int(limit(p)) for p in (0.0, 0.5, 1.0)] == [0, 2**31, 2**32]
+    with pytest.raises(ValueError, match="55"):
+        Keys("9" * 60, cols).heads(np.array([1]))
